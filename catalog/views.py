@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonewatch.functions import geometry, keys
+from zonewatch.operators import sessions as S
 from zonewatch.operators import zones as Z
-from zonewatch.session import use_utc
+from zonewatch.session import stage, tuned
 from zonewatch.sources import config
 
 BASE_US = 1_704_067_200_000_000
@@ -45,11 +46,24 @@ def polygon_text(points) -> str:
     return '{"points":[' + ",".join('{"x":%d,"y":%d}' % p for p in points) + "]}"
 
 
+_STAGED: dict[tuple, DataFrame] = {}
+
+
 class Views:
-    """Lazily built views over one data folder."""
+    """Lazily built views over one data folder.
+
+    ``staged`` views are written once per application and folder, because several queries (and the
+    two reads of the ordered operators) start from them.
+    """
+
+    def staged(self, name: str, build) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _STAGED:
+            _STAGED[key] = stage(build(), name)
+        return _STAGED[key]
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = use_utc(spark), folder
+        self.spark, self.folder = tuned(spark), folder
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -186,3 +200,32 @@ class Views:
     @cached_property
     def rule_hits(self) -> DataFrame:
         return Z.match_rules(self.zone_hits, self.rules)
+
+    @property
+    def hits(self) -> DataFrame:
+        return self.staged("rule_hits", lambda: self.rule_hits)
+
+    @property
+    def stays(self) -> DataFrame:
+        return self.staged(
+            "stays", lambda: S.with_first_seq(S.dwell_sessions(self.hits, self.frames), self.frames)
+        )
+
+    @property
+    def crowds(self) -> DataFrame:
+        return self.staged(
+            "crowds",
+            lambda: S.with_first_seq(S.crowd_sessions(S.crowd_members(self.hits), self.frames), self.frames),
+        )
+
+    @property
+    def beats(self) -> DataFrame:
+        """Published events of stays and crowds, one row per publication."""
+        def build():
+            cols = ["camera_id", "zone_id", "rule_id", "rule_type", "track_key", "object_type", "confidence", "us",
+                    "seq", "first_us", "first_seq", "heartbeat_index", "source_event_id"]
+            stays = S.heartbeat_events(self.stays).withColumn("object_type", F.col("class_name"))
+            crowds = S.heartbeat_events(self.crowds).withColumn("confidence", F.col("min_confidence"))
+            return stays.select(*cols).unionByName(crowds.select(*cols))
+
+        return self.staged("beats", build)

@@ -8,10 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Above this many vertices the unrolled polygon test makes generated code too long for the JIT.
-MAX_UNROLLED_EDGES = 32
+# Above this many edges the unrolled polygon test makes generated code too long for the JIT.
+MAX_UNROLLED_EDGES = 12
 
-EDGE_TYPE = "struct<x1:double,y1:double,dx:double,dy:double,y2:double>"
+EDGE_FIELDS = ("x1", "y1", "dx", "dy", "y2")
 
 
 def box(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -107,6 +107,29 @@ def inside_edges(p: Column, edges: Column, max_edges: int | None) -> Column:
     return (F.size(edges) >= 3) & (hits % 2 == 1)
 
 
+def edge_columns(edges: Column, count: int) -> list[Column]:
+    """Edges as plain double columns ``e0x1 ...``; missing ones are flat and never crossed."""
+    fill = {"dy": 1.0}
+    return [
+        F.coalesce(F.get(edges, F.lit(i))[f], F.lit(fill.get(f, 0.0))).alias(f"e{i}{f}")
+        for i in range(count)
+        for f in EDGE_FIELDS
+    ]
+
+
+def inside_edge_columns(p: Column, count: int) -> Column:
+    """Even-odd test against the columns of ``edge_columns``.
+
+    ``p`` should be a plain column pair: it is repeated for every edge, and a computed point would
+    be computed again each time.
+    """
+    hits = F.lit(0)
+    for i in range(count):
+        edge = {f: F.col(f"e{i}{f}") for f in EDGE_FIELDS}
+        hits = hits + F.when(_crossed(p, edge), 1).otherwise(0)
+    return hits % 2 == 1
+
+
 def point_in_polygon(p: Column, points: Column, max_points: int | None = None) -> Column:
     """Left and top borders count as inside, right and bottom do not; under 3 points is false."""
     return inside_edges(p, polygon_edges(points), max_points)

@@ -51,7 +51,18 @@ def eligible_zones(zones: DataFrame) -> DataFrame:
     return zones.where(F.col("enabled") & (F.size("points") >= 3))
 
 
-def prepare_zones(zones: DataFrame) -> SmallTable:
+@dataclass(frozen=True)
+class ZoneTable(SmallTable):
+    """Prepared zones, and per camera the frame sizes they were drawn on."""
+
+    sizes: DataFrame | None = None
+
+    @property
+    def unrolled(self) -> bool:
+        return self.max_edges <= geometry.MAX_UNROLLED_EDGES
+
+
+def prepare_zones(zones: DataFrame) -> ZoneTable:
     """Eligible zones with prepared edges and bounding box, measured for the join.
 
     This reads the zone table once: the polygon test is written out for the largest polygon.
@@ -72,36 +83,62 @@ def prepare_zones(zones: DataFrame) -> SmallTable:
         F.array_max(ys).alias("z_y2"),
     )
     facts = flat.select(F.size("z_edges").alias("n")).agg(F.count("*"), F.max("n")).first()
-    return SmallTable(flat, facts[0], facts[1] or 0)
+    rows, edges = facts[0], facts[1] or 0
+    sizes = flat.select(
+        F.col("z_camera_id").alias("s_camera_id"), F.col("z_w").alias("s_w"), F.col("z_h").alias("s_h")
+    ).distinct()
+    return ZoneTable(flat, rows, edges, sizes)
 
 
-def _inside(zones: SmallTable) -> Column:
-    """Scaled foot point inside the zone; the box test comes first because it is cheap."""
-    foot = geometry.foot_point(F.col("bbox"))
-    p = geometry.scale_point(foot, F.col("frame_w"), F.col("frame_h"), F.col("z_w"), F.col("z_h"))
-    near = (
+def _near(p: dict[str, Column] | Column) -> Column:
+    """Inside the zone's bounding box: cheap, so it comes first."""
+    return (
         (p["x"] >= F.col("z_x1")) & (p["x"] <= F.col("z_x2"))
         & (p["y"] >= F.col("z_y1")) & (p["y"] <= F.col("z_y2"))
     )
-    return near & geometry.inside_edges(p, F.col("z_edges"), zones.max_edges)
 
 
 ZONE_WORK = ["z_camera_id", "z_w", "z_h", "z_edges", "z_x1", "z_x2", "z_y1", "z_y2"]
 
 
-def match_zones(detections: DataFrame, zones: DataFrame | SmallTable, how: str = "inner") -> DataFrame:
-    """One row per detection and zone its foot stands in; ``how="left"`` keeps the others."""
-    table = zones if isinstance(zones, SmallTable) else prepare_zones(zones)
-    return join_small(detections, table, _inside(table), "camera_id", "z_camera_id", how).drop(*ZONE_WORK)
+def match_zones(detections: DataFrame, zones: DataFrame | ZoneTable, how: str = "inner") -> DataFrame:
+    """One row per detection and zone its foot stands in; ``how="left"`` keeps the others.
+
+    The foot point is scaled once per frame size used by the camera's zones, below the join with the
+    zones, so the join condition works on two plain columns and stays in generated code.
+    """
+    table = zones if isinstance(zones, ZoneTable) else prepare_zones(zones)
+    foot = geometry.foot_point(F.col("bbox"))
+    if how == "left":
+        p = geometry.scale_point(foot, F.col("frame_w"), F.col("frame_h"), F.col("z_w"), F.col("z_h"))
+        inside = _near(p) & geometry.inside_edges(p, F.col("z_edges"), None)
+        return join_small(detections, table, inside, "camera_id", "z_camera_id", "left").drop(*ZONE_WORK)
+    sized_table = SmallTable(table.sizes, table.rows)
+    scaled = join_small(detections, sized_table, F.lit(True), "camera_id", "s_camera_id")
+    p = geometry.scale_point(foot, F.col("frame_w"), F.col("frame_h"), F.col("s_w"), F.col("s_h"))
+    scaled = scaled.withColumns({"__px": p["x"], "__py": p["y"]})
+    at = {"x": F.col("__px"), "y": F.col("__py")}
+    edges = []
+    if table.unrolled:
+        edges = geometry.edge_columns(F.col("z_edges"), table.max_edges)
+        inside = geometry.inside_edge_columns(at, table.max_edges)
+    else:
+        inside = geometry.inside_edges(at, F.col("z_edges"), None)
+    flat = table.df.select(*[c for c in table.df.columns if not (edges and c == "z_edges")], *edges)
+    same_size = (F.col("s_w") == F.col("z_w")) & (F.col("s_h") == F.col("z_h"))
+    hits = join_small(
+        scaled, SmallTable(flat, table.rows), same_size & _near(at) & inside, "camera_id", "z_camera_id"
+    )
+    return hits.select(*detections.columns, "zone_id", "zone_name", "zone_type")
 
 
-def annotate_zones(detections: DataFrame, zones: DataFrame | SmallTable) -> DataFrame:
+def annotate_zones(detections: DataFrame, zones: DataFrame | ZoneTable) -> DataFrame:
     """Each detection with its foot point and the ids of the zones it stands in.
 
     Zones of a camera are few, so they are gathered per camera first and tested inside the row: no
     detection is shuffled.
     """
-    table = zones if isinstance(zones, SmallTable) else prepare_zones(zones)
+    table = zones if isinstance(zones, ZoneTable) else prepare_zones(zones)
     per_camera = table.df.groupBy("z_camera_id").agg(
         F.array_sort(F.collect_list(F.struct("zone_id", *ZONE_WORK[1:]))).alias("z_all")
     )
@@ -109,7 +146,7 @@ def annotate_zones(detections: DataFrame, zones: DataFrame | SmallTable) -> Data
 
     def holds(z: Column) -> Column:
         p = geometry.scale_point(foot, F.col("frame_w"), F.col("frame_h"), z["z_w"], z["z_h"])
-        return geometry.inside_edges(p, z["z_edges"], table.max_edges)
+        return geometry.inside_edges(p, z["z_edges"], None)
 
     joined = join_small(
         detections, SmallTable(per_camera, table.rows), F.lit(True), "camera_id", "z_camera_id", "left"
@@ -146,31 +183,48 @@ def rule_applies(hits: DataFrame, tz_offset_hours: float = 7.0) -> DataFrame:
     return hits.where(rule_condition(tz_offset_hours))
 
 
+RULE_WORK = ["r_zone_id", "r_classes", "r_confidence", "r_timed", "r_never", "r_from", "r_to"]
+
+
 def prepare_rules(rule_config: DataFrame) -> SmallTable:
-    """Rules under the names used after the join; disabled ones are left out beforehand."""
+    """Enabled rules with object groups and clock texts already worked out, so the join compares
+    plain values."""
+    start, end = F.col("active_start_time"), F.col("active_end_time")
+    want = F.lower(F.nullif(F.col("object_type"), F.lit("")))
+    timed = F.coalesce("use_active_time", F.lit(False))
+    given = (F.coalesce(start, F.lit("")) != "") & (F.coalesce(end, F.lit("")) != "")
     flat = rule_config.where("enabled").select(
         F.col("id").alias("rule_id"),
         F.col("zone_id").alias("r_zone_id"),
         "rule_type",
-        F.col("enabled").alias("rule_enabled"),
         F.col("object_type").alias("rule_object_type"),
         F.col("duration_threshold").cast("double").alias("duration_threshold"),
         F.col("people_threshold").cast("int").alias("people_threshold"),
-        "confidence_threshold",
-        "use_active_time",
-        "active_start_time",
-        "active_end_time",
+        F.col("confidence_threshold").cast("double").alias("r_confidence"),
+        F.when(want == "vehicle", F.array(*[F.lit(k) for k in rules.VEHICLES]))
+        .when(want.isNotNull(), F.array(want)).alias("r_classes"),
+        timed.alias("r_timed"),
+        (timed & ~given).alias("r_never"),
+        clock.time_to_minutes(start).alias("r_from"),
+        clock.time_to_minutes(end).alias("r_to"),
     )
-    return sized(flat)
+    return sized(flat.where(~F.col("r_never")))
 
 
-def match_rules(zone_hits: DataFrame, rule_config: DataFrame | SmallTable, tz_offset_hours: float = 7.0) -> DataFrame:
-    """One row per zone hit and rule that watches it."""
+def match_rules(
+    zone_hits: DataFrame, rule_config: DataFrame | SmallTable, tz_offset_hours: float = 7.0, how: str = "inner"
+) -> DataFrame:
+    """One row per zone hit and rule that watches it (conditions as in ``rule_condition``)."""
     table = rule_config if isinstance(rule_config, SmallTable) else prepare_rules(rule_config)
-    joined = join_small(zone_hits, table, rule_condition(tz_offset_hours), "zone_id", "r_zone_id")
-    return joined.drop(
-        "r_zone_id", "rule_enabled", "confidence_threshold", "use_active_time", "active_start_time", "active_end_time"
+    minute = clock.local_minutes(F.col("us"), tz_offset_hours)
+    a, b = F.col("r_from"), F.col("r_to")
+    watches = (
+        (F.col("r_confidence").isNull() | (F.coalesce("confidence", F.lit(0.0)) >= F.col("r_confidence")))
+        & (F.col("r_classes").isNull()
+           | F.array_contains("r_classes", F.lower(F.coalesce("class_name", F.lit("")))))
+        & (~F.col("r_timed") | (a == b) | ((a < b) & minute.between(a, b)) | ((a > b) & ((minute >= a) | (minute <= b))))
     )
+    return join_small(zone_hits, table, watches, "zone_id", "r_zone_id", how).drop(*RULE_WORK)
 
 
 def with_track_key(detections: DataFrame) -> DataFrame:

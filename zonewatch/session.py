@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,8 +18,13 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+    # HotSpot never compiles a method above this size; Spark then splits the stage instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
+# Settings a running session can still be given.
+RUNTIME = ("spark.sql.session.timeZone", "spark.sql.codegen.hugeMethodLimit")
+
 
 def build_session(app: str = "zonewatch", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators expect.
@@ -34,10 +42,14 @@ def build_session(app: str = "zonewatch", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def use_utc(spark: SparkSession) -> SparkSession:
-    """Pin the session zone; every operator reads clock text and days as UTC."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+def tuned(spark: SparkSession) -> SparkSession:
+    """A session made elsewhere with the settings results and speed depend on.
+
+    Every operator reads clock text and days as UTC.
+    """
+    for key in RUNTIME:
+        if spark.conf.get(key) != DEFAULTS[key]:
+            spark.conf.set(key, DEFAULTS[key])
     return spark
 
 
@@ -54,6 +66,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         folder = tempfile.mkdtemp(prefix="zonewatch-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
@@ -67,3 +80,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a Parquet table below the shared checkpoint folder and read it back.
+
+    The ordered operators read their input twice, once only its key and time columns; from a table
+    that second read is narrow, and the work that made the rows is done once.
+    """
+    folder = f"{checkpoint_dir(df.sparkSession)}/stages/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
