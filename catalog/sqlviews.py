@@ -66,11 +66,11 @@ RULE = f"""rule AS (
   FROM camera, (VALUES {values(RULES)})
        v(k, rule_type, enabled, object_type, duration_threshold, people_threshold, confidence_threshold, timed, a, b))"""
 
-_rect, _arrow, _half = (z[2] for z in ZONES[:3])
+ARROW = ZONES[1][2]
 ZHIT = f"""zhit AS (
   SELECT *, camera_id || ':' || k AS zone_id FROM (
     SELECT *, 'rect' AS k FROM det WHERE fx >= 200 AND fx < 440 AND fy >= 120 AND fy < 300
-    UNION ALL SELECT *, 'arrow' FROM det WHERE {crossings(_arrow, 'fx', 'fy')} % 2 = 1
+    UNION ALL SELECT *, 'arrow' FROM det WHERE {crossings(ARROW, 'fx', 'fy')} % 2 = 1
     UNION ALL SELECT *, 'half' FROM det
       WHERE fx * 320 / 640e0 >= 230 AND fx * 320 / 640e0 < 310 AND fy * 180 / 360e0 >= 60 AND fy * 180 / 360e0 < 170))"""
 RHIT = """rhit AS (
@@ -128,7 +128,10 @@ def sql(views: str, body: str) -> str:
         if name not in wanted:
             wanted.add(name)
             todo += NEEDS[name]
-    clauses = [text for name, text in ORDER if name in wanted]
+    clauses = [
+        text if "/*recursive*/" in text else text.replace(" AS (", " AS MATERIALIZED (", 1)
+        for name, text in ORDER if name in wanted
+    ]
     recursive = "RECURSIVE " if any("/*recursive*/" in c for c in clauses) or "/*recursive*/" in body else ""
     body = body.strip()
     if body.upper().startswith("WITH "):
