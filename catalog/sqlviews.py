@@ -101,15 +101,59 @@ CROWDRUN = """crowdrun AS (
     FROM crowd JOIN prevf USING (camera_id, us) WHERE people >= people_threshold
     WINDOW w AS (PARTITION BY rule_id ORDER BY us)))"""
 
+VIOL = """viol AS (
+  SELECT rule_id || '|' || track_key || '|' || first_us AS sid, camera_id, zone_id, rule_id, rule_type, track_key,
+         class_name AS object_type, confidence, us, seq, first_us, track_key AS who,
+         row_number() OVER (PARTITION BY rule_id, track_key, first_us ORDER BY us) AS rn
+  FROM stay WHERE us - first_us >= duration_threshold * 1000000
+  UNION ALL
+  SELECT rule_id || '|' || first_us, camera_id, zone_id, rule_id, 'crowd_limit', people || ' objects', 'person',
+         min_confidence, us, seq, first_us, 'crowd', row_number() OVER (PARTITION BY rule_id, first_us ORDER BY us)
+  FROM crowdrun WHERE us - first_us >= duration_threshold * 1000000)"""
+VIOLNEXT = """violnext AS (
+  SELECT a.sid, a.rn, b.rn AS nxt FROM viol a ASOF JOIN viol b ON a.sid = b.sid AND b.us >= a.us + 1000000)"""
+BEAT = """beat AS /*recursive*/ (
+  SELECT sid, rn, CAST(1 AS BIGINT) AS heartbeat_index FROM viol WHERE rn = 1
+  UNION ALL SELECT b.sid, n.nxt, b.heartbeat_index + 1 FROM beat b JOIN violnext n ON n.sid = b.sid AND n.rn = b.rn)"""
+HB = """hb AS (
+  SELECT v.*, b.heartbeat_index, (first_us - 1704067200000000) // 200000 + 1 AS first_seq,
+         camera_id || '|' || zone_id || '|' || rule_id || '|' || who || '|' || ((first_us - 1704067200000000) // 200000 + 1)
+           AS source_event_id
+  FROM beat b JOIN viol v ON v.sid = b.sid AND v.rn = b.rn)"""
+LINKED = """linked AS (
+  SELECT *, dedup_key || '@' || alert_us AS alert_id FROM (
+    SELECT *, max(CASE WHEN opens THEN us END) OVER (PARTITION BY dedup_key ORDER BY us) AS alert_us FROM (
+      SELECT *, coalesce(us - lag(us) OVER w > 30000000, lag(us) OVER w IS NULL) AS opens FROM (
+        SELECT *, camera_id || '|' || zone_id || '|' || rule_type || '|' || object_type AS dedup_key FROM hb)
+      WINDOW w AS (PARTITION BY dedup_key ORDER BY us))))"""
+AIEVENT = """aievent AS (
+  SELECT source_event_id AS id, min(camera_id) AS camera_id, min(zone_id) AS zone_id, min(rule_id) AS rule_config_id,
+         min(rule_type) AS event_type, min(object_type) AS object_type, min(first_us) AS started_us,
+         min(first_seq) AS first_seq, max(us) AS last_seen_us, max(seq) AS last_seq,
+         arg_max(confidence, us) AS confidence, arg_min(track_key, us) AS track_id,
+         CASE WHEN max(heartbeat_index) > 1 THEN arg_max(alert_id, us) END AS alert_id
+  FROM linked GROUP BY source_event_id)"""
+EVIDENCE = """evidence AS (
+  SELECT 'ev-' || source_event_id || '-' || heartbeat_index AS id, source_event_id AS ai_event_id,
+         CASE WHEN heartbeat_index > 1 THEN alert_id END AS alert_id, camera_id,
+         CASE WHEN heartbeat_index % 2 = 1 THEN 'snapshot' ELSE 'video_clip' END AS evidence_type,
+         CASE WHEN heartbeat_index % 4 = 0 THEN 'partial' ELSE 'completed' END AS status,
+         us AS captured_us, us AS created_us,
+         camera_id || '-' || lpad(CAST(seq AS VARCHAR), 12, '0') AS frame_id
+  FROM linked WHERE heartbeat_index % 3 = 1)"""
+
 ORDER = [
     ("base", BASE), ("visit", VISIT), ("det", DET), ("camera", CAMERA), ("location", LOCATION), ("frame", FRAME),
     ("zone", ZONE), ("rule", RULE), ("zhit", ZHIT), ("rhit", RHIT), ("prevf", PREV), ("stay", STAY),
-    ("crowd", CROWD), ("crowdrun", CROWDRUN),
+    ("crowd", CROWD), ("crowdrun", CROWDRUN), ("viol", VIOL), ("violnext", VIOLNEXT), ("beat", BEAT), ("hb", HB),
+    ("linked", LINKED), ("aievent", AIEVENT), ("evidence", EVIDENCE),
 ]
 NEEDS = {
     "base": [], "visit": ["base"], "det": ["visit"], "camera": [], "location": [], "frame": ["camera", "base"],
     "zone": ["camera"], "rule": ["camera"], "zhit": ["det"], "rhit": ["zhit", "rule"], "prevf": ["frame"],
     "stay": ["rhit", "prevf"], "crowd": ["rhit"], "crowdrun": ["crowd", "prevf"],
+    "viol": ["stay", "crowdrun"], "violnext": ["viol"], "beat": ["viol", "violnext"], "hb": ["beat"],
+    "linked": ["hb"], "aievent": ["linked"], "evidence": ["linked"],
 }
 
 
@@ -137,3 +181,20 @@ def sql(views: str, body: str) -> str:
     if body.upper().startswith("WITH "):
         raise ValueError("put further views in with add()")
     return (f"WITH {recursive}" + ",\n".join(clauses) + "\n" if clauses else "") + body
+
+
+add("result", """(
+  SELECT camera_id, seq, us, count(*) AS objects, camera_id || '-' || lpad(CAST(seq AS VARCHAR), 12, '0') AS frame_id,
+         10000 + seq * 7919 % 20000 AS inference_us, 30000 + seq * 104729 % 50000 AS latency_us
+  FROM det GROUP BY camera_id, seq, us)""", ["det"])
+add("reading", f"""(
+  SELECT event_id AS reading_id, 's-' || s AS sensor_id, (['DOOR', 'PIR_MOTION', 'BEAM'])[1 + s % 3] AS sensor_type,
+         'loc-' || s % 5 AS location_id, 'z-' || s % 7 AS zone_id, {BASE_US} + epoch_us(ts) % (fold * 1000000) AS us,
+         value >= 30 AS positive
+  FROM (SELECT *, user_id % 60 AS s FROM events WHERE event_id % 2 = 1), base)""", ["base"])
+add("signal", f"""(
+  SELECT event_id, 'cam-' || user_id % 25 AS camera_id, location_id, 'z-' || user_id % 7 AS zone_id,
+         CASE event_type WHEN 'view' THEN 'FORBIDDEN_ZONE_INTRUSION' WHEN 'click' THEN 'RESTRICTED_ZONE_CROWDING'
+              ELSE 'RESTRICTED_ZONE_LOITERING' END AS event_type, user_id % 11 AS track_id,
+         {BASE_US} + epoch_us(ts) % (fold * 1000000) AS us, least(1e0, value / 50) AS confidence
+  FROM events JOIN camera ON camera.id = 'cam-' || user_id % 25, base WHERE event_id % 2 = 0)""", ["base", "camera"])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonewatch.functions import geometry, keys
+from zonewatch.operators import alerts as A
 from zonewatch.operators import sessions as S
 from zonewatch.operators import zones as Z
 from zonewatch.session import stage, tuned
@@ -229,3 +230,76 @@ class Views:
             return stays.select(*cols).unionByName(crowds.select(*cols))
 
         return self.staged("beats", build)
+
+    @property
+    def linked(self) -> DataFrame:
+        """Published events with the alert they belong to."""
+        def build():
+            e = self.beats.withColumnsRenamed({"rule_id": "rule_config_id", "rule_type": "event_type", "seq": "last_seq"})
+            e = e.withColumn("started_us", F.col("first_us")).withColumn("event_id", F.col("source_event_id"))
+            return A.with_alert(e)
+
+        return self.staged("linked", build)
+
+    @property
+    def ai_events(self) -> DataFrame:
+        """One row per violation, as the event table holds it after all publications."""
+        last = F.max("heartbeat_index")
+        return self.linked.groupBy(F.col("source_event_id").alias("id")).agg(
+            *[F.min(c).alias(c) for c in ("camera_id", "zone_id", "rule_config_id", "event_type", "object_type",
+                                          "started_us", "first_seq")],
+            F.max("us").alias("last_seen_us"), F.max("last_seq").alias("last_seq"),
+            F.max_by("confidence", F.col("us")).alias("confidence"), F.min_by("track_key", F.col("us")).alias("track_id"),
+            F.when(last > 1, F.max_by("alert_id", F.col("us"))).alias("alert_id"),
+        ).withColumns({"created_us": F.col("started_us"), "source_event_id": F.col("id"),
+                       "lifecycle_status": F.lit("active"), "ended_us": F.lit(None).cast("bigint")})
+
+    @property
+    def evidence(self) -> DataFrame:
+        i = F.col("heartbeat_index")
+        return self.linked.where(i % 3 == 1).select(
+            F.concat(F.lit("ev-"), "source_event_id", F.lit("-"), i.cast("string")).alias("id"),
+            F.col("source_event_id").alias("ai_event_id"), F.when(i > 1, F.col("alert_id")).alias("alert_id"), "camera_id",
+            F.when(i % 2 == 1, "snapshot").otherwise("video_clip").alias("evidence_type"),
+            F.when(i % 4 == 0, "partial").otherwise("completed").alias("status"),
+            F.col("us").alias("captured_us"), F.col("us").alias("created_us"),
+            keys.frame_id(F.col("camera_id"), F.col("last_seq")).alias("frame_id"),
+        )
+
+    @cached_property
+    def results(self) -> DataFrame:
+        """Analysis results: frames that hold an object, with made-up times in microseconds."""
+        return self.detections.groupBy("camera_id", "seq", "us").agg(F.count("*").alias("objects")).select(
+            "*", keys.frame_id(F.col("camera_id"), F.col("seq")).alias("frame_id"),
+            (10000 + F.col("seq") * 7919 % 20000).alias("inference_us"),
+            (30000 + F.col("seq") * 104729 % 50000).alias("latency_us"),
+        )
+
+    @cached_property
+    def readings(self) -> DataFrame:
+        """Sensor readings: odd events, on the folded clock."""
+        kinds = F.array(*[F.lit(k) for k in SENSOR_TYPES])
+        s = F.col("user_id") % 60
+        r = self.visits.join(self.source.select("event_id", "value"), "event_id").where("event_id % 2 = 1")
+        return r.select(
+            F.col("event_id").alias("reading_id"), F.concat(F.lit("s-"), s.cast("string")).alias("sensor_id"),
+            F.get(kinds, (s % 3).cast("int")).alias("sensor_type"),
+            F.concat(F.lit("loc-"), (s % 5).cast("string")).alias("location_id"),
+            F.concat(F.lit("z-"), (s % 7).cast("string")).alias("zone_id"),
+            (F.lit(BASE_US) + F.col("t0")).alias("us"), (F.col("value") >= 30).alias("positive"),
+            F.when(F.col("value") >= 30, "OPEN").otherwise("CLOSED").alias("value"),
+        )
+
+    @cached_property
+    def signals(self) -> DataFrame:
+        """AI events: even events, on the folded clock."""
+        kind = F.when(F.col("event_type") == "view", "FORBIDDEN_ZONE_INTRUSION").when(
+            F.col("event_type") == "click", "RESTRICTED_ZONE_CROWDING").otherwise("RESTRICTED_ZONE_LOITERING")
+        e = self.visits.join(self.source.select("event_id", "value"), "event_id").where("event_id % 2 = 0")
+        cams = self.cameras.select(F.col("id").alias("camera_id"), "location_id")
+        return e.join(F.broadcast(cams), "camera_id").select(
+            "event_id", "camera_id", "location_id", F.concat(F.lit("z-"), (F.col("user_id") % 7).cast("string")).alias("zone_id"),
+            kind.alias("event_type"), (F.col("user_id") % 11).alias("track_id"),
+            (F.lit(BASE_US) + F.col("t0")).alias("us"),
+            F.least(F.lit(1.0), F.col("value") / 50).alias("confidence"),
+        )
