@@ -145,21 +145,21 @@ def asof(
     pack = F.struct(*[F.col(c) for c in cols])
     keep = list(left.columns)
     l = left.select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
+        *[F.col(k).alias(f"__a{i}") for i, k in enumerate(keys)],
         F.col(left_ts).alias("__t"),
         F.struct(*[F.col(c) for c in keep]).alias("__row"),
         F.lit(None).cast(right.select(pack.alias("p")).schema["p"].dataType).alias("__got"),
         F.lit(1 if inclusive else 0).alias("__rank"),
     )
     r = right.select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
+        *[F.col(k).alias(f"__a{i}") for i, k in enumerate(keys)],
         F.col(right_ts).alias("__t"),
         F.lit(None).cast(l.schema["__row"].dataType).alias("__row"),
         pack.alias("__got"),
         F.lit(0 if inclusive else 1).alias("__rank"),
     )
     both = l.unionByName(r).withColumn(SLICE, _slice("__t", width))
-    names = [f"__k{i}" for i in range(len(keys))]
+    names = [f"__a{i}" for i in range(len(keys))]
     turn = (lambda c: F.col(c).desc()) if forward else (lambda c: F.col(c).asc())
     within = (
         Window.partitionBy(*names, SLICE)
