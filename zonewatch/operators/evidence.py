@@ -147,7 +147,7 @@ def list_evidence(evidence: DataFrame, limit: int | None = 100) -> DataFrame:
     return out if limit is None else out.limit(max(1, min(int(limit), 500)))
 
 
-def evidence_of_event(evidence: DataFrame, event_id: str) -> DataFrame:
+def evidence_of_event(evidence: DataFrame, event_id) -> DataFrame:
     return evidence.where(F.col("ai_event_id") == event_id).orderBy("captured_us", "created_us", "id")
 
 

@@ -155,7 +155,7 @@ def camera_metrics(
     def cut(df: DataFrame) -> DataFrame:
         last = F.expr(f"us div {slide}L")
         first = F.expr(f"(us - {width}L) div {slide}L + 1")
-        return df.withColumn("window_us", F.explode(F.sequence(first, last)) * slide)
+        return df.withColumn("__w", F.explode(F.sequence(first, last))).withColumn("window_us", F.col("__w") * slide)
 
     key = ["camera_id", "window_us"]
     read = cut(frames).groupBy(*key).agg(F.count("*").alias("read_frames"))
