@@ -41,13 +41,7 @@ SELECT camera_id, seq, CAST(row_number() OVER (PARTITION BY camera_id, seq ORDER
 def _(v):
     from zonewatch.sources.frames import explode_detections
 
-    b = F.col("bbox")
-    d = F.struct("det_index", F.lit(None).cast("int").alias("class_id"), "class_name", "confidence",
-                 F.array(b["x1"], b["y1"], b["x2"], b["y2"]).alias("bbox_xyxy"), "track_id")
-    packed = v.detections.groupBy("camera_id", "seq", "us", "frame_w", "frame_h").agg(
-        F.array_sort(F.collect_list(d)).alias("detections")
-    )
-    out = explode_detections(packed)
+    out = explode_detections(v.packed_frames)
     foot = F.col("bbox")
     return out.select(
         "camera_id", "seq", F.col("det_index").alias("place"), "class_name", "confidence",

@@ -85,6 +85,13 @@ def _(v):
     return N.liveness(v.results, "camera_id", 1.0, now)
 
 
+@query("dedup_offline", sql("gaps", """
+SELECT camera_id, min(last_us) + 1000000 AS at_us FROM gaps WHERE us - last_us > 1000000 GROUP BY camera_id"""))
+def _(v):
+    # Every gap of a camera lies within the window of its first one.
+    return N.dedup_offline(N.liveness(v.results, "camera_id", 1.0), "camera_id", 1e6).select("camera_id", "at_us")
+
+
 @query("device_status", sql("reading", f"""
 SELECT sensor_id, max(us) AS last_us, CASE WHEN (SELECT max(us) FROM reading) - max(us) <= 10000000 THEN 'ONLINE' ELSE 'OFFLINE' END AS status
 FROM reading GROUP BY sensor_id"""))
@@ -117,7 +124,8 @@ add("levels", """(
 
 def levels(v):
     def build():
-        spans = R.ai_intervals(v.signals).unionByName(R.sensor_intervals(N.sensor_active(v.readings)))
+        active = v.staged("active", lambda: N.sensor_active(v.readings))
+        spans = R.ai_intervals(v.signals).unionByName(R.sensor_intervals(active))
         return R.risk_levels(spans, 0, 5)
 
     return v.staged("levels", build)

@@ -206,17 +206,35 @@ class Views:
     def hits(self) -> DataFrame:
         return self.staged("rule_hits", lambda: self.rule_hits)
 
+    @property
+    def timed_frames(self) -> DataFrame:
+        """Frames with the time of the one before, as an ingest step would store them."""
+        return self.staged("timed_frames", lambda: S.with_previous_frame(self.frames.select("camera_id", "seq", "us")))
+
+    @property
+    def packed_frames(self) -> DataFrame:
+        """Frames with their detections as an array, empty ones included."""
+        def build():
+            b = F.col("bbox")
+            d = F.struct("det_index", F.lit(None).cast("int").alias("class_id"), "class_name", "confidence",
+                         F.array(b["x1"], b["y1"], b["x2"], b["y2"]).alias("bbox_xyxy"), "track_id")
+            packed = self.detections.groupBy("camera_id", "us").agg(F.array_sort(F.collect_list(d)).alias("detections"))
+            return self.frames.drop("frame_id").join(packed, ["camera_id", "us"], "left").withColumn(
+                "detections", F.coalesce("detections", F.array().cast(packed.schema["detections"].dataType)))
+
+        return self.staged("packed_frames", build)
+
     @property
     def stays(self) -> DataFrame:
         return self.staged(
-            "stays", lambda: S.with_first_seq(S.dwell_sessions(self.hits, self.frames), self.frames)
+            "stays", lambda: S.dwell_sessions(self.hits, self.timed_frames)
         )
 
     @property
     def crowds(self) -> DataFrame:
         return self.staged(
             "crowds",
-            lambda: S.with_first_seq(S.crowd_sessions(S.crowd_members(self.hits), self.frames), self.frames),
+            lambda: S.crowd_sessions(S.crowd_members(self.hits), self.timed_frames),
         )
 
     @property

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, rules
 from ..functions.clock import MINUTE, SECOND, from_micros, micros
+from ..session import stage
 from .timeline import asof, interval_join, sessions
 
 ALERT = ["dedup_key", "alert_us"]
@@ -42,7 +43,7 @@ def alert_sessions(events: DataFrame, window_s: float = 120.0, grace_s: float |
     never seen before in any alert. ``ended_us`` is the first event of any key that comes more than
     ``grace_s`` after the alert was last seen.
     """
-    linked = with_alert(events, window_s, grace_s)
+    linked = stage(with_alert(events, window_s, grace_s), "linked")
     order = _arrival()
     merged = linked.groupBy(*ALERT, "alert_id").agg(
         F.min_by(F.struct("camera_id", "zone_id", "rule_config_id", "event_type", "object_type",
@@ -67,7 +68,8 @@ def alert_sessions(events: DataFrame, window_s: float = 120.0, grace_s: float |
     if grace_s is None:
         return alerts.withColumn("ended_us", F.lit(None).cast("bigint")).withColumn("lifecycle_status", F.lit("active"))
     due = alerts.withColumn("__due", F.col("last_seen_us") + micros(grace_s))
-    sweeps = events.select(F.col("us").alias("sweep_us")).distinct()
+    due = stage(due, "alerts")
+    sweeps = stage(linked.select(F.col("us").alias("sweep_us")).distinct(), "sweeps")
     swept = asof(due, sweeps, [], "__due", "sweep_us", {"sweep_us": "ended_us"}, forward=True, inclusive=False)
     status = F.when(F.col("ended_us").isNull(), F.lit("active")).otherwise(F.lit("resolved"))
     return swept.drop("__due").withColumn("lifecycle_status", status)

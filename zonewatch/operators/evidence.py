@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clock import micros
+from ..session import stage
 from .throttle import throttle
 from .timeline import asof, interval_join
 
@@ -68,7 +69,7 @@ def plan_clips(
 ) -> DataFrame:
     """Clip per snapshot: its frames and ``completed`` or ``partial``; no frames, no clip."""
     wanted = snapshots.select("event_id", "camera_id", "us")
-    shots = sample_clip(frames_around(wanted, frames, pre, post), "event_id", fps)
+    shots = sample_clip(stage(frames_around(wanted, frames, pre, post), "shots"), "event_id", fps)
     # A clip holds at most fps * (pre + post) + 1 frames, so its list is bounded.
     return shots.groupBy("event_id", "camera_id", "clip_from_us", "clip_to_us").agg(
         F.count("*").alias("frames"),

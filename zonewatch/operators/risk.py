@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clock import MINUTE, local_minutes, micros
+from ..session import stage
 from .timeline import previous, running_sum, sessions
 
 LEVELS = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
@@ -41,7 +42,8 @@ def risk_levels(intervals: DataFrame, working_from: int = 0, working_to: int = 1
 
     ``intervals`` (``location_id source from_us to_us``, end excluded) may overlap; sources of one kind
     count once. Two or more sources outside working hours (UTC minutes of the day, end excluded) are
-    critical; hours are looked at when the number of sources changes.
+    critical; hours are looked at when the number of sources changes. The steps between, far fewer than
+    the readings, are staged.
     """
     steps = intervals.where("to_us > from_us").select(
         "location_id", "source",
@@ -53,13 +55,14 @@ def risk_levels(intervals: DataFrame, working_from: int = 0, working_to: int = 1
         ).alias("s"),
     )
     per_source = steps.groupBy("location_id", "source", F.col("s.us").alias("us")).agg(F.sum("s.d").alias("d"))
-    per_source = running_sum(per_source.where("d <> 0"), ["location_id", "source"], "us", F.col("d"), "open")
+    per_source = running_sum(stage(per_source.where("d <> 0"), "source-steps"), ["location_id", "source"], "us", F.col("d"), "open")
+    per_source = stage(per_source, "open-sources")
     turned = (F.col("open") > 0).cast("int") - ((F.col("open") - F.col("d")) > 0).cast("int")
     changes = (
         per_source.withColumn("turn", turned).where("turn <> 0")
         .groupBy("location_id", "us").agg(F.sum("turn").alias("turn")).where("turn <> 0")
     )
-    counted = running_sum(changes, ["location_id"], "us", F.col("turn"), "n_sources").drop("turn")
+    counted = stage(running_sum(changes, ["location_id"], "us", F.col("turn"), "n_sources"), "counted").drop("turn")
     spans = previous(counted, ["location_id"], "us", {"us": "to_us"}, descending=True)
     minute = local_minutes(F.col("us"), 0.0)
     off = ~((minute >= working_from) & (minute < working_to))
@@ -74,7 +77,7 @@ def with_risk_alert(levels: DataFrame, grace_s: float = 30.0) -> DataFrame:
     """
     far = F.lit(2**62)
     positive = levels.where("n_sources > 0").withColumn("__end", F.coalesce("to_us", far))
-    runs = sessions(positive, ["location_id"], "__end", micros(grace_s), mark="from_us", out="__run")
+    runs = stage(sessions(positive, ["location_id"], "__end", micros(grace_s), mark="from_us", out="__run"), "runs")
     starts = runs.groupBy("location_id", "__run").agg(F.min("from_us").alias("alert_from_us"))
     return runs.join(starts, ["location_id", "__run"]).drop("__run", "__end")
 

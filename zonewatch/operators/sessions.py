@@ -20,7 +20,7 @@ from ..functions.clock import SECOND, micros
 from ..functions.rules import CROWD_RULE
 from .steps import Stays
 from .throttle import throttle
-from .timeline import previous, scan_in_order, sessions
+from .timeline import previous, scan_in_order, sessions, values
 
 STAY = ["camera_id", "zone_id", "rule_id", "track_key"]
 
@@ -41,9 +41,14 @@ def with_previous_frame(frames: DataFrame) -> DataFrame:
 
 
 def _after_frames(hits: DataFrame, frames: DataFrame) -> DataFrame:
-    """Hits with ``prev_frame_us``; the join key is camera and instant, so a busy camera spreads."""
+    """Hits with ``prev_frame_us``; the join key is camera and instant, so a busy camera spreads.
+
+    Frames that carry it already (``with_previous_frame``, one row per instant) are taken as they are.
+    """
     if "prev_frame_us" in hits.columns:
         return hits
+    if "prev_frame_us" in frames.columns:
+        return hits.join(frames.select("camera_id", "us", "prev_frame_us"), ["camera_id", "us"])
     f = with_previous_frame(frames.select("camera_id", "us").distinct())
     return hits.join(f, ["camera_id", "us"])
 
@@ -60,14 +65,16 @@ def dwell_sessions(
 ) -> DataFrame:
     """Stay of each track in each zone under each rule, one row per hit.
 
-    Adds ``first_us``, ``elapsed_s`` and ``is_violation``; with ``reattach`` also ``first_seq``,
-    ``origin_key`` (key of the track that began the stay) and ``reattached_from``. Crowd rules and
+    Adds ``first_us``, ``first_seq``, ``elapsed_s`` and ``is_violation``; with ``reattach`` also
+    ``origin_key`` (the track that began the stay, and when) and ``reattached_from``. Crowd rules and
     rules without a duration are not stays and are left out.
     """
     hits = rule_hits.where((F.col("rule_type") != CROWD_RULE) & F.col("duration_threshold").isNotNull())
     hits = _after_frames(hits, frames)
     if reattach is None:
-        out = sessions(hits, STAY, "us", micros(expire_s), mark="prev_frame_us")
+        out = sessions(
+            hits, STAY, "us", micros(expire_s), mark="prev_frame_us", carry={"seq": "first_seq"}
+        )
         return _timed(out)
     return _timed(_reattached(hits, expire_s, reattach))
 
@@ -103,7 +110,7 @@ def _reattached(hits: DataFrame, expire_s: float, r: Reattach) -> DataFrame:
         stays = None
         wanted = ["__new", "track_key", "us", "seq", "prev_frame_us", "__fx", "__fy", "__area"]
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in wanted]
+            cols = [values(batch.column(c)) for c in wanted]
             found = []
             for new, key, us, seq, prev, x, y, area in zip(*cols):
                 if new:
@@ -117,7 +124,7 @@ def _reattached(hits: DataFrame, expire_s: float, r: Reattach) -> DataFrame:
             )
 
     return scan_in_order(
-        ready, [*group, "__stretch"], ["us", "seq", "det_index"], step, T.StructType(kept + added.fields)
+        ready, [*group, "__stretch"], ["us", "seq", "det_index"], step, T.StructType(kept + added.fields), spread=True
     )
 
 
@@ -147,7 +154,9 @@ def crowd_sessions(members: DataFrame, frames: DataFrame) -> DataFrame:
         & (F.col("people") >= F.col("people_threshold"))
     )
     ordered = _after_frames(crowded, frames)
-    out = sessions(ordered, ["camera_id", "zone_id", "rule_id"], "us", 0, mark="prev_frame_us")
+    out = sessions(
+        ordered, ["camera_id", "zone_id", "rule_id"], "us", 0, mark="prev_frame_us", carry={"seq": "first_seq"}
+    )
     named = out.withColumn("track_key", F.concat(F.col("people").cast("string"), F.lit(" objects")))
     return _timed(named)
 
@@ -155,8 +164,8 @@ def crowd_sessions(members: DataFrame, frames: DataFrame) -> DataFrame:
 def heartbeat_events(violations: DataFrame, every_s: float = 1.0) -> DataFrame:
     """Violating rows that are published: the first of a stay, then one per ``every_s``.
 
-    Adds ``heartbeat_index`` (from 1), ``first_seq`` if missing and ``source_event_id``, which keeps
-    the track key it had at the first publication.
+    Adds ``heartbeat_index`` (from 1) and ``source_event_id``, which keeps the track key it had at the
+    first publication.
     """
     v = violations.where("is_violation")
     crowd = F.col("rule_type") == CROWD_RULE
@@ -172,8 +181,6 @@ def heartbeat_events(violations: DataFrame, every_s: float = 1.0) -> DataFrame:
     kept = kept.withColumn("heartbeat_index", F.row_number().over(w)).withColumn(
         "__who", F.first("track_key").over(w)
     )
-    if "first_seq" not in kept.columns:
-        raise ValueError("give first_seq, see with_first_seq")
     named = keys.source_event_id(
         F.col("camera_id"), F.col("zone_id"), F.col("rule_id"),
         F.when(F.col("rule_type") == CROWD_RULE, F.lit(keys.CROWD)).otherwise(F.col("__who")), F.col("first_seq"),
@@ -181,14 +188,6 @@ def heartbeat_events(violations: DataFrame, every_s: float = 1.0) -> DataFrame:
     return kept.withColumn("source_event_id", named).drop("__stay", "__who")
 
 
-def with_first_seq(sessions_df: DataFrame, frames: DataFrame) -> DataFrame:
-    """Sequence number of the frame at which the stay began."""
-    f = frames.select("camera_id", F.col("us").alias("first_us"), F.col("seq").alias("first_seq")).dropDuplicates(
-        ["camera_id", "first_us"]
-    )
-    return sessions_df.join(f, ["camera_id", "first_us"])
-
-
 def occupancy(sessions_df: DataFrame) -> DataFrame:
     """One row per stay: entered, last seen, seconds, frames."""
     return sessions_df.groupBy(*STAY, "first_us").agg(

@@ -82,10 +82,16 @@ class OpenTracks:
             self.open = {i: t for i, t in self.open.items() if seq - t[1] <= self.max_missing}
             self.free = sorted(self.open)
         best, who = 0.0, None
+        left, top, right, bottom = box
+        size = max(0.0, right - left) * max(0.0, bottom - top)
         for i in self.free:
-            score = _overlap(box, self.open[i][0])
-            if score > best:
-                best, who = score, i
+            a, b, c, d = self.open[i][0]
+            if c <= left or a >= right or d <= top or b >= bottom:
+                continue
+            shared = (min(right, c) - max(left, a)) * (min(bottom, d) - max(top, b))
+            union = size + max(0.0, c - a) * max(0.0, d - b) - shared
+            if union > 0 and shared / union > best:
+                best, who = shared / union, i
         new = who is None or best < self.min_iou
         if new:
             self.made += 1
@@ -95,12 +101,3 @@ class OpenTracks:
         self.open[who] = [box, seq]
         return who, new
 
-
-def _overlap(a: tuple, b: tuple) -> float:
-    w = min(a[2], b[2]) - max(a[0], b[0])
-    h = min(a[3], b[3]) - max(a[1], b[1])
-    if w <= 0 or h <= 0:
-        return 0.0
-    size = lambda r: max(0.0, r[2] - r[0]) * max(0.0, r[3] - r[1])
-    union = size(a) + size(b) - w * h
-    return w * h / union if union > 0 else 0.0

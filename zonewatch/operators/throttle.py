@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.clock import HOUR, micros
-from .timeline import SLICE, _slice, scan_in_order
+from .timeline import SLICE, _slice, scan_in_order, values
 
 
 def _entry_exit(ts: str, gap: int):
@@ -35,9 +35,9 @@ def _entry_exit(ts: str, gap: int):
 
         rows: list = []
         for batch in batches:
-            times = batch.column(ts).to_pylist()
+            times = values(batch.column(ts))
             fresh = batch.column("__new").to_pylist()
-            limits = batch.column("__limit").to_pylist()
+            limits = values(batch.column("__limit"))
             ids = batch.column("__id").to_pylist()
             for t, new, limit, ident in zip(times, fresh, limits, ids):
                 if new:
@@ -104,7 +104,7 @@ def _keep(ts: str, gap: int):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
-            times = batch.column(ts).to_pylist()
+            times = values(batch.column(ts))
             fresh = batch.column("__new").to_pylist()
             carried = batch.column("__last").to_pylist()
             mask = []

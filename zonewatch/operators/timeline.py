@@ -6,7 +6,7 @@ done inside ``(key, slice)``, a summary of one row per slice carries the state o
 the carried state is joined back. The summaries grow with the time span, not with the rows.
 
 The input of these functions is read twice (once narrow, for the summaries). Where it is costly to
-derive, pass a materialised input (``session.cut_lineage``).
+derive, or where one of them follows another, pass a staged input (``session.stage``).
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.clock import HOUR
+from ..session import stage
 
 SLICE = "__slice"
 
@@ -52,20 +53,23 @@ def sessions(
     mark: str | None = None,
     width: int = HOUR,
     out: str = "first_us",
+    carry: dict[str, str] | None = None,
 ) -> DataFrame:
     """Add ``out``, the time at which the row's session began.
 
     A row opens a session when ``mark - (previous ts of its key) > gap``, or when its key is new.
-    ``mark`` defaults to the row's own ``ts``.
+    ``mark`` defaults to the row's own ``ts``. ``carry`` maps columns of the opening row to names
+    under which they are added to all rows of the session.
     """
     mark_col = F.col(mark or ts)
+    opening = F.struct(F.col(ts).alias("__ts"), *[F.col(c).alias(n) for c, n in (carry or {}).items()])
     within = Window.partitionBy(*_keys_of(df, keys), SLICE).orderBy(ts)
     cut = df.withColumn(SLICE, _slice(ts, width))
     flagged = cut.withColumn("__prev", F.lag(ts).over(within)).withColumn(
-        "__open", F.when(mark_col - F.col("__prev") > gap, F.col(ts))
+        "__open", F.when(mark_col - F.col("__prev") > gap, opening)
     )
     heads = flagged.groupBy(*_keys_of(df, keys), SLICE).agg(
-        F.min(ts).alias("__lo"),
+        F.min(opening).alias("__lo"),
         F.max(ts).alias("__hi"),
         F.min_by(mark_col, F.col(ts)).alias("__mark"),
         F.max("__open").alias("__last_open"),
@@ -79,9 +83,9 @@ def sessions(
     heads = heads.select(*_keys_of(df, keys), SLICE, F.coalesce("__first_open", carried).alias("__head"))
     inner = F.last("__open", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0))
     joined = _attach(flagged.withColumn("__inner", inner), heads, keys)
-    return joined.withColumn(out, F.coalesce("__inner", "__head")).drop(
-        SLICE, "__prev", "__open", "__inner", "__head"
-    )
+    start = F.coalesce("__inner", "__head")
+    added = {out: start["__ts"], **{n: start[n] for n in (carry or {}).values()}}
+    return joined.withColumns(added).drop(SLICE, "__prev", "__open", "__inner", "__head")
 
 
 def previous(
@@ -121,7 +125,7 @@ def running_sum(
 
 def epochs(df: DataFrame, keys: Sequence[str], order: str, ts: str, out: str = "epoch", width: int = 50_000) -> DataFrame:
     """Number the stretches of a key in which ``ts`` never goes back along ``order``."""
-    stepped = previous(df, keys, order, {ts: "__before_ts"}, width)
+    stepped = stage(previous(df, keys, order, {ts: "__before_ts"}, width), "epochs")
     back = F.when(F.col(ts) < F.col("__before_ts"), 1).otherwise(0)
     return running_sum(stepped, keys, order, back, out, width).drop("__before_ts")
 
@@ -218,19 +222,33 @@ def interval_join(
     return l.join(r, on).drop(SLICE, "__s", *[f"__k{i}" for i in range(len(keys))])
 
 
+def values(column: pa.Array) -> list:
+    """Python values of an Arrow column, by way of numpy where nothing is missing."""
+    if column.null_count == 0 and (pa.types.is_integer(column.type) or pa.types.is_floating(column.type)):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    return column.to_pylist()
+
+
 def scan_in_order(
     df: DataFrame,
     group: Sequence[str],
     order: Sequence[Column | str],
     step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     schema: T.StructType | str,
+    spread: bool = False,
 ) -> DataFrame:
     """Hand each task its groups one after the other, rows sorted, as a stream of Arrow batches.
 
     The input of ``step`` has the extra boolean column ``__new``, true on the first row of a group.
     Nothing is collected per group, so the state kept by ``step`` is all the memory a group needs.
+    ``spread`` keeps all shuffle partitions, for steps whose cost is in the work and not in the bytes.
     """
-    placed = df.repartition(*[F.col(g) for g in group]).sortWithinPartitions(*group, *order)
+    columns = [F.col(g) for g in group]
+    if spread:
+        placed = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+    else:
+        placed = df.repartition(*columns)
+    placed = placed.sortWithinPartitions(*group, *order)
     first = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) == 1
     return placed.withColumn("__new", first).mapInArrow(step, schema)
 

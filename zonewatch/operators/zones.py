@@ -146,7 +146,8 @@ def annotate_zones(detections: DataFrame, zones: DataFrame | ZoneTable) -> DataF
 
     def holds(z: Column) -> Column:
         p = geometry.scale_point(foot, F.col("frame_w"), F.col("frame_h"), z["z_w"], z["z_h"])
-        return geometry.inside_edges(p, z["z_edges"], None)
+        near = (p["x"] >= z["z_x1"]) & (p["x"] <= z["z_x2"]) & (p["y"] >= z["z_y1"]) & (p["y"] <= z["z_y2"])
+        return near & geometry.inside_edges(p, z["z_edges"], None)
 
     joined = join_small(
         detections, SmallTable(per_camera, table.rows), F.lit(True), "camera_id", "z_camera_id", "left"

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 from math import atan2, degrees, hypot
 
 import pandas as pd
@@ -77,16 +78,18 @@ class RuleProcessor(_Blob):
         books = {k: self._stays(v) for k, v in state.get("stays", {}).items()}
         batch = pd.concat(list(rows)).sort_values(["us", "seq", "det_index"], kind="stable", na_position="first")
         out: list[tuple] = []
-        for (us, seq), frame in batch.groupby(["us", "seq"], sort=True):
-            us, seq = int(us), int(seq)
+        for (us, seq), frame in groupby(batch.itertuples(index=False), key=lambda h: (h.us, h.seq)):
             if prev is not None and us <= prev:
                 continue
             members: dict = {}
-            for h in frame[frame["rule_id"].notna()].itertuples(index=False):
+            for h in frame:
+                # A missing threshold arrives as NaN, which differs from itself.
+                if h.rule_id is None or h.duration_threshold != h.duration_threshold:
+                    continue
                 if h.rule_type == CROWD_RULE:
-                    if pd.notna(h.people_threshold) and pd.notna(h.duration_threshold):
+                    if h.people_threshold == h.people_threshold:
                         members.setdefault(f"{h.zone_id}|{h.rule_id}", []).append(h)
-                elif pd.notna(h.duration_threshold):
+                else:
                     group = f"{h.zone_id}|{h.rule_id}|{h.class_name}"
                     book = books.setdefault(group, self._stays([]))
                     stay = book.see(h.track_key, us, seq, prev, h.fx, h.fy, h.area)
@@ -113,7 +116,7 @@ class RuleProcessor(_Blob):
                 held = vars(Stay(keys.CROWD, us, seq, name, us))
             held["last_us"] = us
             stay = Stay(**held)
-            sure = [h.confidence for h in rows if pd.notna(h.confidence)]
+            sure = [h.confidence for h in rows if h.confidence == h.confidence]
             kind = rows[0].rule_object_type
             self._publish(out, camera, rows[0], stay, f"{people} objects", kind if isinstance(kind, str) and kind else "person",
                           min(sure) if sure else None, us, seq)
