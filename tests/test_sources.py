@@ -176,6 +176,23 @@ def test_stream_alerts_equal_batch(spark, tmp_path):
     assert sorted(r.alert_us // S - 1000 for r in rows if r.change == "RESOLVED") == [0, 60]
 
 
+def test_stream_risk_equals_batch(spark, tmp_path):
+    from zonewatch.operators import risk as R
+
+    t0 = 1000 * 86400 + 12 * 3600
+    spans = [("p", "AI", 0, 10), ("p", "DOOR", 5, 8), ("p", "AI", 30, 40), ("p", "AI", 100, 110), ("p", "AI", 105, 120), ("q", "BEAM", 0, 50)]
+    df = spark.createDataFrame([(l, s, (t0 + a) * S, (t0 + b) * S) for l, s, a, b in spans],
+                               "location_id string, source string, from_us bigint, to_us bigint")
+    want = sorted(map(tuple, R.risk_alert_changes(R.risk_levels(df, 480, 1080), 30.0).collect()))
+    steps = df.select("location_id", "source", F.col("from_us").alias("us"), F.lit(1).alias("delta")).unionByName(
+        df.select("location_id", "source", F.col("to_us").alias("us"), F.lit(-1).alias("delta")))
+    end = spark.createDataFrame([("end", "AI", (t0 + 900) * S, 1)], "location_id string, source string, us bigint, delta int")
+    (tmp_path / "in").mkdir()
+    run(ST.stream_risk_alerts(files(spark, steps.unionByName(end), "us", 3, tmp_path / "in"), 30.0, 480, 1080), tmp_path, "risks")
+    got = sorted((r.location_id, r.alert_from_us, r.at_us, r.change, r.level) for r in spark.table("risks").collect() if r.location_id != "end")
+    assert got == want
+
+
 def test_event_store_replay_changes_nothing(spark, tmp_path):
     store = K.EventStore(spark, str(tmp_path / "store"))
     batch = spark.createDataFrame([event("a", 0), event("a", 5), event("b", 130)], EVENT).withColumns(

@@ -22,6 +22,7 @@ from ..functions import geometry, keys
 from ..functions.clock import SECOND, micros
 from ..functions.rules import CROWD_RULE, DIRECTIONS, STATIONARY, UNKNOWN
 from ..operators import zones as Z
+from ..operators.risk import LEVELS
 from ..operators.sessions import Reattach
 from ..operators.steps import OpenTracks, Stay, Stays
 from ..sources.frames import explode_detections
@@ -339,3 +340,77 @@ def stream_alerts(
     return keyed.groupBy("dedup_key").transformWithStateInPandas(
         AlertProcessor(window_s, grace_s), ALERT_SCHEMA, outputMode="Append", timeMode="EventTime"
     )
+
+
+RISK_SCHEMA = "location_id string, alert_from_us bigint, at_us bigint, change string, level string"
+
+
+class RiskProcessor(_Blob):
+    """Active sources of one location and its open alert."""
+
+    def __init__(self, grace_s: float, working_from: int, working_to: int):
+        self.grace, self.hours = micros(grace_s), (working_from, working_to)
+
+    def _level(self, n: int, us: int) -> str:
+        minute = us // (60 * SECOND) % 1440
+        if n >= 2 and not self.hours[0] <= minute < self.hours[1]:
+            return LEVELS[3]
+        return LEVELS[min(n, 3)]
+
+    def _close(self, s: dict, out: list, place: str, now: int) -> None:
+        quiet = s.get("quiet")
+        if s.get("open") is not None and quiet is not None and now - quiet > self.grace:
+            out.append((place, s["open"], quiet + self.grace, "CLOSED", s["level"]))
+            s.update(open=None, quiet=None)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        s = self.load() or {"on": {}, "open": None, "quiet": None, "level": None}
+        out: list = []
+        batch = pd.concat(list(rows)).sort_values("us", kind="stable")
+        for us, changes in groupby(batch.itertuples(index=False), key=lambda r: r.us):
+            before = sum(n > 0 for n in s["on"].values())
+            for r in changes:
+                s["on"][r.source] = s["on"].get(r.source, 0) + int(r.delta)
+            now = sum(n > 0 for n in s["on"].values())
+            if now == before:
+                continue
+            self._close(s, out, key[0], us)
+            if now == 0:
+                s["quiet"] = us
+                continue
+            level, s["quiet"] = self._level(now, us), None
+            if s["open"] is None:
+                s["open"] = us
+                out.append((key[0], us, us, "CREATED", level))
+            elif level != s["level"]:
+                out.append((key[0], s["open"], us, "LEVEL_CHANGED", level))
+            s["level"] = level
+        s["on"] = {k: n for k, n in s["on"].items() if n}
+        self.save(s)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if s["open"] is not None and s["quiet"] is not None:
+            self.handle.registerTimer((s["quiet"] + self.grace) // 1000 + 1)
+        yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in RISK_SCHEMA.split(", ")])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        s, out = self.load(), []
+        if s:
+            self._close(s, out, key[0], expiredTimerInfo.getExpiryTimeInMs() * 1000)
+            self.save(s)
+        yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in RISK_SCHEMA.split(", ")])
+
+
+def stream_risk_alerts(
+    steps: DataFrame, grace_s: float = 30.0, working_from: int = 0, working_to: int = 1440, watermark: str = "10 seconds"
+) -> DataFrame:
+    """Alert changes per location on a stream of source steps (``location_id source us delta``).
+
+    ``delta`` is 1 where a source becomes active and -1 where it stops, as the ends of the spans that
+    ``risk.risk_levels`` takes. The result is that of ``risk.risk_alert_changes``; closing needs the
+    watermark to pass the grace.
+    """
+    flat = steps.select("location_id", "source", "us", "delta", F.timestamp_micros("us").alias("ts")).withWatermark("ts", watermark)
+    return flat.groupBy("location_id").transformWithStateInPandas(
+        RiskProcessor(grace_s, working_from, working_to), RISK_SCHEMA, outputMode="Append", timeMode="EventTime"
+    )
