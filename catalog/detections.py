@@ -64,7 +64,7 @@ def _(v):
         F.col("object_type").alias("rule_object_type"), "confidence_threshold", "use_active_time",
         "active_start_time", "active_end_time",
     )
-    return Z.rule_applies(v.zone_hits.join(F.broadcast(r), "zone_id")).select("seq", "track_key", "rule_id")
+    return Z.rule_applies(v.zone_hits.join(r, "zone_id")).select("seq", "track_key", "rule_id")
 
 
 @query("eligible_zones", sql("zone", "SELECT id FROM zone WHERE enabled AND n >= 3"))

@@ -48,7 +48,7 @@ class People:
             F.concat(F.lit("m-"), key).alias("id"), F.concat(F.lit("u-"), key).alias("user_id"), tenant.alias("tenant_id"),
             role.alias("role"), F.when(F.col("c_custkey") % 13 != 0, "active").otherwise("disabled").alias("status"))
         n = v.table("nation").select(F.col("n_nationkey").alias("c_nationkey"), F.concat(F.lit("loc-"), F.col("n_regionkey").cast("string")).alias("location_id"))
-        self.assignments = c.join(F.broadcast(n), "c_nationkey").select(
+        self.assignments = c.join(n, "c_nationkey").select(
             F.concat(F.lit("a-"), key).alias("id"), F.concat(F.lit("m-"), key).alias("tenant_member_id"), "location_id",
             tenant.alias("tenant_id"), role.alias("permission_level"))
         rk = F.col("r_regionkey").cast("string")

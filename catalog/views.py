@@ -315,7 +315,7 @@ class Views:
             F.col("event_type") == "click", "RESTRICTED_ZONE_CROWDING").otherwise("RESTRICTED_ZONE_LOITERING")
         e = self.visits.join(self.source.select("event_id", "value"), "event_id").where("event_id % 2 = 0")
         cams = self.cameras.select(F.col("id").alias("camera_id"), "location_id")
-        return e.join(F.broadcast(cams), "camera_id").select(
+        return e.join(cams, "camera_id").select(
             "event_id", "camera_id", "location_id", F.concat(F.lit("z-"), (F.col("user_id") % 7).cast("string")).alias("zone_id"),
             kind.alias("event_type"), (F.col("user_id") % 11).alias("track_id"),
             (F.lit(BASE_US) + F.col("t0")).alias("us"),

@@ -281,7 +281,10 @@ ALERT_SCHEMA = "dedup_key string, alert_us bigint, change string, at_us bigint,
 
 
 class AlertProcessor(_Blob):
-    """The open alert of one dedup key."""
+    """The open alert of one dedup key, and the sources the key has ever seen.
+
+    Sources are remembered for good, because a source that comes back must not count as new.
+    """
 
     def __init__(self, window_s: float, grace_s: float):
         self.gap, self.grace = micros(min(window_s, grace_s)), micros(grace_s)
