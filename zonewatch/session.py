@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import atexit
 import shutil
+import sys
 import tempfile
 import uuid
+from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -39,7 +42,26 @@ def build_session(app: str = "zonewatch", master: str | None = None, **conf: str
         builder = builder.config(key, value)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once per application, for the steps that run in Python."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        folder = tempfile.mkdtemp(prefix="zonewatch-code-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        package = Path(__file__).resolve().parent
+        context.addPyFile(
+            shutil.make_archive(f"{folder}/zonewatch", "zip", root_dir=package.parent, base_dir=package.name)
+        )
+        # The process that sets up streaming state does not see added files; it gets the code itself.
+        cloudpickle.register_pickle_by_value(sys.modules[__package__])
+        _SHIPPED.add(context.applicationId)
+    return spark
 
 
 def tuned(spark: SparkSession) -> SparkSession:
@@ -50,7 +72,7 @@ def tuned(spark: SparkSession) -> SparkSession:
     for key in RUNTIME:
         if spark.conf.get(key) != DEFAULTS[key]:
             spark.conf.set(key, DEFAULTS[key])
-    return spark
+    return ship(spark)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
