@@ -16,11 +16,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from zonewatch.llm.text import SPACE, dense, utf8
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_capitals", "n_bangs"]
-STRUCT = "struct<" + ",".join(f"{m}:bigint" for m in MEASURES) + ">"
+STRUCT = T.StructType([T.StructField(m, T.LongType()) for m in MEASURES])
 
 # Rules as comparisons of whole numbers, written so that Spark and any SQL engine agree. Order gives the bit.
 RULES: dict[str, str] = {
