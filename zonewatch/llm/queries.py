@@ -36,7 +36,7 @@ _WORD = r"[^\x20\x09-\x0D]+"
 _RULES_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, doc_id, text, regexp_extract_all(text, '{_WORD}') AS words,
-        list_filter(string_split(text, chr(10)), l -> regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+        list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
 g AS (SELECT r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS gram
       FROM w, unnest(range(1, len(words) - 1)) AS u(i) WHERE len(words) > 2),
 again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS n FROM g) WHERE n > 1),
