@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonewatch.llm import quality_rules
+from zonewatch.llm import near_dup, quality_rules
 from zonewatch.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,8 @@ def op1(spark, folder):
     """ for p, rules in quality_rules.POLICIES.items() for r in rules))
 def rule_ablations(spark, folder):
     return quality_rules.ablations(quality_rules.bit_counts(quality_rules.ledger(table(spark, folder, "documents"))))
+
+
+@query("op10_minhash_near_dedup")
+def op10(spark, folder):
+    return near_dup.near_duplicates(table(spark, folder, "documents"), near_dup.Similarity(words=3, percent=85))
