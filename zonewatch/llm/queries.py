@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonewatch.llm import near_dup, quality_rules
+from zonewatch.llm import kneser_ney, mixing, near_dup, packing, quality_rules, suffix_tree
 from zonewatch.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,25 @@ def rule_ablations(spark, folder):
 @query("op10_minhash_near_dedup")
 def op10(spark, folder):
     return near_dup.near_duplicates(table(spark, folder, "documents"), near_dup.Similarity(words=3, percent=85))
+
+
+@query("op2_mixing")
+def op2(spark, folder):
+    return mixing.mixed_sizes(table(spark, folder, "documents"))
+
+
+@query("op9_quality_classifier")
+def op9(spark, folder):
+    documents = table(spark, folder, "documents")
+    judged = kneser_ney.Classifier(spark, documents, table(spark, folder, "labels")).judged(documents)
+    return judged.select("doc_id", "lang", "lm.*")
+
+
+@query("op8_packing")
+def op8(spark, folder):
+    return packing.packed(table(spark, folder, "documents"), packing.public_packing())
+
+
+@query("op6_suffix_tree")
+def op6(spark, folder):
+    return suffix_tree.scored(table(spark, folder, "documents"))

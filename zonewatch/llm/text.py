@@ -99,3 +99,14 @@ def starts(keys: np.ndarray) -> np.ndarray:
     if len(keys) == 0:
         return np.zeros(1, dtype=np.int64)
     return np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)]
+
+
+def narrow(ids: np.ndarray) -> bytes:
+    """32-bit ids as bytes that compress well: all low halves, then all high halves, which are mostly zero."""
+    ids = ids.astype("<u4", copy=False)
+    return (ids & 0xFFFF).astype("<u2").tobytes() + (ids >> 16).astype("<u2").tobytes()
+
+
+def wide(data: bytes) -> np.ndarray:
+    halves = np.frombuffer(data, dtype="<u2").astype("<u4")
+    return halves[: len(halves) // 2] | (halves[len(halves) // 2 :] << 16)
