@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonewatch.llm import kneser_ney, mixing, near_dup, packing, quality_rules, suffix_tree
-from zonewatch.session import ship
+from zonewatch.llm import (
+    dimension_scan, html_text, kneser_ney, licences, mixing, near_dup, packing, quality_rules, suffix_tree, token_rollup,
+)
+from zonewatch.session import checkpoint_dir, ship, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -98,3 +101,52 @@ def op8(spark, folder):
 @query("op6_suffix_tree")
 def op6(spark, folder):
     return suffix_tree.scored(table(spark, folder, "documents"))
+
+
+_TOXIC_SQL = "SELECT doc_id FROM labels GROUP BY doc_id HAVING max(toxic) = 1"
+_POOR_SQL = "SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 0"
+
+
+@query("op3_token_counts", f"""
+WITH d AS (SELECT *, doc_id IN ({_POOR_SQL}) AS poor FROM documents WHERE doc_id NOT IN ({_TOXIC_SQL})),
+c AS (
+  SELECT source, lang, CASE WHEN poor THEN 'space/2' ELSE 'space/1' END AS tokenizer,
+    len(regexp_extract_all(coalesce(text, ''), CASE WHEN poor THEN '[^\\x20\\x09-\\x0D#*$%&|<>]+' ELSE '{_WORD}' END)) AS n FROM d
+  UNION ALL SELECT source, lang, 'alnum/1', len(regexp_extract_all(coalesce(text, ''), '[0-9A-Za-z]+')) FROM d)
+SELECT source, lang, tokenizer, count(*)::BIGINT AS docs, sum(n)::BIGINT AS tokens FROM c GROUP BY ALL""")
+def op3(spark, folder):
+    """All documents come in; those with a toxic label are taken out; those of poor quality are counted anew by a later tokenizer.
+
+    Batches arrive twice, and the totals are compacted between them.
+    """
+    documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    marks = labels.groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic"), (F.min("quality") == 0).alias("poor"))
+    counts = stage(token_rollup.counted(documents, list(token_rollup.TOKENIZERS)).join(marks, "doc_id", "left"), "rollup-counts")
+    old, new = counts.where("tokenizer <> 'space/2'"), counts.where("tokenizer = 'space/2'")
+    kept = "poor and not coalesce(toxic, false)"
+    batches = {
+        "1-all": token_rollup.inserts(old), "2-taken-down": token_rollup.deletes(old.where("toxic")),
+        "3-recounted": token_rollup.revisions(old.where("tokenizer = 'space/1'").where(kept), new.where(kept)),
+    }
+    rollup = token_rollup.Rollup(spark, f"{checkpoint_dir(spark)}/stages/rollup-{uuid.uuid4().hex}")
+    for name, changes in batches.items():
+        rollup.commit(name, changes)
+        rollup.commit(name, changes)
+        if name == "2-taken-down":
+            rollup.compact()
+    return rollup.totals()
+
+
+@query("op4_html_extraction")
+def op4(spark, folder):
+    return html_text.extracted(table(spark, folder, "pages"))
+
+
+@query("op5_license_scan")
+def op5(spark, folder):
+    return licences.scanned(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "licence.*")
+
+
+@query("op7_dimension_scan")
+def op7(spark, folder):
+    return dimension_scan.nearest(spark, table(spark, folder, "embeddings"), F.col("id") % 50 == 0)

@@ -23,7 +23,6 @@ in an empty table, all counts are 0 and scores are those of no knowledge, 0 for
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -36,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from zonewatch.llm.text import chained, narrow, utf8, wide
+from zonewatch.llm.text import chained, narrow, starts, utf8, wide
 from zonewatch.session import stage
 
 DISCOUNT = 0.5
@@ -112,7 +111,7 @@ class Chunk:
         self.lengths = row["lengths"].values.to_numpy()
         self.ids = wide(zstandard.ZstdDecompressor().decompress(row["ids"].as_py()))
         self.words = row["words"].values.field("word").to_pylist()
-        h = np.array([xxhash.xxh3_64_intdigest(w) for w in self.words], dtype=np.uint64)
+        h = np.array([word_hash(w) for w in self.words], dtype=np.uint64)
         self.hash = h[self.ids]
         self.end = self.ids == self.words.index(END)
         starts = np.cumsum(self.lengths) - self.lengths
@@ -127,6 +126,10 @@ class Chunk:
         return out, self.place >= n - 1
 
 
+def word_hash(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word)
+
+
 def gram(parts: list[np.ndarray]) -> np.ndarray:
     return parts[0] if len(parts) == 1 else chained(parts)
 
@@ -223,62 +226,64 @@ class Root:
         return np.where(c > 0, c - self.discount, self.discount * self.types) / self.tokens
 
 
+@dataclass
+class Node:
+    suffix: int
+    #: What the context hands on to its suffix.
+    left: float
+    #: Hashes of the context with each frequent next word, and the discounted shares of those.
+    keys: np.ndarray
+    shares: np.ndarray
+    diverges: bool
+
+
 class Nodes:
-    """Retained contexts with their next words, by number of words in the context; sorted arrays."""
+    """Retained contexts with their next words, by number of words in the context; sorted arrays.
+
+    ``rows`` are the frequent sequences with their exact counts, ``of_word`` the counts of frequent words by hash.
+    """
 
     def __init__(self, rows: dict[str, np.ndarray], of_word: dict[int, int], root: Root, tree: Tree):
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        count_of = dict(of_word)  # of sequences by hash, as contexts
-        p_of = {h: float(root.p(np.array([c]))[0]) for h, c in of_word.items()}  # of (context, next) in the tree so far
-        retained_all: dict[int, float] = {0: 1.0}
-        keep: list[dict] = []
+        count_of = dict(of_word)
+        p_of = {h: float(root.p(np.array([c]))[0]) for h, c in of_word.items()}
+        tried: list[dict[int, Node]] = []
         for n in range(2, tree.depth + 2):
-            own = rows["n"] == n
-            groups: dict[int, list[int]] = {}
-            for i in np.flatnonzero(own):
-                groups.setdefault(int(rows["context"][i]), []).append(i)
-            level: dict[int, tuple[float, list[tuple[int, float, float]], int]] = {}
-            for context, at in groups.items():
-                total, suffix = count_of.get(context), int(rows["suffix"][at[0]])
-                if total is None:
-                    continue
-                c = rows["c"][at].astype(float)
-                total = max(total, int(c.sum()))
-                below = np.array([p_of.get(int(rows["shorter"][i]), 0.0) for i in at])
-                if (below <= 0).any():
-                    below = np.maximum(below, 0.5 / max(root.tokens, 1))
-                rest, rest_p = total - c.sum(), max(1 - below.sum(), 1e-12)
-                g = 2 * float((c * np.log(c / (total * below))).sum() + (rest * np.log(rest / (total * rest_p)) if rest > 0 else 0.0))
-                df = len(at)
-                left = (total - c.sum() + DISCOUNT * len(at)) / total
-                known = retained_all if n > 2 else {0: 1.0}
-                entries = [(int(rows["key"][i]), (x - DISCOUNT) / total, (x - DISCOUNT) / total + left * b) for i, x, b in zip(at, c, below, strict=True)]
-                level[context] = (left, entries, suffix)
-                if not (g > df + tree.sigmas * np.sqrt(2 * df)):
-                    level[context] = (left, entries, suffix, False)
-                else:
-                    level[context] = (left, entries, suffix, True)
-                del known
-            keep.append(level)
-            for i in np.flatnonzero(own):
-                count_of[int(rows["key"][i])] = int(rows["c"][i])
-            for _, entries, _, _ in level.values():
-                for key, _, p in entries:
-                    p_of[key] = p
-        # A node's suffix is a node: from the longest down.
+            own = np.flatnonzero(rows["n"] == n)
+            own = own[np.argsort(rows["context"][own], kind="stable")]
+            cuts, level = starts(rows["context"][own]), {}
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                at = own[lo:hi]
+                below = np.array([p_of[int(k)] for k in rows["shorter"][at]])
+                context = int(rows["context"][at[0]])
+                node = level[context] = self._node(rows, at, count_of[context], below, tree)
+                p_of.update(zip(rows["key"][at].tolist(), (node.shares + node.left * below).tolist(), strict=True))
+            count_of.update(zip(rows["key"][own].tolist(), rows["c"][own].tolist(), strict=True))
+            tried.append(level)
         need: set[int] = set()
-        chosen: list[dict] = []
-        for level in reversed(keep):
-            mine = {c: v for c, v in level.items() if v[3] or c in need}
-            chosen.append(mine)
-            need = {v[2] for v in mine.values()}
-        for level in reversed(chosen):
-            contexts = np.array(sorted(level), dtype=np.int64).view(np.uint64)
-            order = np.argsort(contexts)
-            contexts = contexts[order]
-            left = np.array([level[c][0] for c in contexts.view(np.int64).tolist()])
-            pairs = sorted((key % (1 << 64), share) for _, entries, _, _ in level.values() for key, share, _ in entries)
-            self.levels.append((contexts, left, np.array([k for k, _ in pairs], dtype=np.uint64), np.array([s for _, s in pairs])))
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        for level in reversed(tried):
+            kept = {c: node for c, node in level.items() if node.diverges or c in need}
+            need = {node.suffix for node in kept.values()}
+            self.levels.insert(0, self._arrays(kept))
+
+    @staticmethod
+    def _node(rows, at: np.ndarray, total: int, below: np.ndarray, tree: Tree) -> Node:
+        """A context with its frequent next words, tested against what its suffix says of them (``below``)."""
+        c = rows["c"][at].astype(float)
+        rest, rest_p = total - c.sum(), max(1 - below.sum(), 1e-12)
+        g = 2 * ((c * np.log(c / (total * below))).sum() + (rest * np.log(rest / (total * rest_p)) if rest > 0 else 0.0))
+        chance = len(at) + tree.sigmas * np.sqrt(2 * len(at))
+        left = (rest + DISCOUNT * len(at)) / total
+        return Node(int(rows["suffix"][at[0]]), left, rows["key"][at], (c - DISCOUNT) / total, bool(g > chance))
+
+    @staticmethod
+    def _arrays(level: dict[int, Node]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        contexts = np.array(list(level), dtype=np.int64).view(np.uint64)
+        left = np.array([node.left for node in level.values()])
+        keys = np.concatenate([np.zeros(0, np.int64), *[node.keys for node in level.values()]]).view(np.uint64)
+        shares = np.concatenate([np.zeros(0), *[node.shares for node in level.values()]])
+        a, b = np.argsort(contexts), np.argsort(keys)
+        return contexts[a], left[a], keys[b], shares[b]
 
 
 def find(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -308,24 +313,48 @@ def probabilities(chunk: Chunk, counts: np.ndarray, root: Root, nodes: Nodes) ->
     return p
 
 
-def scored(documents: DataFrame, tree: Tree = Tree(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each row: ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``."""
-    chunks = stage(encoded(documents, tree, key, text), "tree-chunks")
-    counts = stage(word_counts(chunks), "tree-words")
+def next_words(context: list[int], words: np.ndarray, counts: np.ndarray, root: Root, nodes: Nodes) -> np.ndarray:
+    """The distribution over ``words`` (hashes, with their ``counts`` in training) after ``context`` (hashes)."""
+    p = root.p(counts)
+    for n, (contexts, left, keys, shares) in enumerate(nodes.levels, start=2):
+        if len(context) < n - 1:
+            break
+        before = [np.array([h], dtype=np.uint64) for h in context[len(context) - n + 1 :]]
+        at, hit = find(contexts, gram(before))
+        if not hit[0]:
+            break
+        own, known = find(keys, gram([*[np.repeat(h, len(words)) for h in before], words]))
+        p = p * left[at[0]]
+        p[known] += shares[own[known]]
+    return p
+
+
+@dataclass
+class Fitted:
+    root: Root
+    nodes: Nodes
+
+
+def fitted(chunks: DataFrame, tree: Tree, counts: DataFrame | None = None) -> Fitted:
+    """The tree of all training rows in ``chunks``, a written table."""
+    counts = counts if counts is not None else word_counts(chunks)
     total = counts.where("first and c > 0").agg(
         F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count(F.when(F.col("c") == 1, 1))).first()
     root = Root(*total)
     least = max(tree.least_count, int(np.ceil(tree.least_share * root.tokens)))
     passes = [s >= least for s in _counters(chunks, tree)]
+    # At most 1 / least_share rows of each length reach the driver.
     found = _frequent(chunks, passes, least, tree).toArrow()
-    rows = {c: found[c].to_numpy() for c in found.column_names}
-    frequent = counts.where("first").where(F.col("c") >= least).select("word", "c").toArrow()
-    of_word = {
-        int(np.uint64(xxhash.xxh3_64_intdigest(w)).view(np.int64)): c
-        for w, c in zip(frequent["word"].to_pylist(), frequent["c"].to_pylist(), strict=True)
-    }
-    nodes = Nodes(rows, of_word, root, tree)
-    share = documents.sparkSession.sparkContext.broadcast((root, nodes))
+    words = counts.where("first").where(F.col("c") >= least).select("word", "c").toArrow()
+    of_word = {int(np.uint64(word_hash(w)).view(np.int64)): c for w, c in zip(words["word"].to_pylist(), words["c"].to_pylist(), strict=True)}
+    return Fitted(root, Nodes({c: found[c].to_numpy() for c in found.column_names}, of_word, root, tree))
+
+
+def scored(documents: DataFrame, tree: Tree = Tree(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """For each row: ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``."""
+    chunks = stage(encoded(documents, tree, key, text), "tree-chunks")
+    counts = stage(word_counts(chunks), "tree-words")
+    share = documents.sparkSession.sparkContext.broadcast(fitted(chunks, tree, counts))
     answers = counts.groupBy("chunk").agg(F.collect_list(F.struct("at", "c")).alias("answers"))
     kind = documents.schema[key].dataType
     schema = T.StructType([
@@ -334,7 +363,7 @@ def scored(documents: DataFrame, tree: Tree = Tree(), key: str = "doc_id", text:
     ])
 
     def run(batches):
-        root, nodes = share.value
+        root, nodes = share.value.root, share.value.nodes
         for row in _chunks(batches):
             c = Chunk(row)
             answers = row["answers"].values
@@ -350,6 +379,3 @@ def scored(documents: DataFrame, tree: Tree = Tree(), key: str = "doc_id", text:
 
     return chunks.join(answers, "chunk").select("docs", "held", "lengths", "ids", "words", "answers").mapInArrow(run, schema)
 
-
-def crc_remainder(doc_id) -> int:
-    return zlib.crc32(str(doc_id).encode()) % 7
