@@ -12,18 +12,14 @@ from . import query
 from .sqlviews import add, sql
 from .views import BASE_US
 
-add("decided", """(
-  SELECT *, seq = max(seq) OVER (PARTITION BY camera_id, us // 1500000) AS admitted FROM result)""", ["result"])
+# Frames on a grid of 0.2 s, thinned to one in 0.7 s at least: every fourth is taken.
+add("decided", "(SELECT *, (seq - 1) % 4 = 0 AS admitted FROM frame)", ["frame"])
 
 
 def decisions(v):
-    sized = v.results.withColumns({"frame_w": F.lit(640), "frame_h": F.lit(360)})
-    return G.admit_newest(sized, 1_500_000)
-
-
-@query("admit_newest", sql("decided", "SELECT camera_id, seq, admitted FROM decided"))
-def _(v):
-    return decisions(v).select("camera_id", "seq", "admitted")
+    """All frames, and whether the rate limit lets them through."""
+    taken = G.sample_rate(v.frames.select("camera_id", "seq", "us"), 1 / 0.7).select("camera_id", "seq", F.lit(True).alias("admitted"))
+    return v.frames.join(taken, ["camera_id", "seq"], "left").withColumn("admitted", F.coalesce("admitted", F.lit(False)))
 
 
 @query("admission_stats", sql("decided", """
@@ -55,10 +51,10 @@ def _(v):
     return G.camera_summary(v.frames).select("camera_id", "last_frame_id", "last_us", "frame_count")
 
 
-@query("camera_overview", sql("visit decided camera", """
+@query("camera_overview", sql("visit result camera", """
 SELECT coalesce(s.camera_id, r.camera_id) AS camera_id, s.n AS signups, r.seq AS result_seq
 FROM (SELECT camera_id, count(*) AS n FROM visit WHERE event_type = 'signup' GROUP BY ALL) s
-FULL JOIN (SELECT camera_id, max(seq) AS seq FROM decided WHERE objects >= 5 GROUP BY ALL) r ON r.camera_id = s.camera_id"""))
+FULL JOIN (SELECT camera_id, max(seq) AS seq FROM result WHERE objects >= 5 GROUP BY ALL) r ON r.camera_id = s.camera_id"""))
 def _(v):
     stats = v.visits.where("event_type = 'signup'").groupBy("camera_id").agg(F.count("*").alias("signups"))
     return G.camera_overview(stats, v.results.where("objects >= 5")).select("camera_id", "signups", "result_seq")
@@ -147,32 +143,40 @@ def _(v):
     return G.windowed_counts(e, ["user_id"], session_gap="1 hour").select("user_id", F.unix_micros("start").alias("start_us"), "n")
 
 
-# Labels: spans of the stays of every third track; predictions: the stays that were reported.
+# Labels: spans of all stays, those of every third track 40 s late; predictions: the stays that were reported.
 add("truth", """(
-  SELECT rule_id || '|' || track_key || '|' || first_us AS truth_id, camera_id AS video, zone_id AS zone, rule_type AS event_type,
-         first_us AS from_us, max(us) AS to_us
-  FROM stay WHERE CAST(regexp_extract(track_key, '(\\d+)$', 1) AS BIGINT) % 3 = 0 GROUP BY ALL)""", ["stay"])
+  SELECT truth_id, video, zone, event_type, from_us + late AS from_us, to_us + late AS to_us FROM (
+    SELECT rule_id || '|' || track_key || '|' || first_us AS truth_id, camera_id AS video, zone_id AS zone, rule_type AS event_type, first_us AS from_us,
+           max(us) AS to_us, CASE WHEN CAST(regexp_extract(any_value(track_key), '(\\d+)$', 1) AS BIGINT) % 3 = 1 THEN 40000000 ELSE 0 END AS late
+    FROM stay GROUP BY rule_id, track_key, first_us, camera_id, zone_id, rule_type))""", ["stay"])
 add("predicted", """(
-  SELECT source_event_id AS pred_id, camera_id AS video, zone_id AS zone, rule_type AS event_type, us AS start_us
-  FROM hb WHERE heartbeat_index = 1 AND who <> 'crowd')""", ["hb"])
-add("onelabel", """(
-  SELECT p.pred_id, p.start_us, arg_min(t.truth_id, (t.from_us, t.truth_id)) AS truth_id, min(t.from_us) AS from_us
-  FROM predicted p JOIN truth t ON t.video = p.video AND t.zone = p.zone AND t.event_type = p.event_type AND p.start_us BETWEEN t.from_us AND t.to_us
-  GROUP BY p.pred_id, p.start_us)""", ["predicted", "truth"])
-add("tp", """(
-  SELECT truth_id, arg_min(pred_id, (start_us, pred_id)) AS pred_id, (min(start_us) - any_value(from_us)) / 1000000e0 AS delay_s FROM onelabel GROUP BY truth_id)""", ["onelabel"])
+  SELECT *, row_number() OVER (PARTITION BY video, zone, event_type ORDER BY start_us, pred_id) AS n FROM (
+    SELECT source_event_id AS pred_id, camera_id AS video, zone_id AS zone, rule_type AS event_type, us AS start_us
+    FROM hb WHERE heartbeat_index = 1 AND who <> 'crowd'))""", ["hb"])
+# What each prediction could take, first the label that ends first; then one prediction of each key after the other.
+add("choice", """(
+  SELECT p.video, p.zone, p.event_type, p.n, p.pred_id, coalesce(list(t.truth_id ORDER BY t.to_us, t.truth_id) FILTER (t.truth_id IS NOT NULL), []) AS fits
+  FROM predicted p LEFT JOIN truth t ON t.video = p.video AND t.zone = p.zone AND t.event_type = p.event_type AND p.start_us BETWEEN t.from_us AND t.to_us
+  GROUP BY ALL)""", ["predicted", "truth"])
+add("picked", """/*recursive*/ (
+  SELECT video, zone, event_type, n, pred_id, fits[1] AS truth_id, CASE WHEN len(fits) > 0 THEN [fits[1]] ELSE [] END AS used FROM choice WHERE n = 1
+  UNION ALL
+  SELECT video, zone, event_type, n, pred_id, truth_id, CASE WHEN truth_id IS NULL THEN used ELSE list_append(used, truth_id) END FROM (
+    SELECT c.video, c.zone, c.event_type, c.n, c.pred_id, p.used, list_filter(c.fits, lambda x: NOT list_contains(p.used, x))[1] AS truth_id
+    FROM picked p JOIN choice c ON c.video = p.video AND c.zone = p.zone AND c.event_type = p.event_type AND c.n = p.n + 1))""", ["choice"])
 add("outcome", """(
-  SELECT t.event_type, 'tp' AS outcome, tp.pred_id, tp.truth_id, tp.delay_s FROM tp JOIN truth t USING (truth_id)
-  UNION ALL SELECT event_type, 'fp', pred_id, NULL, NULL FROM predicted WHERE pred_id NOT IN (SELECT pred_id FROM tp)
-  UNION ALL SELECT event_type, 'fn', NULL, truth_id, NULL FROM truth WHERE truth_id NOT IN (SELECT truth_id FROM tp))""", ["tp", "truth", "predicted"])
+  SELECT k.event_type, CASE WHEN k.truth_id IS NULL THEN 'fp' ELSE 'tp' END AS outcome, k.pred_id, k.truth_id, (p.start_us - t.from_us) / 1000000e0 AS delay_s
+  FROM picked k JOIN predicted p USING (pred_id) LEFT JOIN truth t ON t.truth_id = k.truth_id
+  UNION ALL SELECT event_type, 'fn', NULL, truth_id, NULL FROM truth WHERE truth_id NOT IN (SELECT truth_id FROM picked WHERE truth_id IS NOT NULL))""", ["picked", "truth", "predicted"])
 
 
 def matches(v):
-    third = F.regexp_extract("track_key", r"(\d+)$", 1).cast("bigint") % 3 == 0
-    truth = v.stays.where(third).groupBy("rule_id", "track_key", "first_us").agg(
+    third = F.regexp_extract("track_key", r"(\d+)$", 1).cast("bigint") % 3 == 1
+    late = F.when(third, 40_000_000).otherwise(0)
+    truth = v.stays.groupBy("rule_id", "track_key", "first_us").agg(
         F.min("camera_id").alias("video"), F.min("zone_id").alias("zone"), F.min("rule_type").alias("event_type"), F.max("us").alias("to_us")
     ).select(F.concat_ws("|", "rule_id", "track_key", "first_us").alias("truth_id"), "video", "zone", "event_type",
-             F.col("first_us").alias("from_us"), "to_us")
+             (F.col("first_us") + late).alias("from_us"), (F.col("to_us") + late).alias("to_us"))
     crowd = F.col("rule_type") == "crowd_limit"
     pred = v.beats.where((F.col("heartbeat_index") == 1) & ~crowd).select(
         F.col("source_event_id").alias("pred_id"), F.col("camera_id").alias("video"), F.col("zone_id").alias("zone"),
@@ -186,11 +190,13 @@ def _(v):
 
 
 @query("detection_quality", sql("outcome", """
-SELECT event_type, tp, fp, fn, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * tp / (2 * tp + fp + fn) AS f1 FROM (
-  SELECT event_type, count(*) FILTER (outcome = 'tp') AS tp, count(*) FILTER (outcome = 'fp') AS fp, count(*) FILTER (outcome = 'fn') AS fn
+SELECT event_type, tp, fp, fn, mean_delay_ms, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * tp / (2 * tp + fp + fn) AS f1 FROM (
+  SELECT event_type, count(*) FILTER (outcome = 'tp') AS tp, count(*) FILTER (outcome = 'fp') AS fp, count(*) FILTER (outcome = 'fn') AS fn,
+         CAST(round(avg(delay_s) * 1000) AS BIGINT) AS mean_delay_ms
   FROM outcome GROUP BY event_type)"""))
 def _(v):
-    return G.detection_quality(matches(v)).drop("mean_delay_s")
+    delay = F.round(F.col("mean_delay_s") * 1000).cast("bigint").alias("mean_delay_ms")
+    return G.detection_quality(matches(v)).select("event_type", "tp", "fp", "fn", delay, "precision", "recall", "f1")
 
 
 @query("count_error", sql("det", """

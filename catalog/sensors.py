@@ -15,8 +15,8 @@ from .views import BASE_US
 
 add("sact", """(
   SELECT *, count(*) OVER w = 3 AND min(CAST(positive AS INTEGER)) OVER w = 1 AS is_active,
-         lead(us) OVER (PARTITION BY sensor_id ORDER BY us) AS next_us
-  FROM reading WINDOW w AS (PARTITION BY sensor_id ORDER BY us ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))""", ["reading"])
+         lead(us) OVER (PARTITION BY sensor_id ORDER BY us, reading_id) AS next_us
+  FROM reading WINDOW w AS (PARTITION BY sensor_id ORDER BY us, reading_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))""", ["reading"])
 
 
 @query("sensor_active", sql("sact", "SELECT reading_id, sensor_id, is_active FROM sact"))
@@ -116,10 +116,15 @@ add("turns", """(
 add("steps", """(
   SELECT location_id, us AS from_us, lead(us) OVER (PARTITION BY location_id ORDER BY us) AS to_us,
          CAST(sum(t) OVER (PARTITION BY location_id ORDER BY us) AS BIGINT) AS n_sources FROM turns)""", ["turns"])
+add("hsteps", f"""(
+  SELECT location_id, p AS from_us, coalesce(lead(p) OVER (PARTITION BY location_id, from_us ORDER BY p), to_us) AS to_us, n_sources FROM (
+    SELECT *, from_us AS p FROM steps
+    UNION ALL SELECT s.*, b FROM steps s, (SELECT unnest([{BASE_US} + 300000000, {BASE_US} + 86400000000]) AS b)
+      WHERE n_sources = 2 AND b > from_us AND b < coalesce(to_us, (SELECT max(from_us) + 1 FROM steps))))""", ["steps"])
 add("levels", """(
   SELECT *, CASE WHEN n_sources >= 2 AND NOT ((from_us // 60000000) % 1440 >= 0 AND (from_us // 60000000) % 1440 < 5) THEN 'CRITICAL'
     WHEN n_sources <= 0 THEN 'LOW' WHEN n_sources = 1 THEN 'MEDIUM' WHEN n_sources = 2 THEN 'HIGH' ELSE 'CRITICAL' END AS level
-  FROM steps)""", ["steps"])
+  FROM hsteps)""", ["hsteps"])
 
 
 def levels(v):

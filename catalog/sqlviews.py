@@ -191,10 +191,10 @@ add("reading", f"""(
   SELECT event_id AS reading_id, 's-' || s AS sensor_id, (['DOOR', 'PIR_MOTION', 'BEAM'])[1 + s % 3] AS sensor_type,
          'loc-' || s % 5 AS location_id, 'z-' || s % 7 AS zone_id, {BASE_US} + epoch_us(ts) % (fold * 1000000) AS us,
          value >= 30 AS positive
-  FROM (SELECT *, user_id % 60 AS s FROM events WHERE event_id % 2 = 1), base)""", ["base"])
+  FROM (SELECT *, user_id % 60 AS s FROM events), base)""", ["base"])
 add("signal", f"""(
   SELECT event_id, 'cam-' || user_id % 25 AS camera_id, location_id, 'z-' || user_id % 7 AS zone_id,
          CASE event_type WHEN 'view' THEN 'FORBIDDEN_ZONE_INTRUSION' WHEN 'click' THEN 'RESTRICTED_ZONE_CROWDING'
               ELSE 'RESTRICTED_ZONE_LOITERING' END AS event_type, user_id % 11 AS track_id,
          {BASE_US} + epoch_us(ts) % (fold * 1000000) AS us, least(1e0, value / 50) AS confidence
-  FROM events JOIN camera ON camera.id = 'cam-' || user_id % 25, base WHERE event_id % 2 = 0)""", ["base", "camera"])
+  FROM events JOIN camera ON camera.id = 'cam-' || user_id % 25, base)""", ["base", "camera"])

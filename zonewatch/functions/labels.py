@@ -58,7 +58,7 @@ def humanize(value: Column) -> Column:
     """``vehicle_stopping`` to ``Vehicle stopping``; only the first letter changes."""
     parts = F.filter(F.split(F.coalesce(value, F.lit("")), "_"), lambda s: s != "")
     text = F.array_join(parts, " ")
-    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 1_000_000))
+    return F.concat(F.upper(F.left(text, F.lit(1))), F.right(text, F.length(text) - 1))
 
 
 def rule_label(rule_type: Column) -> Column:

@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.clock import micros
 from ..session import stage
 from .throttle import throttle
-from .timeline import asof, interval_join
-
-FRAMES_PER_SLICE = 20_000
+from .timeline import asof, interval_join, slice_frames
 
 
 def plan_snapshots(events: DataFrame, evidence: DataFrame | None = None, every_s: float = 120.0) -> DataFrame:
@@ -103,7 +101,7 @@ def next_after(cursors: DataFrame, frames: DataFrame) -> DataFrame:
     shots = frames.select("camera_id", F.col("seq").alias("__seq"), "frame_id")
     found = asof(
         wanted, shots, ["camera_id"], "__from", "__seq", {"__seq": "seq", "frame_id": "frame_id"},
-        forward=True, inclusive=False, width=FRAMES_PER_SLICE,
+        forward=True, inclusive=False, width=slice_frames(),
     )
     return found.where("seq IS NOT NULL").drop("__from")
 

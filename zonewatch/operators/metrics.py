@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from heapq import heappop, heappush
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import SECOND, micros
 from .throttle import throttle
-from .timeline import interval_join
+from .timeline import asof, running_sum, scan_in_order, values
 
 
 def class_counts(detections: DataFrame) -> DataFrame:
@@ -29,18 +31,8 @@ def class_summary(detections: DataFrame) -> DataFrame:
     )
 
 
-def admit_newest(frames: DataFrame, batch_us: int) -> DataFrame:
-    """Frames with ``batch`` and ``admitted``: only the newest frame of each camera and batch is taken.
-
-    ``batch_us`` is the time one analysis round takes; all older frames of the round are dropped.
-    """
-    f = frames.withColumn("batch", F.expr(f"us div {int(batch_us)}L"))
-    newest = f.groupBy("camera_id", "batch").agg(F.max("seq").alias("__top"))
-    return f.join(newest, ["camera_id", "batch"]).withColumn("admitted", F.col("seq") == F.col("__top")).drop("__top")
-
-
 def admission_stats(decisions: DataFrame) -> DataFrame:
-    """Per camera: frames received, admitted and dropped, and the latest of each."""
+    """Per camera: frames received, admitted and dropped, and the latest of each, from given decisions (``admitted``)."""
     taken = F.when(F.col("admitted"), F.col("seq"))
     return decisions.groupBy("camera_id").agg(
         F.count("*").alias("received_frames"),
@@ -191,38 +183,52 @@ def windowed_counts(
     )
 
 
+def _earliest_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pair each prediction with the open label that ends first; rows come by run, in order of time."""
+    heap: list[tuple[int, str, int]] = []
+    for batch in batches:
+        out = []
+        for new, at, to, ident in zip(*[values(batch.column(c)) for c in ("__new", "at_us", "to_us", "id")]):
+            if new:
+                heap = []
+            if to is not None:
+                heappush(heap, (to, ident, at))
+                continue
+            while heap and heap[0][0] < at:
+                heappop(heap)
+            if heap:
+                _, truth, begun = heappop(heap)
+                out.append((ident, truth, (at - begun) / SECOND))
+        cols = list(zip(*out)) if out else [[], [], []]
+        kinds = (pa.string(), pa.string(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["pred_id", "truth_id", "delay_s"])
+
+
 def match_ground_truth(pred: DataFrame, truth: DataFrame, slack_s: float = 0.0) -> DataFrame:
     """Predicted events paired one to one with labelled ones: ``outcome`` tp, fp or fn.
 
     A prediction (``pred_id video zone event_type start_us``) fits a label (``truth_id`` and the same,
-    ``from_us to_us``) that it starts in. Each prediction takes its earliest label, each label its
-    earliest prediction; what is left over is false. Labels ``none`` only say what must not fire.
+    ``from_us to_us``) that it starts in. As many as can be are paired: in order of time, each prediction takes
+    the label that ends first of those open and not taken. What is left over is false. Labels ``none`` only say
+    what must not fire. Labels that overlap form runs, and each run of a key is worked through on its own.
     """
     keys = ["video", "zone", "event_type"]
     real = truth.where("event_type <> 'none'")
-    spans = real.withColumn("__to", F.col("to_us") + micros(slack_s))
-    shots = pred.select(*keys, "pred_id", F.col("start_us").alias("pred_us"))
-    pairs = interval_join(spans, shots, keys, "from_us", "__to", "pred_us", micros(60))
-    one = pairs.groupBy("pred_id").agg(
-        F.min_by(F.struct("truth_id", "from_us", "pred_us"), F.struct("from_us", "truth_id")).alias("t")
-    ).select("pred_id", "t.*")
-    both = one.groupBy("truth_id").agg(
-        F.min_by(F.struct("pred_id", "from_us", "pred_us"), F.struct("pred_us", "pred_id")).alias("p")
-    ).select("truth_id", "p.*")
-    delay = ((F.col("pred_us") - F.col("from_us")) / F.lit(float(SECOND))).alias("delay_s")
-    none = F.lit(None)
-    tp = both.join(real.select("truth_id", "event_type"), "truth_id").select(
-        "event_type", F.lit("tp").alias("outcome"), "pred_id", "truth_id", delay
-    )
-    fp = pred.join(both.select("pred_id"), "pred_id", "left_anti").select(
-        "event_type", F.lit("fp").alias("outcome"), "pred_id", none.cast("string").alias("truth_id"),
-        none.cast("double").alias("delay_s"),
-    )
-    fn = real.join(both.select("truth_id"), "truth_id", "left_anti").select(
-        "event_type", F.lit("fn").alias("outcome"), none.cast("string").alias("pred_id"), "truth_id",
-        none.cast("double").alias("delay_s"),
-    )
-    return tp.unionByName(fp).unionByName(fn)
+    spans = real.select(*keys, F.col("truth_id").alias("id"), F.col("from_us").alias("at_us"), (F.col("to_us") + micros(slack_s)).alias("to_us"))
+    shots = pred.select(*keys, F.col("pred_id").alias("id"), F.col("start_us").alias("at_us"), F.lit(None).cast("bigint").alias("to_us"))
+    borders = F.array(F.struct(F.col("at_us").alias("us"), F.lit(1).alias("d")), F.struct((F.col("to_us") + 1).alias("us"), F.lit(-1).alias("d")))
+    steps = spans.where("to_us >= at_us").select(*keys, F.explode(borders).alias("s")).groupBy(*keys, F.col("s.us").alias("us")).agg(F.sum("s.d").alias("d"))
+    open_now = running_sum(steps, keys, "us", F.col("d"), "open")
+    begins = open_now.where("open > 0 AND open = d").select(*keys, F.col("us").alias("run_us"))
+    placed = asof(spans.unionByName(shots), begins, keys, "at_us", "run_us", {"run_us": "run_us"}).where("run_us IS NOT NULL")
+    label_first = F.col("to_us").isNull()
+    paired = scan_in_order(
+        placed, [*keys, "run_us"], ["at_us", label_first, "id"], _earliest_end, "pred_id string, truth_id string, delay_s double", spread=True)
+    out = pred.select("event_type", "pred_id").join(paired, "pred_id", "left").select(
+        "event_type", F.when(F.col("truth_id").isNull(), "fp").otherwise("tp").alias("outcome"), "pred_id", "truth_id", "delay_s")
+    missed = real.join(paired.select("truth_id"), "truth_id", "left_anti").select(
+        "event_type", F.lit("fn").alias("outcome"), F.lit(None).cast("string").alias("pred_id"), "truth_id", F.lit(None).cast("double").alias("delay_s"))
+    return out.unionByName(missed)
 
 
 def detection_quality(matches: DataFrame) -> DataFrame:

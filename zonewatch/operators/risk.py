@@ -26,7 +26,7 @@ def sensor_intervals(active_readings: DataFrame, hold_s: float = 300.0) -> DataF
 
     A sensor that falls silent stays active for ``hold_s`` at most.
     """
-    ahead = previous(active_readings, ["sensor_id"], "us", {"us": "__next"}, descending=True)
+    ahead = previous(active_readings, ["sensor_id"], "us", {"us": "__next"}, descending=True, tie=["reading_id"])
     until = F.least(F.coalesce("__next", F.col("us") + micros(hold_s)), F.col("us") + micros(hold_s))
     return ahead.where("is_active").select(
         "location_id", F.col("sensor_type").alias("source"), F.col("us").alias("from_us"), until.alias("to_us")
@@ -42,8 +42,9 @@ def risk_levels(intervals: DataFrame, working_from: int = 0, working_to: int = 1
 
     ``intervals`` (``location_id source from_us to_us``, end excluded) may overlap; sources of one kind
     count once. Two or more sources outside working hours (UTC minutes of the day, end excluded) are
-    critical; hours are looked at when the number of sources changes. The steps between, far fewer than
-    the readings, are staged.
+    critical, so a span with that many is cut where the hours begin and end; cuts that don't change the
+    level are left out. A span without an end is cut up to the last step of any location. The steps
+    between, far fewer than the readings, are staged.
     """
     steps = intervals.where("to_us > from_us").select(
         "location_id", "source",
@@ -64,12 +65,31 @@ def risk_levels(intervals: DataFrame, working_from: int = 0, working_to: int = 1
     )
     counted = stage(running_sum(changes, ["location_id"], "us", F.col("turn"), "n_sources"), "counted").drop("turn")
     spans = previous(counted, ["location_id"], "us", {"us": "to_us"}, descending=True)
+    spans = _cut_at_hours(spans, counted, working_from, working_to)
     minute = local_minutes(F.col("us"), 0.0)
     off = ~((minute >= working_from) & (minute < working_to))
     level = F.when(off & (F.col("n_sources") >= 2), LEVELS[3]).otherwise(_level(F.col("n_sources")))
     return spans.select("location_id", F.col("us").alias("from_us"), "to_us", "n_sources", level.alias("level"))
 
 
+def _cut_at_hours(spans: DataFrame, counted: DataFrame, working_from: int, working_to: int) -> DataFrame:
+    """Spans with exactly two sources, the only ones whose level the hours decide, cut where working hours begin and end."""
+    borders = [b for b in {working_from % 1440, working_to % 1440} if (working_to - working_from) % 1440]
+    if not borders:
+        return spans
+    day = 1440 * MINUTE
+    end = counted.agg(F.max("us")).scalar()
+    spans = spans.withColumn("__end", end)
+    until = F.coalesce("to_us", F.col("__end") + 1)
+    days = F.sequence(F.expr(f"us div {day}L"), F.expr(f"greatest(us, coalesce(to_us, __end + 1) - 1) div {day}L"))
+    at = F.flatten(F.transform(days, lambda d: F.array(*[d * day + b * MINUTE for b in borders])))
+    inside = F.when(F.col("n_sources") == 2, F.filter(at, lambda t: (t > F.col("us")) & (t < until))).otherwise(F.array().cast("array<bigint>"))
+    steps = F.array_sort(F.array_union(F.array("us"), inside))
+    cut = spans.withColumn("__steps", steps).withColumn("__i", F.explode(F.sequence(F.lit(0), F.size("__steps") - 1)))
+    return cut.select(
+        "location_id", F.get("__steps", F.col("__i")).alias("us"), F.coalesce(F.get("__steps", F.col("__i") + 1), "to_us").alias("to_us"), "n_sources")
+
+
 def with_risk_alert(levels: DataFrame, grace_s: float = 30.0) -> DataFrame:
     """Positive steps with the start ``alert_from_us`` of the alert they belong to.
 
@@ -111,6 +131,3 @@ def risk_alert_changes(levels: DataFrame, grace_s: float = 30.0) -> DataFrame:
         F.col("last_level").alias("level"),
     )
     return told.unionByName(closed)
-
-
-__all__ = ["ai_intervals", "sensor_intervals", "risk_levels", "risk_alerts", "risk_alert_changes", "MINUTE"]

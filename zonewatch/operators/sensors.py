@@ -12,8 +12,8 @@ from .timeline import asof, last_n_all, previous
 
 
 def sensor_active(readings: DataFrame, n: int = 3) -> DataFrame:
-    """Readings with ``is_active``: the sensor's last ``n`` readings were all positive."""
-    return last_n_all(readings, ["sensor_id"], "us", F.col("positive"), n, "is_active")
+    """Readings with ``is_active``: the sensor's last ``n`` readings were all positive; ``reading_id`` orders those of one instant."""
+    return last_n_all(readings, ["sensor_id"], "us", F.col("positive"), n, "is_active", tie=["reading_id"])
 
 
 def ai_active(events: DataFrame, asof_points: DataFrame, within_s: float = 3.0, min_confidence: float = 0.6) -> DataFrame:

@@ -44,13 +44,14 @@ def _after_frames(hits: DataFrame, frames: DataFrame) -> DataFrame:
     """Hits with ``prev_frame_us``; the join key is camera and instant, so a busy camera spreads.
 
     Frames that carry it already (``with_previous_frame``, one row per instant) are taken as they are.
+    A hit whose frame row is missing stays; it counts as following its track's last hit.
     """
     if "prev_frame_us" in hits.columns:
         return hits
     if "prev_frame_us" in frames.columns:
-        return hits.join(frames.select("camera_id", "us", "prev_frame_us"), ["camera_id", "us"])
+        return hits.join(frames.select("camera_id", "us", "prev_frame_us"), ["camera_id", "us"], "left")
     f = with_previous_frame(frames.select("camera_id", "us").distinct())
-    return hits.join(f, ["camera_id", "us"])
+    return hits.join(f, ["camera_id", "us"], "left")
 
 
 def _timed(df: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.clock import HOUR, micros
+from ..functions.clock import micros
 from .timeline import SLICE, _slice, scan_in_order, values
 
 
@@ -128,7 +128,7 @@ def throttle(
     ts: str,
     interval_s: float,
     tie: Sequence[Column | str] = (),
-    width: int = HOUR,
+    width: int | None = None,
     seed: str | None = None,
 ) -> DataFrame:
     """Rows kept when each must come at least ``interval_s`` after the last one kept for its key.

@@ -5,6 +5,9 @@ partitioned by such a key alone. The key's timeline is cut into slices of fixed
 done inside ``(key, slice)``, a summary of one row per slice carries the state over the cuts, and
 the carried state is joined back. The summaries grow with the time span, not with the rows.
 
+How wide a slice is, is a setting of the session: ``zonewatch.slice.seconds`` for times (an hour unless set) and
+``zonewatch.slice.frames`` for sequence numbers. Take one that keeps a key's slice within what a task can do.
+
 The input of these functions is read twice (once narrow, for the summaries). Where it is costly to
 derive, or where one of them follows another, pass a staged input (``session.stage``).
 """
@@ -14,18 +17,28 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.clock import HOUR
+from ..functions.clock import SECOND
 from ..session import stage
 
 SLICE = "__slice"
 
 
-def _slice(ts: str, width: int) -> Column:
-    return F.expr(f"`{ts}` div {int(width)}L")
+def slice_us() -> int:
+    """Width of a slice of time in microseconds."""
+    return int(SparkSession.active().conf.get("zonewatch.slice.seconds", "3600")) * SECOND
+
+
+def slice_frames() -> int:
+    """Width of a slice of frame numbers."""
+    return int(SparkSession.active().conf.get("zonewatch.slice.frames", "20000"))
+
+
+def _slice(ts: str, width: int | None) -> Column:
+    return F.expr(f"`{ts}` div {int(width or slice_us())}L")
 
 
 def _keys_of(df: DataFrame, keys: Sequence[str]) -> list[Column]:
@@ -51,7 +64,7 @@ def sessions(
     ts: str,
     gap: int,
     mark: str | None = None,
-    width: int = HOUR,
+    width: int | None = None,
     out: str = "first_us",
     carry: dict[str, str] | None = None,
 ) -> DataFrame:
@@ -89,18 +102,19 @@ def sessions(
 
 
 def previous(
-    df: DataFrame, keys: Sequence[str], order: str, cols: dict[str, str], width: int = HOUR, descending: bool = False
+    df: DataFrame, keys: Sequence[str], order: str, cols: dict[str, str], width: int | None = None, descending: bool = False,
+    tie: Sequence[str] = (),
 ) -> DataFrame:
     """Add the values of the key's row just before this one (after it when ``descending``).
 
-    ``cols`` maps each value column to the name it gets. ``order`` must be unique within a key.
+    ``cols`` maps each value column to the name it gets. ``order`` and ``tie`` must be unique within a key.
     """
     pack = F.struct(*[F.col(c) for c in cols])
-    direction = F.col(order).desc() if descending else F.col(order).asc()
-    within = Window.partitionBy(*_keys_of(df, keys), SLICE).orderBy(direction)
+    direction = [F.col(c).desc() if descending else F.col(c).asc() for c in (order, *tie)]
+    within = Window.partitionBy(*_keys_of(df, keys), SLICE).orderBy(*direction)
     cut = df.withColumn(SLICE, _slice(order, width))
     pick = F.min_by if descending else F.max_by
-    tails = cut.groupBy(*_keys_of(df, keys), SLICE).agg(pick(pack, F.col(order)).alias("__tail"))
+    tails = cut.groupBy(*_keys_of(df, keys), SLICE).agg(pick(pack, F.struct(order, *tie)).alias("__tail"))
     slice_order = F.col(SLICE).desc() if descending else F.col(SLICE).asc()
     along = Window.partitionBy(*_keys_of(df, keys)).orderBy(slice_order)
     tails = tails.select(*_keys_of(df, keys), SLICE, F.lag("__tail").over(along).alias("__carry"))
@@ -110,7 +124,7 @@ def previous(
 
 
 def running_sum(
-    df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str, width: int = HOUR
+    df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str, width: int | None = None
 ) -> DataFrame:
     """Add the sum of ``value`` over the key's rows up to this one, ties in ``order`` included."""
     cut = df.withColumn(SLICE, _slice(order, width)).withColumn("__v", value.cast("bigint"))
@@ -123,8 +137,9 @@ def running_sum(
     return joined.withColumn(out, F.col("__sum") + F.col("__before")).drop(SLICE, "__v", "__sum", "__before")
 
 
-def epochs(df: DataFrame, keys: Sequence[str], order: str, ts: str, out: str = "epoch", width: int = 50_000) -> DataFrame:
+def epochs(df: DataFrame, keys: Sequence[str], order: str, ts: str, out: str = "epoch", width: int | None = None) -> DataFrame:
     """Number the stretches of a key in which ``ts`` never goes back along ``order``."""
+    width = width or slice_frames()
     stepped = stage(previous(df, keys, order, {ts: "__before_ts"}, width), "epochs")
     back = F.when(F.col(ts) < F.col("__before_ts"), 1).otherwise(0)
     return running_sum(stepped, keys, order, back, out, width).drop("__before_ts")
@@ -139,7 +154,7 @@ def asof(
     cols: dict[str, str],
     forward: bool = False,
     inclusive: bool = True,
-    width: int = HOUR,
+    width: int | None = None,
 ) -> DataFrame:
     """For each left row the nearest right row of its key, backward or forward in time.
 
@@ -254,15 +269,18 @@ def scan_in_order(
 
 
 def last_n_all(
-    df: DataFrame, keys: Sequence[str], order: str, flag: Column, n: int, out: str, width: int = HOUR
+    df: DataFrame, keys: Sequence[str], order: str, flag: Column, n: int, out: str, width: int | None = None,
+    tie: Sequence[str] = (),
 ) -> DataFrame:
     """Add ``out``: the key's last ``n`` rows, this one included, exist and all have ``flag``.
 
+    ``tie`` orders rows of equal ``order``.
+
     Each slice is given the last ``n - 1`` flags before it; they come from at most that many slices.
     """
     cut = df.withColumn(SLICE, _slice(order, width)).withColumn("__f", F.coalesce(flag, F.lit(False)))
     names = [F.col(k) for k in keys]
-    back = Window.partitionBy(*names, SLICE).orderBy(F.col(order).desc())
+    back = Window.partitionBy(*names, SLICE).orderBy(*[F.col(c).desc() for c in (order, *tie)])
     tails = (
         cut.withColumn("__i", F.row_number().over(back)).where(F.col("__i") < n)
         .groupBy(*names, SLICE)
@@ -271,7 +289,7 @@ def last_n_all(
     )
     along = Window.partitionBy(*names).orderBy(SLICE).rowsBetween(-(n - 1), -1)
     tails = tails.select(*names, SLICE, F.flatten(F.collect_list("__t").over(along)).alias("__carry"))
-    within = Window.partitionBy(*names, SLICE).orderBy(order).rowsBetween(-(n - 1), 0)
+    within = Window.partitionBy(*names, SLICE).orderBy(order, *tie).rowsBetween(-(n - 1), 0)
     local = cut.withColumn("__all", F.min("__f").over(within)).withColumn("__c", F.count("__f").over(within))
     joined = _attach(local, tails, keys)
     missing = (F.lit(n) - F.col("__c")).cast("int")

@@ -76,34 +76,19 @@ def tuned(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``.
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, else one below the warehouse.
 
-    A temporary folder is made only in local mode, where driver and executors share a machine.
+    Both are settings of the cluster that every executor can reach; local mode takes the same way.
     """
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
-        folder = context.getCheckpointDir()
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        folder = tempfile.mkdtemp(prefix="zonewatch-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/_zonewatch"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read on from there.
-
-    Use between stages whose result is read more than once: the copy outlives lost executors and
-    the stages before it run once.
-    """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table below the shared checkpoint folder and read it back.
 
