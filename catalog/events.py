@@ -177,60 +177,40 @@ def _(v):
     return T.mirror_alerts(base, changes).select("id", "dedup_key", "last_seen_us")
 
 
-add("snapk", """(SELECT alert_id, us, min(source_event_id) AS source_event_id FROM linked GROUP BY alert_id, us)""", ["linked"])
-add("snapn", "(SELECT a.alert_id, a.us, b.us AS nxt FROM snapk a ASOF JOIN snapk b ON a.alert_id = b.alert_id AND b.us >= a.us + 5000000)", ["snapk"])
-add("snap", """/*recursive*/ (
-  SELECT alert_id, min(us) AS us FROM snapk GROUP BY alert_id
-  UNION ALL SELECT s.alert_id, n.nxt FROM snap s JOIN snapn n ON n.alert_id = s.alert_id AND n.us = s.us)""", ["snapk", "snapn"])
-
-
-def snapshots(v):
-    e = v.linked.withColumn("frame_id", keys.frame_id(F.col("camera_id"), F.col("last_seq")))
-    return E.plan_snapshots(e, every_s=5.0)
-
-
-@query("plan_snapshots", sql("snap snapk", """
-SELECT k.source_event_id, k.alert_id, k.us FROM snap JOIN snapk k ON k.alert_id = snap.alert_id AND k.us = snap.us"""))
+@query("plan_snapshots", sql("shot", "SELECT source_event_id, alert_id, us FROM shot"))
 def _(v):
-    return snapshots(v).select("source_event_id", "alert_id", "us")
+    e = v.linked.withColumn("frame_id", keys.frame_id(F.col("camera_id"), F.col("last_seq")))
+    return E.plan_snapshots(e, every_s=5.0).select("source_event_id", "alert_id", "us")
 
 
-add("around", """(
-  SELECT l.source_event_id, l.us AS event_us, f.us, f.seq, l.camera_id
-  FROM (SELECT source_event_id, camera_id, us FROM hb WHERE heartbeat_index = 1) l
-  JOIN result f ON f.camera_id = l.camera_id AND f.us BETWEEN l.us - 5000000 AND l.us + 5000000)""", ["hb", "result"])
+HALF = BASE_US + 250_000_000
 
 
-def opening(v):
-    return v.linked.where("heartbeat_index = 1").select(F.col("source_event_id").alias("event_id"), "camera_id", "us")
+@query("plan_snapshots_continued", sql("shot", f"SELECT source_event_id, alert_id, us FROM shot WHERE us > {HALF}"))
+def _(v):
+    """Planning goes on from the evidence there is: what came before is limited by it and isn't planned again."""
+    taken = v.snapshots.where(F.col("us") <= HALF).select(
+        F.col("source_event_id").alias("ai_event_id"), "alert_id", "frame_id", F.col("us").alias("captured_us"))
+    later = v.linked.where(F.col("us") > HALF).withColumn("frame_id", keys.frame_id(F.col("camera_id"), F.col("last_seq")))
+    return E.plan_snapshots(later, taken, every_s=5.0).select("source_event_id", "alert_id", "us")
 
 
-@query("frames_around", sql("around", "SELECT source_event_id, count(*) AS frames, min(us) AS first_us, max(us) AS last_us FROM around GROUP BY ALL"))
+@query("frames_around", sql("around", "SELECT clip_id, count(*) AS frames, min(us) AS first_us, max(us) AS last_us FROM around GROUP BY ALL"))
 def _(v):
-    pairs = E.frames_around(opening(v), v.results)
-    return pairs.groupBy(F.col("event_id").alias("source_event_id")).agg(
+    pairs = E.frames_around(v.clip_spans, v.results)
+    return pairs.groupBy(F.col("event_id").alias("clip_id")).agg(
         F.count("*").alias("frames"), F.min("frame_us").alias("first_us"), F.max("frame_us").alias("last_us"))
 
 
-add("arn", "(SELECT a.source_event_id, a.us, b.us AS nxt FROM around a ASOF JOIN around b ON a.source_event_id = b.source_event_id AND b.us >= a.us + 500000)", ["around"])
-add("ark", """/*recursive*/ (
-  SELECT source_event_id, min(us) AS us FROM around GROUP BY source_event_id
-  UNION ALL SELECT k.source_event_id, n.nxt FROM ark k JOIN arn n ON n.source_event_id = k.source_event_id AND n.us = k.us)""", ["around", "arn"])
-CLIP = "(SELECT * FROM ark UNION SELECT source_event_id, max(us) FROM around GROUP BY source_event_id)"
-
-
-@query("sample_clip", sql("around ark", f"SELECT source_event_id, us FROM {CLIP}"))
+@query("sample_clip", sql("cliprow", "SELECT clip_id, us FROM cliprow"))
 def _(v):
-    shots = v.staged("shots", lambda: E.frames_around(opening(v), v.results))
-    return E.sample_clip(shots, "event_id", 2.0).select(F.col("event_id").alias("source_event_id"), F.col("frame_us").alias("us"))
+    shots = v.staged("shots", lambda: E.frames_around(v.clip_spans, v.results))
+    return E.sample_clip(shots, "event_id", 2.0).select(F.col("event_id").alias("clip_id"), F.col("frame_us").alias("us"))
 
 
-@query("plan_clips", sql("around ark", f"""
-SELECT source_event_id, count(*) AS frames,
-       CASE WHEN min(c.us) > any_value(e.event_us) - 5000000 OR max(c.us) < any_value(e.event_us) + 5000000 THEN 'partial' ELSE 'completed' END AS status
-FROM {CLIP} c JOIN (SELECT DISTINCT source_event_id, event_us FROM around) e USING (source_event_id) GROUP BY source_event_id"""))
+@query("plan_clips", sql("clip", "SELECT clip_id, frames, status FROM clip"))
 def _(v):
-    return E.plan_clips(opening(v), v.results, fps=2.0).select(F.col("event_id").alias("source_event_id"), "frames", "status")
+    return E.plan_clips(v.clip_spans, v.results, fps=2.0).select(F.col("event_id").alias("clip_id"), "frames", "status")
 
 
 @query("frame_for_event", sql("visit frame", f"""

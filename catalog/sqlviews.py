@@ -133,27 +133,18 @@ AIEVENT = """aievent AS (
          arg_max(confidence, us) AS confidence, arg_min(track_key, us) AS track_id,
          CASE WHEN max(heartbeat_index) > 1 THEN arg_max(alert_id, us) END AS alert_id
   FROM linked GROUP BY source_event_id)"""
-EVIDENCE = """evidence AS (
-  SELECT 'ev-' || source_event_id || '-' || heartbeat_index AS id, source_event_id AS ai_event_id,
-         CASE WHEN heartbeat_index > 1 THEN alert_id END AS alert_id, camera_id,
-         CASE WHEN heartbeat_index % 2 = 1 THEN 'snapshot' ELSE 'video_clip' END AS evidence_type,
-         CASE WHEN heartbeat_index % 4 = 0 THEN 'partial' ELSE 'completed' END AS status,
-         us AS captured_us, us AS created_us,
-         camera_id || '-' || lpad(CAST(seq AS VARCHAR), 12, '0') AS frame_id
-  FROM linked WHERE heartbeat_index % 3 = 1)"""
-
 ORDER = [
     ("base", BASE), ("visit", VISIT), ("det", DET), ("camera", CAMERA), ("location", LOCATION), ("frame", FRAME),
     ("zone", ZONE), ("rule", RULE), ("zhit", ZHIT), ("rhit", RHIT), ("prevf", PREV), ("stay", STAY),
     ("crowd", CROWD), ("crowdrun", CROWDRUN), ("viol", VIOL), ("violnext", VIOLNEXT), ("beat", BEAT), ("hb", HB),
-    ("linked", LINKED), ("aievent", AIEVENT), ("evidence", EVIDENCE),
+    ("linked", LINKED), ("aievent", AIEVENT),
 ]
 NEEDS = {
     "base": [], "visit": ["base"], "det": ["visit"], "camera": [], "location": [], "frame": ["camera", "base"],
     "zone": ["camera"], "rule": ["camera"], "zhit": ["det"], "rhit": ["zhit", "rule"], "prevf": ["frame"],
     "stay": ["rhit", "prevf"], "crowd": ["rhit"], "crowdrun": ["crowd", "prevf"],
     "viol": ["stay", "crowdrun"], "violnext": ["viol"], "beat": ["viol", "violnext"], "hb": ["beat"],
-    "linked": ["hb"], "aievent": ["linked"], "evidence": ["linked"],
+    "linked": ["hb"], "aievent": ["linked"],
 }
 
 
@@ -198,3 +189,30 @@ add("signal", f"""(
               ELSE 'RESTRICTED_ZONE_LOITERING' END AS event_type, user_id % 11 AS track_id,
          {BASE_US} + epoch_us(ts) % (fold * 1000000) AS us, least(1e0, value / 50) AS confidence
   FROM events JOIN camera ON camera.id = 'cam-' || user_id % 25, base)""", ["base", "camera"])
+
+add("snapk", "(SELECT alert_id, us, min(source_event_id) AS source_event_id FROM linked GROUP BY alert_id, us)", ["linked"])
+add("snapn", "(SELECT a.alert_id, a.us, b.us AS nxt FROM snapk a ASOF JOIN snapk b ON a.alert_id = b.alert_id AND b.us >= a.us + 5000000)", ["snapk"])
+add("snap", """/*recursive*/ (
+  SELECT alert_id, min(us) AS us FROM snapk GROUP BY alert_id
+  UNION ALL SELECT s.alert_id, n.nxt FROM snap s JOIN snapn n ON n.alert_id = s.alert_id AND n.us = s.us)""", ["snapk", "snapn"])
+add("shot", """(
+  SELECT l.source_event_id || '@' || l.us AS clip_id, l.source_event_id, l.alert_id, l.us, l.camera_id, l.seq, l.heartbeat_index
+  FROM snap JOIN snapk k ON k.alert_id = snap.alert_id AND k.us = snap.us JOIN linked l ON l.source_event_id = k.source_event_id AND l.us = k.us)""", ["snap", "snapk", "linked"])
+add("around", """(
+  SELECT l.clip_id, l.us AS event_us, f.us, f.seq, l.camera_id
+  FROM shot l JOIN result f ON f.camera_id = l.camera_id AND f.us BETWEEN l.us - 5000000 AND l.us + 5000000)""", ["shot", "result"])
+add("arn", "(SELECT a.clip_id, a.us, b.us AS nxt FROM around a ASOF JOIN around b ON a.clip_id = b.clip_id AND b.us >= a.us + 500000)", ["around"])
+add("ark", """/*recursive*/ (
+  SELECT clip_id, min(us) AS us FROM around GROUP BY clip_id
+  UNION ALL SELECT k.clip_id, n.nxt FROM ark k JOIN arn n ON n.clip_id = k.clip_id AND n.us = k.us)""", ["around", "arn"])
+add("cliprow", "(SELECT * FROM ark UNION SELECT clip_id, max(us) FROM around GROUP BY clip_id)", ["ark", "around"])
+add("clip", """(
+  SELECT c.clip_id, count(*) AS frames,
+         CASE WHEN min(c.us) > any_value(s.us) - 5000000 OR max(c.us) < any_value(s.us) + 5000000 THEN 'partial' ELSE 'completed' END AS status
+  FROM cliprow c JOIN shot s USING (clip_id) GROUP BY c.clip_id)""", ["cliprow", "shot"])
+add("evidence", """(
+  SELECT 'ev-' || clip_id || '-' || kind AS id, source_event_id AS ai_event_id, CASE WHEN heartbeat_index > 1 THEN alert_id END AS alert_id,
+         camera_id, kind AS evidence_type, status, us AS captured_us, us AS created_us,
+         camera_id || '-' || lpad(CAST(seq AS VARCHAR), 12, '0') AS frame_id
+  FROM (SELECT *, 'snapshot' AS kind, 'completed' AS status FROM shot
+        UNION ALL SELECT s.*, 'video_clip', c.status FROM shot s JOIN clip c USING (clip_id)))""", ["shot", "clip"])

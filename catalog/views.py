@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from zonewatch.functions import geometry, keys
 from zonewatch.operators import alerts as A
+from zonewatch.operators import evidence as E
 from zonewatch.operators import sessions as S
 from zonewatch.operators import zones as Z
 from zonewatch.session import stage, tuned
@@ -275,17 +276,34 @@ class Views:
         ).withColumns({"created_us": F.col("started_us"), "source_event_id": F.col("id"),
                        "lifecycle_status": F.lit("active"), "ended_us": F.lit(None).cast("bigint")})
 
+    @property
+    def snapshots(self) -> DataFrame:
+        """Published events that get a picture: one in five seconds of each alert."""
+        def build():
+            e = self.linked.withColumn("frame_id", keys.frame_id(F.col("camera_id"), F.col("last_seq")))
+            return E.plan_snapshots(e, every_s=5.0)
+
+        return self.staged("snapshots", build)
+
+    @property
+    def clip_spans(self) -> DataFrame:
+        """What a clip is wanted of: every picture, under an id of its own."""
+        return self.snapshots.select(F.concat_ws("@", "source_event_id", "us").alias("event_id"), "camera_id", "us")
+
     @property
     def evidence(self) -> DataFrame:
-        i = F.col("heartbeat_index")
-        return self.linked.where(i % 3 == 1).select(
-            F.concat(F.lit("ev-"), "source_event_id", F.lit("-"), i.cast("string")).alias("id"),
-            F.col("source_event_id").alias("ai_event_id"), F.when(i > 1, F.col("alert_id")).alias("alert_id"), "camera_id",
-            F.when(i % 2 == 1, "snapshot").otherwise("video_clip").alias("evidence_type"),
-            F.when(i % 4 == 0, "partial").otherwise("completed").alias("status"),
-            F.col("us").alias("captured_us"), F.col("us").alias("created_us"),
-            keys.frame_id(F.col("camera_id"), F.col("last_seq")).alias("frame_id"),
-        )
+        """Every planned picture and clip; those of an event's first publication know no alert yet."""
+        def build():
+            clip = F.concat_ws("@", "source_event_id", "us")
+            shots = self.snapshots.withColumns({"clip": clip, "evidence_type": F.lit("snapshot"), "status": F.lit("completed")})
+            planned = E.plan_clips(self.clip_spans, self.results, fps=2.0).select(F.col("event_id").alias("clip"), "status")
+            clips = shots.drop("status").join(planned, "clip").withColumn("evidence_type", F.lit("video_clip"))
+            return shots.unionByName(clips).select(
+                F.concat(F.lit("ev-"), "clip", F.lit("-"), "evidence_type").alias("id"), F.col("source_event_id").alias("ai_event_id"),
+                F.when(F.col("heartbeat_index") > 1, F.col("alert_id")).alias("alert_id"), "camera_id", "evidence_type", "status",
+                F.col("us").alias("captured_us"), F.col("us").alias("created_us"), "frame_id")
+
+        return self.staged("evidence", build)
 
     @cached_property
     def results(self) -> DataFrame:
