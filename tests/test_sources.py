@@ -100,11 +100,8 @@ def test_detector_hook(spark):
     assert [d.class_name for d in got[1]] == ["person"] and got[1][0].confidence == 0.5 and got[2] == []
 
 
-def test_admission(spark):
-    batch = spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("a", 3, 3), ("b", 1, 1), ("c", 4, 4)], "camera_id string, seq bigint, us bigint")
-    taken, dropped = K.admit_latest(batch, spark.createDataFrame([("c", 4)], "camera_id string, last_seq bigint"))
-    assert sorted((r.camera_id, r.seq) for r in taken.collect()) == [("a", 3), ("b", 1)]
-    assert {r.camera_id: r.dropped for r in dropped.collect()} == {"a": 2, "b": 0, "c": 1}
+def test_split_late(spark):
+    batch = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("b", 1), ("c", 4)], "camera_id string, us bigint")
     on_time, late = K.split_late(batch, 3)
     assert (on_time.count(), late.count()) == (2, 3)
 
@@ -164,23 +161,36 @@ def test_stream_motion_equals_batch(spark, tmp_path):
 def test_stream_alerts_equal_batch(spark, tmp_path):
     data = [event("a", 0), event("b", 10), event("b", 11), event("b", 12), event("b", 60), event("c", 65), event("end", 500, camera="x")]
     df = spark.createDataFrame(data, EVENT).withColumn("us", F.col("us") + 1000 * S)  # a watermark starts at 1970
+    alerts = A.alert_sessions(df.drop("alert_id"), sweeps=False).where("camera_id = 'c'").collect()
+    want = {r.alert_us: (r.active_source_count, r.last_seen_us, r.ended_us) for r in alerts}
+    for parts in (2, 6):  # the end is the same however batches are cut
+        folder = tmp_path / f"in{parts}"
+        folder.mkdir()
+        run(ST.stream_alerts(files(spark, df, "us", parts, folder)), tmp_path, f"changes{parts}")
+        rows = [r for r in spark.table(f"changes{parts}").collect() if r.dedup_key.startswith("c|")]
+        ends = {r.alert_us: (r.active_source_count, r.last_seen_us, r.at_us) for r in rows if r.change == "RESOLVED"}
+        assert ends == want
+        assert sorted(r.alert_us // S - 1000 for r in rows if r.change == "CREATED") == [0, 60]
+
+
+def test_late_rows_change_nothing(spark, tmp_path):
+    """Rows of a later file that are older than what their key has processed."""
+    data = [event("a", 0), event("a", 20), event("b", 5), event("b", 25), event("end", 500, camera="x")]
+    df = spark.createDataFrame(data, EVENT).withColumn("us", F.col("us") + 1000 * S).withColumn("turn", F.expr("array(1, 2, 3, 4, 5)[int(element_at(map(0, 0, 20, 1, 5, 2, 25, 3, 500, 4), int(us div 1000000 - 1000)))]"))
     (tmp_path / "in").mkdir()
-    run(ST.stream_alerts(files(spark, df, "us", 3, tmp_path / "in")), tmp_path, "changes")
-    rows = [r for r in spark.table("changes").collect() if r.dedup_key.startswith("c|")]
-    final = {}
-    for r in sorted(rows, key=lambda r: (r.alert_us, r.at_us)):
-        final[r.alert_us] = (r.active_source_count, r.last_seen_us)
-    want = {r.alert_us: (r.active_source_count, r.last_seen_us) for r in A.alert_sessions(df.drop("alert_id")).where("camera_id = 'c'").collect()}
-    assert final == want
-    assert sorted(r.alert_us // S - 1000 for r in rows if r.change == "CREATED") == [0, 60]
-    assert sorted(r.alert_us // S - 1000 for r in rows if r.change == "RESOLVED") == [0, 60]
+    stream = files(spark, df, "turn", 5, tmp_path / "in")
+    run(ST.stream_alerts(stream.drop("turn")), tmp_path, "late_alerts")
+    rows = [r for r in spark.table("late_alerts").collect() if r.dedup_key.startswith("c|")]
+    assert sorted(r.at_us // S - 1000 for r in rows if r.change in ("CREATED", "UPDATED")) == [0, 20, 25]
+    run(ST.late_rows(stream, ["camera_id"]), tmp_path, "late")
+    assert [(r.source_event_id, r.us // S - 1000) for r in spark.table("late").collect()] == [("b", 5)]
 
 
 def test_stream_risk_equals_batch(spark, tmp_path):
     from zonewatch.operators import risk as R
 
-    t0 = 1000 * 86400 + 12 * 3600
-    spans = [("p", "AI", 0, 10), ("p", "DOOR", 5, 8), ("p", "AI", 30, 40), ("p", "AI", 100, 110), ("p", "AI", 105, 120), ("q", "BEAM", 0, 50)]
+    t0 = 1000 * 86400 + 18 * 3600 - 60  # a minute before working hours end
+    spans = [("r", "AI", 10, 200), ("r", "DOOR", 20, 150), ("r", "BEAM", 170, 180), ("s", "AI", 30, 90), ("s", "DOOR", 30, 90), ("p", "AI", 0, 10), ("p", "DOOR", 5, 8), ("p", "AI", 30, 40), ("p", "AI", 100, 110), ("p", "AI", 105, 120), ("q", "BEAM", 0, 50)]
     df = spark.createDataFrame([(l, s, (t0 + a) * S, (t0 + b) * S) for l, s, a, b in spans],
                                "location_id string, source string, from_us bigint, to_us bigint")
     want = sorted(map(tuple, R.risk_alert_changes(R.risk_levels(df, 480, 1080), 30.0).collect()))

@@ -36,12 +36,15 @@ def with_alert(events: DataFrame, window_s: float = 120.0, grace_s: float | None
     return out.withColumn("alert_id", F.concat("dedup_key", F.lit("@"), F.col("alert_us").cast("string")))
 
 
-def alert_sessions(events: DataFrame, window_s: float = 120.0, grace_s: float | None = 30.0) -> DataFrame:
-    """One row per alert with its source count, span and, where it was swept, its end.
+def alert_sessions(
+    events: DataFrame, window_s: float = 120.0, grace_s: float | None = 30.0, sweeps: bool = True
+) -> DataFrame:
+    """One row per alert with its source count, span and, where it has one, its end.
 
     ``active_source_count`` is 1 at the opening event and grows with every later event of a source
-    never seen before in any alert. ``ended_us`` is the first event of any key that comes more than
-    ``grace_s`` after the alert was last seen.
+    never seen before in any alert. An alert has ended once any event comes more than ``grace_s`` after it was
+    last seen: ``ended_us`` is the time of the first one, or ``grace_s`` after it was last seen with ``sweeps=False``,
+    which is what a stream can tell of a key alone.
     """
     linked = stage(with_alert(events, window_s, grace_s), "linked")
     order = _arrival()
@@ -68,6 +71,11 @@ def alert_sessions(events: DataFrame, window_s: float = 120.0, grace_s: float |
     if grace_s is None:
         return alerts.withColumn("ended_us", F.lit(None).cast("bigint")).withColumn("lifecycle_status", F.lit("active"))
     due = alerts.withColumn("__due", F.col("last_seen_us") + micros(grace_s))
+    if not sweeps:
+        last = linked.agg(F.max("us")).scalar()
+        ended = F.when(F.col("__due") < last, F.col("__due"))
+        return due.withColumn("ended_us", ended).drop("__due").withColumn(
+            "lifecycle_status", F.when(F.col("ended_us").isNull(), F.lit("active")).otherwise(F.lit("resolved")))
     due = stage(due, "alerts")
     sweeps = stage(linked.select(F.col("us").alias("sweep_us")).distinct(), "sweeps")
     swept = asof(due, sweeps, [], "__due", "sweep_us", {"sweep_us": "ended_us"}, forward=True, inclusive=False)

@@ -1,8 +1,10 @@
 """Stateful steps on streams of frames, one state per camera (or track, or alert key).
 
 Each batch is put in order inside the handler, because Spark hands rows over in any order. A row older
-than what its key has already processed is late: it changes nothing. So a stream gives the batch result
-as long as batches follow each other in event time; order inside a batch does not matter.
+than what its key has processed in earlier batches is late: it changes nothing, in every processor here, and
+``late_rows`` gives those rows themselves, to be counted or kept. So a stream gives the batch result as long as
+batches follow each other in event time; order inside a batch does not matter. A batch's rows of one key are in
+memory together, so bound batches at the source (``maxFilesPerTrigger`` and the like).
 """
 
 from __future__ import annotations
@@ -75,13 +77,17 @@ class RuleProcessor(_Blob):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         camera = key[0]
         state = self.load()
-        prev, crowds = state.get("frame"), state.get("crowds", {})
+        # The last frame, and the last instant before it: frames of one instant have the same one before them.
+        done, prev, crowds = tuple(state.get("done", ())), state.get("prev"), state.get("crowds", {})
         books = {k: self._stays(v) for k, v in state.get("stays", {}).items()}
         batch = pd.concat(list(rows)).sort_values(["us", "seq", "det_index"], kind="stable", na_position="first")
         out: list[tuple] = []
         for (us, seq), frame in groupby(batch.itertuples(index=False), key=lambda h: (h.us, h.seq)):
-            if prev is not None and us <= prev:
+            if done and (us, seq) <= done:
                 continue
+            if done and us > done[0]:
+                prev = done[0]
+            done = (int(us), int(seq))
             members: dict = {}
             for h in frame:
                 # A missing threshold arrives as NaN, which differs from itself.
@@ -96,13 +102,12 @@ class RuleProcessor(_Blob):
                     stay = book.see(h.track_key, us, seq, prev, h.fx, h.fy, h.area)
                     self._publish(out, camera, h, stay, h.track_key, h.class_name, h.confidence, us, seq)
             self._crowds(out, camera, crowds, members, us, seq, prev)
-            prev = us
-        limit = micros(self.s.expire_s)
-        kept = {g: [vars(s) for s in b.open.values() if prev - s.last_us <= limit] for g, b in books.items()}
+        limit, now = micros(self.s.expire_s), done[0]
+        kept = {g: [vars(s) for s in b.open.values() if now - s.last_us <= limit] for g, b in books.items()}
         self.save({
-            "frame": prev,
+            "done": done, "prev": prev,
             "stays": {g: v for g, v in kept.items() if v},
-            "crowds": {k: c for k, c in crowds.items() if c["last_us"] == prev},
+            "crowds": {k: c for k, c in crowds.items() if c["last_us"] == now},
         })
         names = [c.split(" ")[0] for c in EVENT_SCHEMA.split(", ")]
         yield pd.DataFrame(out, columns=names)
@@ -113,7 +118,7 @@ class RuleProcessor(_Blob):
             if people < rows[0].people_threshold:
                 continue
             held = crowds.get(name)
-            if held is None or held["last_us"] != prev:
+            if held is None or held["last_us"] not in (prev, us):
                 held = vars(Stay(keys.CROWD, us, seq, name, us))
             held["last_us"] = us
             stay = Stay(**held)
@@ -233,15 +238,20 @@ class MotionProcessor(_Blob):
         self.window_s, self.min_ratio, self.still_ratio, self.forget_s = window_s, min_ratio, still_ratio, forget_s
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        points = self.load().get("p", [])
+        state = self.load()
+        points, done = state.get("p", []), state.get("seq")
         batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        if done is not None:
+            batch = batch[batch["seq"] > done]
         out = []
         for r in batch.itertuples(index=False):
             if points and r.us < points[-1][0]:
-                points = []
+                points = []  # the clock went back
             points = [p for p in points if r.us - p[0] <= micros(self.window_s)] + [[int(r.us), r.fx, r.fy]]
             out.append((*key, int(r.us), int(r.seq), *self._motion(points, r.frame_w or 640)))
-        self.save({"p": points})
+        if not out:
+            return
+        self.save({"p": points, "seq": int(batch["seq"].max())})
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(points[-1][0] // 1000 + int(self.forget_s * 1000))
@@ -281,13 +291,14 @@ ALERT_SCHEMA = "dedup_key string, alert_us bigint, change string, at_us bigint,
 
 
 class AlertProcessor(_Blob):
-    """The open alert of one dedup key, and the sources the key has ever seen.
+    """The open alert of one dedup key, and the sources the key has seen.
 
-    Sources are remembered for good, because a source that comes back must not count as new.
+    A source that comes back must not count as new, so it is remembered for ``remember_s`` after it was last
+    seen; the forgotten ones are cleared when an alert ends.
     """
 
-    def __init__(self, window_s: float, grace_s: float):
-        self.gap, self.grace = micros(min(window_s, grace_s)), micros(grace_s)
+    def __init__(self, window_s: float, grace_s: float, remember_s: float):
+        self.gap, self.grace, self.remember = micros(min(window_s, grace_s)), micros(grace_s), micros(remember_s)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
@@ -297,11 +308,14 @@ class AlertProcessor(_Blob):
         s = self.load()
         out = []
         batch = pd.concat(list(rows)).sort_values(["us", "last_seq", "source_event_id"], kind="stable")
+        if s:
+            batch = batch[batch["us"] >= s["last"]]
+        if batch.empty:
+            return
         for r in batch.itertuples(index=False):
             us = int(r.us)
             fresh = not self.sources.containsKey((r.source_event_id,))
-            if fresh:
-                self.sources.updateValue((r.source_event_id,), (us,))
+            self.sources.updateValue((r.source_event_id,), (us,))
             if s and us - s["last"] > self.gap:
                 if not s.get("closed"):
                     out.append((key[0], s["open"], "RESOLVED", s["last"] + self.grace, s["n"], s["last"]))
@@ -325,23 +339,27 @@ class AlertProcessor(_Blob):
         if s and not s.get("closed"):
             s["closed"] = True
             self.save(s)
-            out.append((key[0], s["open"], "RESOLVED", expiredTimerInfo.getExpiryTimeInMs() * 1000, s["n"], s["last"]))
+            out.append((key[0], s["open"], "RESOLVED", s["last"] + self.grace, s["n"], s["last"]))
+            old = [k for k, v in self.sources.iterator() if s["last"] - v[0] > self.remember]
+            for k in old:
+                self.sources.removeKey(k)
         yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in ALERT_SCHEMA.split(", ")])
 
 
 def stream_alerts(
-    events: DataFrame, window_s: float = 120.0, grace_s: float = 30.0, watermark: str = "10 seconds"
+    events: DataFrame, window_s: float = 120.0, grace_s: float = 30.0, watermark: str = "10 seconds", remember_s: float = 86400.0
 ) -> DataFrame:
     """Changes of alerts on a stream of events: created, updated, resolved.
 
-    ``UPDATED`` follows every event; an alert is resolved by a timer ``grace_s`` after it was last seen.
+    ``UPDATED`` follows every event. An alert ends ``grace_s`` after it was last seen, whether a timer tells or a
+    later event of its key, as ``alerts.alert_sessions`` has it with ``sweeps=False``.
     """
     keyed = events.select(
         keys.alert_dedup_key(F.col("camera_id"), F.col("zone_id"), F.col("event_type"), F.col("object_type")).alias("dedup_key"),
         "source_event_id", "us", "last_seq", F.timestamp_micros("us").alias("ts"),
     ).withWatermark("ts", watermark)
     return keyed.groupBy("dedup_key").transformWithStateInPandas(
-        AlertProcessor(window_s, grace_s), ALERT_SCHEMA, outputMode="Append", timeMode="EventTime"
+        AlertProcessor(window_s, grace_s, remember_s), ALERT_SCHEMA, outputMode="Append", timeMode="EventTime"
     )
 
 
@@ -360,6 +378,24 @@ class RiskProcessor(_Blob):
             return LEVELS[3]
         return LEVELS[min(n, 3)]
 
+    def _hours(self, s: dict, out: list, place: str, now: int) -> None:
+        """Tell of levels that working hours changed after the last step and before ``now``; only two sources are so changed."""
+        if s.get("open") is None or s.get("at") is None or s.get("n") != 2:
+            return
+        day = 86400 * SECOND
+        borders = sorted(
+            d * day + b * 60 * SECOND for d in range(s["at"] // day, now // day + 1) for b in {self.hours[0] % 1440, self.hours[1] % 1440})
+        for at in borders:
+            if s["at"] < at < now:
+                level = self._level(2, at)
+                if level != s["level"]:
+                    out.append((place, s["open"], at, "LEVEL_CHANGED", level))
+                    s["level"] = level
+
+    def _next_border(self, us: int) -> int:
+        day = 86400 * SECOND
+        return min(x for d in (0, 1) for b in self.hours if (x := (us // day + d) * day + b % 1440 * 60 * SECOND) > us)
+
     def _close(self, s: dict, out: list, place: str, now: int) -> None:
         quiet = s.get("quiet")
         if s.get("open") is not None and quiet is not None and now - quiet > self.grace:
@@ -370,6 +406,10 @@ class RiskProcessor(_Blob):
         s = self.load() or {"on": {}, "open": None, "quiet": None, "level": None}
         out: list = []
         batch = pd.concat(list(rows)).sort_values("us", kind="stable")
+        if s.get("at") is not None:
+            batch = batch[batch["us"] >= s["at"]]
+        if batch.empty:
+            return
         for us, changes in groupby(batch.itertuples(index=False), key=lambda r: r.us):
             before = sum(n > 0 for n in s["on"].values())
             for r in changes:
@@ -377,6 +417,9 @@ class RiskProcessor(_Blob):
             now = sum(n > 0 for n in s["on"].values())
             if now == before:
                 continue
+            us = int(us)
+            self._hours(s, out, key[0], us)
+            s["at"], s["n"] = us, now
             self._close(s, out, key[0], us)
             if now == 0:
                 s["quiet"] = us
@@ -392,14 +435,24 @@ class RiskProcessor(_Blob):
         self.save(s)
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
+        self._wait(s)
+        yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in RISK_SCHEMA.split(", ")])
+
+    def _wait(self, s: dict) -> None:
         if s["open"] is not None and s["quiet"] is not None:
             self.handle.registerTimer((s["quiet"] + self.grace) // 1000 + 1)
-        yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in RISK_SCHEMA.split(", ")])
+        elif s["open"] is not None and s.get("n") == 2 and (self.hours[1] - self.hours[0]) % 1440:
+            self.handle.registerTimer(self._next_border(s["at"]) // 1000 + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         s, out = self.load(), []
         if s:
-            self._close(s, out, key[0], expiredTimerInfo.getExpiryTimeInMs() * 1000)
+            now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+            self._close(s, out, key[0], now)
+            self._hours(s, out, key[0], now)
+            if s["open"] is not None and s["quiet"] is None:
+                s["at"] = now - 1
+                self._wait(s)
             self.save(s)
         yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in RISK_SCHEMA.split(", ")])
 
@@ -417,3 +470,24 @@ def stream_risk_alerts(
     return flat.groupBy("location_id").transformWithStateInPandas(
         RiskProcessor(grace_s, working_from, working_to), RISK_SCHEMA, outputMode="Append", timeMode="EventTime"
     )
+
+
+LATE_SCHEMA = "us bigint, body string"
+
+
+class LateProcessor(_Blob):
+    """Rows older than the newest of their key's earlier batches."""
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        done = self.load().get("us")
+        batch = pd.concat(list(rows))
+        newest = int(batch["us"].max())
+        self.save({"us": newest if done is None else max(done, newest)})
+        yield batch[batch["us"] < done][["us", "body"]] if done is not None else batch[["us", "body"]].iloc[:0]
+
+
+def late_rows(stream: DataFrame, keys_: list[str]) -> DataFrame:
+    """What the processors here leave out: rows of a stream (with ``us``) that come after a newer batch of their key."""
+    packed = stream.select(*keys_, "us", F.to_json(F.struct(*stream.columns)).alias("body"))
+    late = packed.groupBy(*keys_).transformWithStateInPandas(LateProcessor(), LATE_SCHEMA, outputMode="Append", timeMode="None")
+    return late.select(F.from_json("body", stream.schema).alias("r")).select("r.*")
