@@ -350,3 +350,60 @@ def _(v):
                              F.lit(0.0).alias("dwell_s"), "people", F.col("elapsed_s").alias("held_s"))
     e = stays.unionByName(crowds).withColumn("event_type", contract_event_type(F.col("rule_type")))
     return A.contract_alerts(e).select("camera_id", "us", "who", "alert_type", "alert_level")
+
+
+def _ingested(v, batches: int):
+    """All publications through the event store, cut into batches along time."""
+    import uuid
+
+    from zonewatch.session import checkpoint_dir
+    from zonewatch.streaming.sinks import EventStore
+
+    def build():
+        store = EventStore(v.spark, f"{checkpoint_dir(v.spark)}/stores/{uuid.uuid4().hex}", every_s=5.0)
+        rows = v.linked.drop("dedup_key", "alert_us", "alert_id").withColumn("frame_id", keys.frame_id(F.col("camera_id"), F.col("last_seq")))
+        lo, hi = rows.agg(F.min("us"), F.max("us")).first()
+        step = (hi - lo) // batches + 1
+        for k in range(batches):
+            store.ingest(rows.where(F.col("us").between(lo + k * step, lo + (k + 1) * step - 1)), k)
+        return store
+
+    name = f"store-{batches}"
+    key = (v.spark.sparkContext.applicationId, v.folder, name)
+    if key not in _STORES:
+        _STORES[key] = build()
+    return _STORES[key]
+
+
+_STORES: dict = {}
+INGESTED = """
+SELECT alert_id, started_us, first_seq, last_seq, last_seen_us, events, active_source_count, ended_us,
+       CASE WHEN ended_us IS NULL THEN 'active' ELSE 'resolved' END AS lifecycle_status FROM alert"""
+
+
+def _alerts_of(store):
+    return store.alerts().where("alert_id IS NOT NULL").select(
+        "alert_id", "started_us", "first_seq", "last_seq", "last_seen_us", "events", "active_source_count", "ended_us", "lifecycle_status")
+
+
+@query("ingest_at_once", sql("alert", INGESTED))
+def _(v):
+    return _alerts_of(_ingested(v, 1))
+
+
+@query("ingest_in_batches", sql("alert", INGESTED))
+def _(v):
+    return _alerts_of(_ingested(v, 7))
+
+
+@query("ingested_events", sql("linked", """
+SELECT source_event_id, min(rule_type) AS event_type, min(first_us) AS started_us, max(us) AS last_seen_us, max(seq) AS last_seq,
+       arg_max(confidence, us) AS confidence, arg_max(alert_id, us) AS alert_id FROM linked GROUP BY source_event_id"""))
+def _(v):
+    return _ingested(v, 7).events().where("source_event_id IS NOT NULL").select(
+        "source_event_id", "event_type", "started_us", "last_seen_us", "last_seq", "confidence", "alert_id")
+
+
+@query("ingested_evidence", sql("shot", "SELECT source_event_id AS ai_event_id, alert_id, us AS captured_us FROM shot"))
+def _(v):
+    return _ingested(v, 7).evidence().select("ai_event_id", "alert_id", "captured_us")

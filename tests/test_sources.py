@@ -219,6 +219,23 @@ def test_event_store_replay_changes_nothing(spark, tmp_path):
     assert store.evidence().count() == 3
 
 
+def test_event_store_goes_on_through_batches(spark, tmp_path):
+    """Two sources of one key 5 s apart: one alert and one picture, in one batch, in two, and in the wrong order."""
+    rows = [event("a", 1000, first=1000), event("b", 1005, first=1005), event("b", 1010, first=1005), event("c", 1100, first=1100)]
+    df = spark.createDataFrame(rows, EVENT).withColumns({"track_key": F.lit("t"), "confidence": F.lit(0.9)})
+    us = lambda *s: df.where(F.col("us").isin([x * S for x in s]))
+    seen = []
+    for k, cuts in enumerate([[(1000, 1005, 1010, 1100)], [(1000,), (1005, 1010), (1100,)], [(1000, 1010), (1005, 1100)]]):
+        store = K.EventStore(spark, str(tmp_path / f"s{k}"))
+        for n, c in enumerate(cuts):
+            store.ingest(us(*c), n)
+            store.ingest(us(*c), n)
+        seen.append(sorted((r.alert_us // S, r.last_seen_us // S, r.events, r.active_source_count, r.ended_us) for r in store.alerts().where("alert_id is not null").collect()))
+        assert store.evidence().where("alert_id LIKE '%@1000000000'").count() == 1
+    assert seen[0] == [(1000, 1010, 3, 2, 1100 * S), (1100, 1100, 1, 1, None)]
+    assert seen[1] == seen[0] and seen[2] == seen[0]
+
+
 def test_sensor_topics(spark):
     rows = spark.createDataFrame([("x/v1/devices/d1/readings", '{"value": true, "recordedAt": "2026-08-25T09:15:22Z"}'),
                                   ("x/other", '{"device_id": "d2", "value": "OPEN", "timestamp": "2026-08-25T09:15:22Z"}')], "topic string, value string")
