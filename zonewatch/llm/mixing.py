@@ -161,7 +161,8 @@ def taken_pieces(rows: DataFrame, mix: Mix = Mix()) -> tuple[DataFrame, DataFram
     pieces = cut.select(
         "sid", "block", "row__", (F.greatest(F.col("block") * block, F.col("start")) - F.col("start")).alias("low"),
         (F.least((F.col("block") + 1) * block, F.col("start") + F.col("size__")) - F.col("start")).alias("high"))
-    return pieces.join(use, ["sid", "block"]).select("row__", "low", "high", "times"), sources
+    # The planner takes the slots for few, as it can't see what the draw makes of a shard; both sides are large.
+    return pieces.hint("merge").join(use, ["sid", "block"]).select("row__", "low", "high", "times"), sources
 
 
 def mixed_sizes(documents: DataFrame, mix: Mix = Mix(), text: str = "text") -> DataFrame:
