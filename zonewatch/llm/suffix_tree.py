@@ -23,7 +23,6 @@ in an empty table, all counts are 0 and scores are those of no knowledge, 0 for
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from zonewatch.llm.text import chained, narrow, starts, utf8, wide
+from zonewatch.llm.text import mixed, narrow, starts, utf8, wide
 from zonewatch.session import stage
 
 DISCOUNT = 0.5
@@ -67,22 +66,25 @@ def encoded(documents: DataFrame, tree: Tree, key: str, text: str) -> DataFrame:
     ])
 
     def pack(chunk, docs, held, texts, kind):
-        lists = [(t or b"").lower().split() for t in texts]
-        for words in lists:
+        seen: dict[bytes, int] = {}
+        found: list[int] = []
+        lengths = np.zeros(len(texts), dtype=np.int64)
+        for k, t in enumerate(texts):
+            words = (t or b"").lower().split()
             words.append(END)
-        total, train = Counter(), Counter()
-        for words, h in zip(lists, held, strict=True):
-            total.update(words)
-            if not h:
-                train.update(words)
-        words = [w for w, _ in total.most_common()]
-        ids = {w: k for k, w in enumerate(words)}
-        flat = np.fromiter((ids[w] for x in lists for w in x), dtype="<u4", count=sum(map(len, lists)))
-        entries = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array([train[w] for w in words], pa.int64())], ["word", "train"])
+            lengths[k] = len(words)
+            found += [seen.setdefault(w, len(seen)) for w in words]
+        flat = np.array(found, dtype=np.int64)
+        learnt = flat[np.repeat(~np.array(held, dtype=bool), lengths)]
+        order = np.argsort(-np.bincount(flat, minlength=len(seen)), kind="stable")
+        rank = np.empty(len(seen), dtype="<u4")
+        rank[order] = np.arange(len(seen))
+        words, train = list(seen), np.bincount(learnt, minlength=len(seen))[order]
+        entries = pa.StructArray.from_arrays([pa.array([words[k] for k in order], pa.binary()), pa.array(train)], ["word", "train"])
         one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
         return pa.RecordBatch.from_arrays([
-            pa.array([chunk], pa.int64()), one(pa.array(docs, kind)), one(pa.array(held, pa.bool_())), one(pa.array([len(x) for x in lists], pa.int64())),
-            pa.array([zstandard.ZstdCompressor(level=1).compress(narrow(flat))], pa.binary()), one(entries),
+            pa.array([chunk], pa.int64()), one(pa.array(docs, kind)), one(pa.array(held, pa.bool_())), one(pa.array(lengths)),
+            pa.array([zstandard.ZstdCompressor(level=1).compress(narrow(rank[flat]))], pa.binary()), one(entries),
         ], names=schema.names)
 
     def run(batches):
@@ -113,17 +115,18 @@ class Chunk:
         self.words = row["words"].values.field("word").to_pylist()
         h = np.array([word_hash(w) for w in self.words], dtype=np.uint64)
         self.hash = h[self.ids]
-        self.end = self.ids == self.words.index(END)
+        self._grams = [self.hash]
         starts = np.cumsum(self.lengths) - self.lengths
         self.place = np.arange(len(self.ids)) - np.repeat(starts, self.lengths)
         self.train = np.repeat(~self.held.astype(bool), self.lengths)
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the ``n`` words that end at each place, and whether the text has so many there."""
-        out = np.zeros(len(self.ids), dtype=np.uint64)
-        if len(out) >= n:
-            out[n - 1 :] = gram([self.hash[k : len(out) - n + 1 + k] for k in range(n)])
-        return out, self.place >= n - 1
+        while len(self._grams) < n:
+            longer = np.zeros(len(self.ids), dtype=np.uint64)
+            longer[1:] = gram([self._grams[-1][:-1], self.hash[1:]])
+            self._grams.append(longer)
+        return self._grams[n - 1], self.place >= n - 1
 
 
 def word_hash(word: bytes) -> int:
@@ -131,7 +134,11 @@ def word_hash(word: bytes) -> int:
 
 
 def gram(parts: list[np.ndarray]) -> np.ndarray:
-    return parts[0] if len(parts) == 1 else chained(parts)
+    """The hash of a sequence of word hashes; that of all but the last may stand for them."""
+    h = parts[0]
+    for p in parts[1:]:
+        h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + p)
+    return h
 
 
 def _chunks(batches):
