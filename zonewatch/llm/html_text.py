@@ -9,9 +9,10 @@ in a valid one: its containers' parents are in a valid class. Valid classes make
 its tokens are the slots.
 
 Per host, the slot that holds the article is the article or main container of the template, else the container with the most words
-that aren't template text. From each page its whole text is taken, without slots that are boilerplate by
-kind (navigation, header, footer, adverts, forms, scripts, reader comments and the like). A page's own article or
-main container goes before the host's. Nothing else is dropped: a text that repeats on all pages stays, if it is in the article.
+that aren't template text. From each page the whole text of that slot is taken, and of any article or main container
+of its own, without slots that are boilerplate by kind (navigation, header, footer, adverts, forms, scripts, reader comments and
+the like). A page without that slot gives its own article, else all that isn't boilerplate. Nothing else is dropped: a text that
+repeats on all pages stays, if it is in the article.
 
 Skew: sums over ``(host, token)`` are partial in each task, and the template is one row a host, joined to its
 pages; a host with a third of all pages is a skewed join that Spark splits, never one group in one task.
@@ -32,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from zonewatch.session import stage
+
 
 @dataclass(frozen=True)
 class Template:
@@ -159,12 +162,13 @@ def blocks(page: str) -> tuple[list[Block], dict[str, int]]:
 
 
 def chosen(page: str, main_path: str | None) -> str:
-    """The page's text: its own article or main container, else the host's slot, else all that isn't boilerplate."""
+    """The page's text: the host's slot if it is there, with the page's own article or main containers, else all that isn't boilerplate."""
     found, paths = blocks(page)
     left = [b for b in found if not b.dropped]
     own = [b for b in left if b.main]
-    if not own and main_path and main_path in paths:
-        own = [b for b in left if b.path == main_path or b.path.startswith(main_path + ">")]
+    if main_path and main_path in paths:
+        # In a main container the slot is among the page's own ones; a plain one serves pages without any.
+        own = own or [b for b in left if b.path == main_path or b.path.startswith(main_path + ">")]
     return " ".join(b.text for b in own or left)
 
 
@@ -173,55 +177,74 @@ def host(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+# ``token`` of a container is the hash of its path, and ``parent`` that of the container it stands in; only containers carry the path.
 _TOKENS = T.StructType([
-    T.StructField("host", T.StringType()), T.StructField("token", T.LongType()), T.StructField("path", T.StringType()), T.StructField("text", T.BooleanType()),
-    T.StructField("mark", T.LongType()), T.StructField("words", T.LongType()), T.StructField("rank", T.IntegerType()),
+    T.StructField("host", T.LongType()), T.StructField("token", T.LongType()), T.StructField("parent", T.LongType()), T.StructField("path", T.StringType()),
+    T.StructField("vector", T.LongType()), T.StructField("pages", T.LongType()), T.StructField("words", T.LongType()), T.StructField("rank", T.IntegerType()),
 ])
+_KINDS = [pa.int64()] * 3 + [pa.string()] + [pa.int64()] * 3 + [pa.int32()]
 
 
-def _signed(h: int) -> int:
+def _hash(text: str) -> int:
+    h = xxhash.xxh3_64_intdigest(text)
     return h - (1 << 64) if h >> 63 else h
 
 
+def page_tokens(page: str, mark: int) -> list[tuple]:
+    """A page's tokens as rows of ``_TOKENS`` without the host; ``mark`` stands for the page."""
+    found, paths = blocks(page)
+    semantic = {b.path for b in found if b.main and not b.dropped}
+    plain = {b.path for b in found if not b.dropped}
+    out = [
+        (_hash(path), _hash(path.rpartition(">")[0]), path, _hash(f"{mark} {c}"), 1, 0, 2 if path in semantic else int(path in plain))
+        for path, c in paths.items()
+    ]
+    texts: dict[tuple[str, str], int] = {}
+    for b in found:
+        texts[b.path, b.text] = texts.get((b.path, b.text), 0) + 1
+    out += [(_hash(f"{path}\0{text}"), _hash(path), None, _hash(f"{mark} {c}"), 1, c * len(text.split()), 0) for (path, text), c in texts.items()]
+    return out
+
+
 def _tokens(batches):
-    """Each page's tokens; ``mark`` hashes the page with the token's count."""
+    """Tokens of the pages, those of a host summed for each batch: vectors by XOR, pages and words by addition."""
     for batch in batches:
-        rows = []
-        for name, page, html in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            found, paths = blocks(html or "")
-            semantic = {b.path for b in found if b.main and not b.dropped}
-            plain = {b.path for b in found if not b.dropped}
-            counts: dict[tuple[str, str | None], int] = {(p, None): c for p, c in paths.items()}
-            for b in found:
-                counts[b.path, b.text] = counts.get((b.path, b.text), 0) + 1
-            for (path, text), c in counts.items():
-                rank = 2 if path in semantic else 1 if path in plain else 0
-                token = xxhash.xxh3_64_intdigest(f"{path}\0{'' if text is None else text}\0{text is None}")
-                mark = xxhash.xxh3_64_intdigest(f"{page}\0{c}")
-                rows.append((name, _signed(token), path, text is not None, _signed(mark), c * len(text.split()) if text else 0, rank))
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=_TOKENS.names)
+        sums: dict[tuple[int, int], list] = {}
+        for name, mark, html in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for token, parent, path, vector, n, words, rank in page_tokens(html or "", mark):
+                row = sums.get((name, token))
+                if row is None:
+                    sums[name, token] = [parent, path, vector, n, words, rank]
+                else:
+                    row[2] ^= vector
+                    row[3] += n
+                    row[4] += words
+                    row[5] = max(row[5], rank)
+        cols = list(zip(*[(*k, *v) for k, v in sums.items()], strict=True)) if sums else [[]] * len(_KINDS)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _KINDS, strict=True)], names=_TOKENS.names)
 
 
 def templates(pages: DataFrame, template: Template = Template()) -> DataFrame:
-    """One row for each host with a template: ``host`` and ``main_path``, the container of its article slot."""
-    keyed = pages.select(host(F.col("url")).alias("host"), F.xxhash64("page_id", "url", F.xxhash64("html")).alias("page"), "html")
-    tokens = keyed.mapInArrow(_tokens, _TOKENS).groupBy("host", "token", "path", "text").agg(
-        F.bit_xor("mark").alias("vector"), F.count(F.lit(1)).alias("pages"), F.sum("words").alias("words"), F.max("rank").alias("rank"))
+    """One row for each host with a template: ``host`` (hashed) and ``main_path``, the container of its article slot."""
+    keyed = pages.select(F.xxhash64(host(F.col("url"))).alias("host"), F.xxhash64("page_id", "url", F.xxhash64("html")).alias("page"), "html")
+    sums = [F.max("path").alias("path"), F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.sum("words").alias("words"), F.max("rank").alias("rank")]
+    tokens = keyed.mapInArrow(_tokens, _TOKENS).groupBy("host", "token", "parent").agg(*sums)
+    # Texts of one page are no template; only their words are kept, as one row of each container.
+    single = F.col("path").isNull() & (F.col("pages") == 1)
+    tokens = stage(tokens.withColumn("token", F.when(~single, F.col("token"))).groupBy("host", "token", "parent").agg(*sums), "template-tokens")
     sizes = keyed.groupBy("host").agg(F.count(F.lit(1)).alias("all"))
-    tokens = tokens.join(sizes, "host").withColumn("often", F.col("pages") >= template.share * F.col("all"))
-    classes = tokens.where("often").groupBy("host", "vector", "pages").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= template.tokens)
-    valid = tokens.where("often and not text").join(classes, ["host", "vector", "pages"], "left")
-    containers = valid.select("host", "path", "rank", F.regexp_replace("path", ">[^>]*$", "").alias("parent"), F.col("size").isNotNull().alias("valid"))
-    parents = containers.where("valid").select("host", F.col("path").alias("parent"))
-    nested = containers.join(parents.withColumn("nests", F.lit(True)), ["host", "parent"], "left").where("valid or nests")
-    # Words of a container that aren't template text, in it or below it.
-    free = tokens.where("text and not often").groupBy("host", "path").agg(F.sum("words").alias("words"))
+    often = F.col("token").isNotNull() & (F.col("pages") >= template.share * F.col("all"))
+    common = tokens.join(sizes, "host").where(often)
+    classes = common.groupBy("host", "vector", "pages").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= template.tokens)
+    containers = common.where("path is not null").join(classes, ["host", "vector", "pages"], "left").withColumn("valid", F.col("size").isNotNull())
+    parents = containers.where("valid").select("host", F.col("token").alias("parent"), F.lit(True).alias("nests"))
+    nested = containers.join(parents, ["host", "parent"], "left").where("valid or nests").select("host", "token", "path", "rank")
+    # Words of a container that aren't template text, in it (own) and in it or below it (words).
+    free = tokens.where("path is null").join(sizes, "host").where(~often).groupBy("host", F.col("parent").alias("token")).agg(F.sum("words").alias("own"))
+    placed = free.join(tokens.where("path is not null").select("host", "token", "path"), ["host", "token"])
     steps = F.expr("transform(sequence(1, size(split(path, '>')) - 1), k -> concat_ws('>', slice(split(path, '>'), 1, k + 1)))")
-    below = free.select("host", F.explode(steps).alias("path"), "words").groupBy("host", "path").agg(F.sum("words").alias("words"))
-    own = free.select("host", "path", F.col("words").alias("own"))
-    scored = nested.where("rank > 0").join(below, ["host", "path"], "left").join(own, ["host", "path"], "left")
+    below = placed.select("host", F.explode(steps).alias("path"), "own").groupBy("host", "path").agg(F.sum("own").alias("words"))
+    scored = nested.where("rank > 0").join(free, ["host", "token"], "left").join(below, ["host", "path"], "left")
     best = F.max_by("path", F.struct("rank", F.coalesce("own", F.lit(0)), F.coalesce("words", F.lit(0)), "path"))
     return scored.groupBy("host").agg(best.alias("main_path"))
 
@@ -233,7 +256,7 @@ def _extracted(pages: pa.Array, mains: pa.Array) -> pa.Array:
 
 def extracted(pages: DataFrame, template: Template = Template()) -> DataFrame:
     """``page_id``, ``url``, ``text``, ``n_chars`` and the host's ``main_path`` for each row of ``pages``."""
-    found = templates(pages, template).select(F.col("host").alias("host__"), "main_path")
-    rows = pages.select("page_id", "url", "html").withColumn("host__", host(F.col("url"))).join(found, "host__", "left")
+    found = stage(templates(pages, template).select(F.col("host").alias("host__"), "main_path"), "templates")
+    rows = pages.select("page_id", "url", "html").withColumn("host__", F.xxhash64(host(F.col("url")))).join(found, "host__", "left")
     texts = rows.select("page_id", "url", "main_path", _extracted("html", "main_path").alias("text"))
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "main_path")
