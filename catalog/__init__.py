@@ -31,4 +31,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from . import detections, events, figures, relations, scalars, sensors, stays  # noqa: F401
+    from . import detections, events, figures, relations, scalars, sensors, stays, streams  # noqa: F401
