@@ -121,7 +121,8 @@ def op3(spark, folder):
     """
     documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     marks = labels.groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic"), (F.min("quality") == 0).alias("poor"))
-    counts = stage(token_rollup.counted(documents, list(token_rollup.TOKENIZERS)).join(marks, "doc_id", "left"), "rollup-counts")
+    counts = stage(token_rollup.measured(documents, list(token_rollup.TOKENIZERS)).join(marks, "doc_id", "left"), "rollup-counts")
+    counts = token_rollup.each(counts)
     old, new = counts.where("tokenizer <> 'space/2'"), counts.where("tokenizer = 'space/2'")
     kept = "poor and not coalesce(toxic, false)"
     batches = {

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GROUP = ["source", "lang", "tokenizer"]
+#: Sums are small; so many files at most hold those of a batch, however many partitions a shuffle has.
+WRITERS = 16
 
 # Tokenizer versions as patterns of a token.
 TOKENIZERS = {"space/1": r"[^\x20\x09-\x0D]+", "space/2": r"[^\x20\x09-\x0D#*$%&|<>]+", "alnum/1": r"[0-9A-Za-z]+"}
@@ -28,9 +30,20 @@ TOKENIZERS = {"space/1": r"[^\x20\x09-\x0D]+", "space/2": r"[^\x20\x09-\x0D#*$%&
 
 def counted(documents: DataFrame, tokenizers: list[str], text: str = "text") -> DataFrame:
     """``doc_id``, ``source``, ``lang``, ``tokenizer``, ``tokens`` for each document and tokenizer version."""
+    return each(measured(documents, tokenizers, text))
+
+
+def measured(documents: DataFrame, tokenizers: list[str], text: str = "text") -> DataFrame:
+    """``doc_id``, ``source``, ``lang`` and ``counts``, an entry for each tokenizer version: one row a document."""
     count = lambda name: F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(TOKENIZERS[name])), F.lit(0)).cast("long")
     entries = F.array(*[F.struct(F.lit(t).alias("tokenizer"), count(t).alias("tokens")) for t in tokenizers])
-    return documents.select("doc_id", "source", "lang", F.explode(entries).alias("e")).select("doc_id", "source", "lang", "e.*")
+    return documents.select("doc_id", "source", "lang", entries.alias("counts"))
+
+
+def each(counts: DataFrame) -> DataFrame:
+    """``counts`` from ``measured``, with any further columns, as one row for each tokenizer version."""
+    rest = [c for c in counts.columns if c != "counts"]
+    return counts.select(*rest, F.explode("counts").alias("e")).select(*rest, "e.*")
 
 
 def inserts(counts: DataFrame) -> DataFrame:
@@ -79,7 +92,7 @@ class Rollup:
         """Count ``changes`` in under the name ``batch``; False if that batch is counted already."""
         if batch in self.batches():
             return False
-        summed(changes).write.mode("overwrite").parquet(f"{self.folder}/batch/{batch}")
+        summed(changes).coalesce(WRITERS).write.mode("overwrite").parquet(f"{self.folder}/batch/{batch}")
         return True
 
     def totals(self) -> DataFrame:
@@ -96,4 +109,4 @@ class Rollup:
         name = f"{int(names[-1]) + 1 if names else 0:08d}"
         batches = json.dumps(sorted(self.batches()))
         self.spark.createDataFrame([(batches,)], "batches string").write.mode("overwrite").parquet(f"{self.folder}/covers/{name}")
-        self.totals().write.mode("overwrite").parquet(f"{self.folder}/base/{name}")
+        self.totals().coalesce(WRITERS).write.mode("overwrite").parquet(f"{self.folder}/base/{name}")
