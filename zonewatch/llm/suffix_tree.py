@@ -147,11 +147,15 @@ def _chunks(batches):
             yield {name: batch.column(name)[k] for name in batch.schema.names}
 
 
-def word_counts(chunks: DataFrame) -> DataFrame:
-    """``chunk``, ``at`` (the word's id there), ``word``, ``c`` (its count in all training rows), ``first`` (once a word)."""
+def word_counts(chunks: DataFrame, least: int) -> DataFrame:
+    """``chunk``, ``at`` (the word's id there), ``c`` (its count in all training rows), ``first`` (once a word).
+
+    ``word`` is the word itself once, if it counts ``least`` or more: it is needed for no other row, and the rows are many.
+    """
     entries = chunks.select("chunk", F.posexplode("words").alias("at", "w")).select("chunk", "at", "w.word", "w.train")
     every = Window.partitionBy("word")
-    return entries.withColumn("c", F.sum("train").over(every)).withColumn("first", F.row_number().over(every.orderBy("chunk")) == 1).drop("train")
+    counted = entries.withColumn("c", F.sum("train").over(every)).withColumn("first", F.row_number().over(every.orderBy("chunk")) == 1)
+    return counted.select("chunk", F.col("at").cast("int").alias("at"), "c", "first", F.when(F.col("first") & (F.col("c") >= least), F.col("word")).alias("word"))
 
 
 def _counters(chunks: DataFrame, tree: Tree) -> list[np.ndarray]:
@@ -344,7 +348,7 @@ class Fitted:
 
 def fitted(chunks: DataFrame, tree: Tree, counts: DataFrame | None = None) -> Fitted:
     """The tree of all training rows in ``chunks``, a written table."""
-    counts = counts if counts is not None else word_counts(chunks)
+    counts = counts if counts is not None else word_counts(chunks, tree.least_count)
     total = counts.where("first and c > 0").agg(
         F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count(F.when(F.col("c") == 1, 1))).first()
     root = Root(*total)
@@ -352,7 +356,7 @@ def fitted(chunks: DataFrame, tree: Tree, counts: DataFrame | None = None) -> Fi
     passes = [s >= least for s in _counters(chunks, tree)]
     # At most 1 / least_share rows of each length reach the driver.
     found = _frequent(chunks, passes, least, tree).toArrow()
-    words = counts.where("first").where(F.col("c") >= least).select("word", "c").toArrow()
+    words = counts.where("word is not null").where(F.col("c") >= least).select("word", "c").toArrow()
     of_word = {int(np.uint64(word_hash(w)).view(np.int64)): c for w, c in zip(words["word"].to_pylist(), words["c"].to_pylist(), strict=True)}
     return Fitted(root, Nodes({c: found[c].to_numpy() for c in found.column_names}, of_word, root, tree))
 
@@ -360,7 +364,7 @@ def fitted(chunks: DataFrame, tree: Tree, counts: DataFrame | None = None) -> Fi
 def scored(documents: DataFrame, tree: Tree = Tree(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row: ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``."""
     chunks = stage(encoded(documents, tree, key, text), "tree-chunks")
-    counts = stage(word_counts(chunks), "tree-words")
+    counts = stage(word_counts(chunks, tree.least_count), "tree-words")
     share = documents.sparkSession.sparkContext.broadcast(fitted(chunks, tree, counts))
     answers = counts.groupBy("chunk").agg(F.collect_list(F.struct("at", "c")).alias("answers"))
     kind = documents.schema[key].dataType
