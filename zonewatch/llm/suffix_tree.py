@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from zonewatch.llm.text import mixed, narrow, starts, utf8, wide
+from zonewatch.llm.text import mixed, narrow, runs, starts, utf8, wide
 from zonewatch.session import stage
 
 DISCOUNT = 0.5
@@ -366,27 +366,35 @@ def scored(documents: DataFrame, tree: Tree = Tree(), key: str = "doc_id", text:
     chunks = stage(encoded(documents, tree, key, text), "tree-chunks")
     counts = stage(word_counts(chunks, tree.least_count), "tree-words")
     share = documents.sparkSession.sparkContext.broadcast(fitted(chunks, tree, counts))
-    answers = counts.groupBy("chunk").agg(F.collect_list(F.struct("at", "c")).alias("answers"))
     kind = documents.schema[key].dataType
     schema = T.StructType([
         T.StructField("doc_id", kind), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
         T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()),
     ])
 
-    def run(batches):
+    def score(row, at: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
         root, nodes = share.value.root, share.value.nodes
-        for row in _chunks(batches):
-            c = Chunk(row)
-            answers = row["answers"].values
-            count = np.zeros(len(c.words), dtype=np.int64)
-            count[answers.field("at").to_numpy()] = answers.field("c").to_numpy()
-            firsts = np.cumsum(c.lengths) - c.lengths
-            add = lambda x, f=firsts: np.add.reduceat(x, f)
-            base = np.log10((count + 1) / (root.tokens + root.types + 1))[c.ids]
-            yield pa.RecordBatch.from_arrays([
-                c.docs, pa.array(c.held.astype(bool)), pa.array(c.lengths), pa.array(add((count > 0).astype(np.int64)[c.ids])),
-                pa.array(np.full(len(c.lengths), root.tokens)), pa.array(add(base)), pa.array(add(np.log10(probabilities(c, count, root, nodes)))),
-            ], names=schema.names)
-
-    return chunks.join(answers, "chunk").select("docs", "held", "lengths", "ids", "words", "answers").mapInArrow(run, schema)
+        chunk = Chunk(row)
+        count = np.zeros(len(chunk.words), dtype=np.int64)
+        count[at] = c
+        firsts = np.cumsum(chunk.lengths) - chunk.lengths
+        base = np.log10((count + 1) / (root.tokens + root.types + 1))[chunk.ids]
+        known = (count > 0).astype(np.int64)[chunk.ids]
+        own = np.log10(probabilities(chunk, count, root, nodes))
+        return pa.RecordBatch.from_arrays([
+            chunk.docs, pa.array(chunk.held.astype(bool)), pa.array(chunk.lengths), pa.array(np.add.reduceat(known, firsts)),
+            pa.array(np.full(len(firsts), root.tokens)), pa.array(np.add.reduceat(base, firsts)), pa.array(np.add.reduceat(own, firsts)),
+        ], names=schema.names)
 
+    def run(batches):
+        for table in runs(batches, "chunk"):
+            cuts = starts(table["chunk"].to_numpy())
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                yield score(table["body"][int(lo)], table["at"][lo + 1 : hi].to_numpy(), table["c"][lo + 1 : hi].to_numpy())
+
+    # A chunk and its words' counts meet as one chunk row followed by its counts, so a task holds one chunk at a time.
+    body = F.struct("docs", "held", "lengths", "ids", "words")
+    whole = chunks.select("chunk", F.lit(-1).alias("at"), F.lit(0).cast("long").alias("c"), body.alias("body"))
+    rows = counts.select("chunk", "at", "c", F.lit(None).cast(whole.schema["body"].dataType).alias("body"))
+    met = whole.unionByName(rows).repartition("chunk").sortWithinPartitions("chunk", "at")
+    return met.mapInArrow(run, schema)
