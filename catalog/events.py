@@ -299,10 +299,15 @@ def _(v):
     return rows.select("id", "started_us", *[totals.select(c).scalar().alias(c) for c in totals.columns])
 
 
+@query("page_after", sql("aievent", "SELECT id, started_us FROM aievent ORDER BY started_us DESC, id LIMIT 20 OFFSET 20"))
+def _(v):
+    last = L.page_after(v.ai_events, "-started_us").select("started_us", "id").collect()[-1]
+    return L.page_after(v.ai_events, "-started_us", (last.started_us, last.id)).select("id", "started_us")
+
+
 @query("events_without_alert", sql("aievent", "SELECT id FROM aievent WHERE alert_id IS NULL"))
 def _(v):
-    linked = v.ai_events.where("alert_id IS NOT NULL")
-    return L.filter_events(v.ai_events, has_alert=False).join(linked.select("id"), "id", "left_anti").select("id")
+    return L.filter_events(v.ai_events, has_alert=False).select("id")
 
 
 @query("validate_events", """

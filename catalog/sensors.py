@@ -49,9 +49,9 @@ def _(v):
 
 
 @query("correlate", sql("signal reading", """
-SELECT s.event_id, r.reading_id AS sensor_event_id, abs(s.us - r.us) AS apart_us, 'CRITICAL' AS alert_level
+SELECT s.event_id, arg_min(r.reading_id, (abs(s.us - r.us), r.reading_id)) AS sensor_event_id, min(abs(s.us - r.us)) AS apart_us, 'CRITICAL' AS alert_level
 FROM signal s JOIN reading r ON (r.location_id = s.location_id OR r.zone_id = s.zone_id) AND abs(s.us - r.us) <= 10000000
-WHERE s.event_type = 'FORBIDDEN_ZONE_INTRUSION' AND r.sensor_type = 'DOOR' AND r.positive"""))
+WHERE s.event_type = 'FORBIDDEN_ZONE_INTRUSION' AND r.sensor_type = 'DOOR' AND r.positive GROUP BY s.event_id"""))
 def _(v):
     doors = N.sensor_events(v.readings).withColumn("event_id", F.col("reading_id"))
     return A.correlate(v.signals, doors).select("event_id", "sensor_event_id", "apart_us", "alert_level")

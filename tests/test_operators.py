@@ -193,4 +193,40 @@ def test_correlation_is_inclusive(spark):
     ai = spark.createDataFrame([(1, "l", "z", 100 * S, "FORBIDDEN_ZONE_INTRUSION")], "event_id bigint, location_id string, zone_id string, us bigint, event_type string")
     doors = spark.createDataFrame([(1, "l", "q", 110 * S, "DOOR_OPENED"), (2, "l", "z", 111 * S, "DOOR_OPENED"), (3, "m", "z", 90 * S, "DOOR_OPENED"), (4, "l", "z", 95 * S, "DOOR_CLOSED")],
                                   "event_id bigint, location_id string, zone_id string, us bigint, event_type string")
-    assert sorted(r.sensor_event_id for r in A.correlate(ai, doors).collect()) == [1, 3]
+    # Both ends count, by location or by zone; of readings as near as each other the lowest id is told.
+    told = lambda *ids: [r.sensor_event_id for r in A.correlate(ai, doors.where(F.col("event_id").isin(*ids))).collect()]
+    assert told(1, 2, 3, 4) == [1] and told(1) == [1] and told(3) == [3] and told(2, 4) == []
+
+
+def test_labels_and_predictions_are_paired_one_to_one(spark):
+    """Two labels that overlap and two predictions inside both: two hits, however they are ordered."""
+    from zonewatch.operators.metrics import match_ground_truth
+
+    key = ("v", "z", "loitering")
+    truth = spark.createDataFrame([("L1", *key, 0, 100 * S), ("L2", *key, 10 * S, 50 * S), ("L3", *key, 500 * S, 600 * S), ("L4", "w", "z", "none", 0, 9 * S)],
+                                  "truth_id string, video string, zone string, event_type string, from_us bigint, to_us bigint")
+    pred = spark.createDataFrame([("P1", *key, 20 * S), ("P2", *key, 30 * S), ("P3", *key, 300 * S), ("P4", "w", "z", "loitering", 5 * S)],
+                                 "pred_id string, video string, zone string, event_type string, start_us bigint")
+    rows = {(r.outcome, r.pred_id, r.truth_id) for r in match_ground_truth(pred, truth).collect()}
+    assert rows == {("tp", "P1", "L2"), ("tp", "P2", "L1"), ("fp", "P3", None), ("fp", "P4", None), ("fn", None, "L3")}
+
+
+def test_small_table_joins_agree(spark, monkeypatch):
+    """Zones by broadcast and by salted shuffle give the same hits, few edges or many."""
+    import math
+
+    from zonewatch.functions import geometry
+    from zonewatch.operators import zones as Z
+
+    circle = [{"x": 100 + 80 * math.cos(k / 5), "y": 100 + 80 * math.sin(k / 5)} for k in range(31)]
+    square = [{"x": float(x), "y": float(y)} for x, y in ((50, 50), (150, 50), (150, 150), (50, 150))]
+    zones = spark.createDataFrame([(n, "c", n, "t", p, 640, 360, True) for n, p in (("circle", circle), ("square", square))],
+                                  "id string, camera_id string, name string, zone_type string, points array<struct<x:double,y:double>>, frame_width int, frame_height int, enabled boolean")
+    det = spark.range(400).selectExpr("'c' AS camera_id", "id AS seq", "named_struct('x1', id % 20 * 10D - 1, 'y1', 0D, 'x2', id % 20 * 10D + 1, 'y2', id div 20 * 10D) AS bbox", "640 AS frame_w", "360 AS frame_h")
+    hits = lambda: sorted((r.seq, r.zone_id) for r in Z.match_zones(det, zones).collect())
+    want = hits()
+    assert len(want) > 100
+    monkeypatch.setattr(Z, "BROADCAST_BYTES", 0)
+    assert hits() == want
+    monkeypatch.setattr(geometry, "MAX_UNROLLED_EDGES", 0)
+    assert hits() == want

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import keys, rules
 from ..functions.clock import micros
 from ..session import stage
-from .timeline import asof, interval_join, sessions
+from .timeline import asof, sessions
 
 ALERT = ["dedup_key", "alert_us"]
 
@@ -116,34 +116,31 @@ def contract_alerts(events: DataFrame) -> DataFrame:
 
 
 def correlate(ai_events: DataFrame, sensor_events: DataFrame, within_s: float = 10.0) -> DataFrame:
-    """Intrusions with a door opened at the same place within ``within_s``: critical.
+    """Intrusions with a door opened at the same place within ``within_s``: critical, with the nearest such reading.
 
-    Same location or same zone: two joins on one key each, then distinct pairs. Needs ``event_id
-    location_id zone_id us`` on both sides.
+    Same location or same zone, before or after: the nearest reading each way by as-of joins, so work and result
+    grow with the events and not with the pairs. Needs ``event_id location_id zone_id us`` on both sides.
     """
     reach = micros(within_s)
     ai = ai_events.where(
         rules.canonical_event_type(F.col("event_type")) == "FORBIDDEN_ZONE_INTRUSION"
-    ).select("event_id", "location_id", "zone_id", (F.col("us") - reach).alias("__lo"),
-             (F.col("us") + reach).alias("__hi"), F.col("us").alias("ai_us"))
-    doors = sensor_events.where(F.col("event_type") == "DOOR_OPENED").select(
-        F.col("event_id").alias("sensor_event_id"), "location_id", "zone_id", F.col("us").alias("sensor_us")
-    )
-    cols = ["event_id", "sensor_event_id", "ai_us", "sensor_us"]
-    width = 2 * reach
-    by_place = interval_join(
-        ai.drop("zone_id"), doors.drop("zone_id"), ["location_id"], "__lo", "__hi", "sensor_us", width
-    ).select(*cols)
-    by_zone = interval_join(
-        ai.drop("location_id"), doors.drop("location_id"), ["zone_id"], "__lo", "__hi", "sensor_us", width
-    ).select(*cols)
-    pairs = by_place.unionByName(by_zone).distinct()
-    return pairs.select(
-        "*",
-        F.lit("CAMERA_SENSOR_CORRELATED_RISK").alias("alert_type"),
-        F.lit("CRITICAL").alias("alert_level"),
-        F.abs(F.col("ai_us") - F.col("sensor_us")).alias("apart_us"),
-    )
+    ).select("event_id", "location_id", "zone_id", F.col("us").alias("ai_us"))
+    doors = sensor_events.where(F.col("event_type") == "DOOR_OPENED")
+    near = ai
+    found = []
+    for key in ("location_id", "zone_id"):
+        # The reading with the lowest id stands for those of one instant.
+        at = doors.groupBy(key, F.col("us").alias("sensor_us")).agg(F.min("event_id").alias("sensor_event_id"))
+        for forward in (False, True):
+            name = f"__{key}_{forward}"
+            near = asof(near, at.withColumn(name, F.struct("sensor_us", "sensor_event_id")), [key], "ai_us", "sensor_us", {name: name}, forward=forward, inclusive=not forward)
+            found.append(F.struct(F.abs(F.col("ai_us") - F.col(name)["sensor_us"]).alias("apart_us"), F.col(name)["sensor_event_id"].alias("sensor_event_id"),
+                                  F.col(name)["sensor_us"].alias("sensor_us")))
+    within = F.filter(F.array(*found), lambda c: c["apart_us"] <= reach)
+    return near.withColumn("__n", F.array_min(within)).where("__n IS NOT NULL").select(
+        "event_id", F.col("__n.sensor_event_id").alias("sensor_event_id"), "ai_us", F.col("__n.sensor_us").alias("sensor_us"),
+        F.lit("CAMERA_SENSOR_CORRELATED_RISK").alias("alert_type"), F.lit("CRITICAL").alias("alert_level"),
+        F.col("__n.apart_us").alias("apart_us"))
 
 
 def search_alerts(alerts: DataFrame, status=None, risk_level=None, from_us=None, to_us=None) -> DataFrame:

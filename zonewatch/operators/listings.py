@@ -67,6 +67,21 @@ def page(df: DataFrame, sort: str, page: int = 1, size: int = 20, tie: str = "id
     return ordered.offset((page - 1) * size).limit(size), totals
 
 
+def page_after(df: DataFrame, sort: str, after: tuple | None = None, size: int = 20, tie: str = "id") -> DataFrame:
+    """The rows that follow ``after``, the last row's sort value and ``tie`` of the page before (none: the first page).
+
+    A deep page costs what the first one does: the range is a filter, and each task hands on ``size`` rows. Rows with a
+    null sort value come last, in either direction, and aren't reached by a range.
+    """
+    size = clamp(size, 100)
+    column, down = F.col(sort.lstrip("+-")), sort.startswith("-")
+    if after is not None:
+        value, ident = after
+        beyond = column < value if down else column > value
+        df = df.where(beyond | ((column == value) & (F.col(tie) > ident)))
+    return df.orderBy(column.desc_nulls_last() if down else column.asc_nulls_last(), tie).limit(size)
+
+
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """Newest row per key, reduced before the shuffle."""
     row = F.struct(*df.columns)

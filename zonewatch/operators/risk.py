@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import MINUTE, local_minutes, micros
 from ..session import stage
+from .sensors import reading_order
 from .timeline import previous, running_sum, sessions
 
 LEVELS = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
@@ -26,7 +27,7 @@ def sensor_intervals(active_readings: DataFrame, hold_s: float = 300.0) -> DataF
 
     A sensor that falls silent stays active for ``hold_s`` at most.
     """
-    ahead = previous(active_readings, ["sensor_id"], "us", {"us": "__next"}, descending=True, tie=["reading_id"])
+    ahead = previous(active_readings, ["sensor_id"], "us", {"us": "__next"}, descending=True, tie=reading_order(active_readings))
     until = F.least(F.coalesce("__next", F.col("us") + micros(hold_s)), F.col("us") + micros(hold_s))
     return ahead.where("is_active").select(
         "location_id", F.col("sensor_type").alias("source"), F.col("us").alias("from_us"), until.alias("to_us")

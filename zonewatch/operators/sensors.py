@@ -12,8 +12,15 @@ from .timeline import asof, last_n_all, previous
 
 
 def sensor_active(readings: DataFrame, n: int = 3) -> DataFrame:
-    """Readings with ``is_active``: the sensor's last ``n`` readings were all positive; ``reading_id`` orders those of one instant."""
-    return last_n_all(readings, ["sensor_id"], "us", F.col("positive"), n, "is_active", tie=["reading_id"])
+    """Readings with ``is_active``: the sensor's last ``n`` readings were all positive.
+
+    ``reading_id``, where readings have one, orders those of one instant.
+    """
+    return last_n_all(readings, ["sensor_id"], "us", F.col("positive"), n, "is_active", tie=reading_order(readings))
+
+
+def reading_order(readings: DataFrame) -> list[str]:
+    return [c for c in ("reading_id",) if c in readings.columns]
 
 
 def ai_active(events: DataFrame, asof_points: DataFrame, within_s: float = 3.0, min_confidence: float = 0.6) -> DataFrame:

@@ -11,16 +11,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geometry, keys
 from ..functions.clock import SECOND, micros
 from ..functions.rules import CROWD_RULE
+from ..session import stage
 from .steps import Stays
 from .throttle import throttle
-from .timeline import previous, scan_in_order, sessions, values
+from .timeline import previous, running_sum, scan_in_order, sessions, values
 
 STAY = ["camera_id", "zone_id", "rule_id", "track_key"]
 
@@ -166,7 +167,7 @@ def heartbeat_events(violations: DataFrame, every_s: float = 1.0) -> DataFrame:
     """Violating rows that are published: the first of a stay, then one per ``every_s``.
 
     Adds ``heartbeat_index`` (from 1) and ``source_event_id``, which keeps the track key it had at the
-    first publication.
+    first publication. Runs a job when called.
     """
     v = violations.where("is_violation")
     crowd = F.col("rule_type") == CROWD_RULE
@@ -176,12 +177,10 @@ def heartbeat_events(violations: DataFrame, every_s: float = 1.0) -> DataFrame:
     else:
         v = v.withColumn("__stay", F.when(crowd, F.lit("")).otherwise(F.col("track_key")))
     stay = ["camera_id", "zone_id", "rule_id", "__stay", "first_us"]
-    kept = throttle(v, stay, "us", every_s)
-    # At most one kept row per stay and second, so a stay's rows are bounded by its length.
-    w = Window.partitionBy(*stay).orderBy("us")
-    kept = kept.withColumn("heartbeat_index", F.row_number().over(w)).withColumn(
-        "__who", F.first("track_key").over(w)
-    )
+    # Written out: it is read for the count along the stay, for the first key, and for its rows.
+    kept = stage(throttle(v, stay, "us", every_s), "heartbeats")
+    first = kept.groupBy(*stay).agg(F.min_by("track_key", F.col("us")).alias("__who"))
+    kept = running_sum(kept, stay, "us", F.lit(1), "heartbeat_index").join(first, stay)
     named = keys.source_event_id(
         F.col("camera_id"), F.col("zone_id"), F.col("rule_id"),
         F.when(F.col("rule_type") == CROWD_RULE, F.lit(keys.CROWD)).otherwise(F.col("__who")), F.col("first_seq"),

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import clock, geometry, keys, rules
 
-# A broadcast table is copied to every executor; beyond this many rows the join is shuffled.
-BROADCAST_ROWS = 200_000
+# A broadcast table is copied to every executor; beyond this many bytes the join is shuffled.
+BROADCAST_BYTES = 32 << 20
+# What a row of a configuration table takes besides its polygon, and each edge of that, in a broadcast relation.
+ROW_BYTES, EDGE_BYTES = 400, 64
 SALTS = 32
 
 
@@ -21,15 +23,16 @@ class SmallTable:
     df: DataFrame
     rows: int
     max_edges: int = 0
+    edges: int = 0
 
     @property
     def fits(self) -> bool:
-        return self.rows <= BROADCAST_ROWS
+        return self.rows * ROW_BYTES + self.edges * EDGE_BYTES <= BROADCAST_BYTES
 
 
 def sized(df: DataFrame) -> SmallTable:
     """Count a configuration table once, up to the broadcast bound."""
-    return SmallTable(df, df.limit(BROADCAST_ROWS + 1).count())
+    return SmallTable(df, df.limit(BROADCAST_BYTES // ROW_BYTES + 1).count())
 
 
 def join_small(big: DataFrame, small: SmallTable, on: Column, key: str, small_key: str, how: str = "inner") -> DataFrame:
@@ -82,12 +85,12 @@ def prepare_zones(zones: DataFrame) -> ZoneTable:
         F.array_min(ys).alias("z_y1"),
         F.array_max(ys).alias("z_y2"),
     )
-    facts = flat.select(F.size("z_edges").alias("n")).agg(F.count("*"), F.max("n")).first()
-    rows, edges = facts[0], facts[1] or 0
+    facts = flat.select(F.size("z_edges").alias("n")).agg(F.count("*"), F.max("n"), F.sum("n")).first()
+    rows, edges, total = facts[0], facts[1] or 0, facts[2] or 0
     sizes = flat.select(
         F.col("z_camera_id").alias("s_camera_id"), F.col("z_w").alias("s_w"), F.col("z_h").alias("s_h")
     ).distinct()
-    return ZoneTable(flat, rows, edges, sizes)
+    return ZoneTable(flat, rows, edges, total, sizes)
 
 
 def _near(p: dict[str, Column] | Column) -> Column:
@@ -127,7 +130,7 @@ def match_zones(detections: DataFrame, zones: DataFrame | ZoneTable, how: str =
     flat = table.df.select(*[c for c in table.df.columns if not (edges and c == "z_edges")], *edges)
     same_size = (F.col("s_w") == F.col("z_w")) & (F.col("s_h") == F.col("z_h"))
     hits = join_small(
-        scaled, SmallTable(flat, table.rows), same_size & _near(at) & inside, "camera_id", "z_camera_id"
+        scaled, SmallTable(flat, table.rows, table.max_edges, table.edges), same_size & _near(at) & inside, "camera_id", "z_camera_id"
     )
     return hits.select(*detections.columns, "zone_id", "zone_name", "zone_type")
 

@@ -7,6 +7,7 @@ import shutil
 import sys
 import tempfile
 import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark import cloudpickle
@@ -89,6 +90,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables staged inside are removed at the end; for work that is finished by then, as a stream's batch."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for folder in _OPEN.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table below the shared checkpoint folder and read it back.
 
@@ -96,5 +112,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     that second read is narrow, and the work that made the rows is done once.
     """
     folder = f"{checkpoint_dir(df.sparkSession)}/stages/{name}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(folder)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
