@@ -47,10 +47,10 @@ class Scan:
 
 
 def valid(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """``id`` and ``v`` (float array) of the vectors that take part."""
+    """``id`` and ``v`` (array of doubles) of the vectors that take part."""
     v = F.col("v")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(f"`{key}`").alias("id"), F.col(f"`{vector}`").cast("array<float>").alias("v")).where("id is not null and v is not null").where(fine)
+    rows = vectors.select(F.col(f"`{key}`").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v")).where("id is not null and v is not null").where(fine)
     length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).first()
     return rows.where(F.size("v") == (length["n"] if length else 0))
 
@@ -130,7 +130,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, queries, scan: Scan = Scan(
                 own = np.argmax(unit(matrix(batch.column(1))) @ centres.T, axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), batch.column(0), batch.column(1)], names=["list", "id", "v"])
 
-    listed = stage(rows.mapInArrow(assign, f"list int, id {kind}, v array<float>"), "vector-lists")
+    listed = stage(rows.mapInArrow(assign, f"list int, id {kind}, v array<double>"), "vector-lists")
     sizes = {r["list"]: r["n"] for r in listed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a list
     blocks = {k: -(-n // scan.block) for k, n in sizes.items()}
     of_list = F.element_at(F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair]), F.col("list"))
@@ -154,7 +154,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, queries, scan: Scan = Scan(
             yield pa.RecordBatch.from_arrays([
                 pa.array(lists.astype(np.int32)), pa.array(block.astype(np.int64)), batch.column(1).take(take), batch.column(2).take(take)], names=["list", "block", "id", "v"])
 
-    asked = listed.where(queries).mapInArrow(probe, f"list int, block long, id {kind}, v array<float>").withColumn("kind", F.lit(1))
+    asked = listed.where(queries).mapInArrow(probe, f"list int, block long, id {kind}, v array<double>").withColumn("kind", F.lit(1))
     held = listed.withColumn("block", F.pmod(F.xxhash64("id"), of_list)).select("list", "block", "id", "v", F.lit(0).alias("kind"))
     grouped = held.unionByName(asked).withColumn("g", F.xxhash64("list", "block")).repartition("g").sortWithinPartitions("g", "kind", "id")
 
