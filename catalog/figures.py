@@ -170,18 +170,21 @@ add("outcome", """(
   UNION ALL SELECT event_type, 'fn', NULL, truth_id, NULL FROM truth WHERE truth_id NOT IN (SELECT truth_id FROM picked WHERE truth_id IS NOT NULL))""", ["picked", "truth", "predicted"])
 
 
-def matches(v):
+def labels(v):
     third = F.regexp_extract("track_key", r"(\d+)$", 1).cast("bigint") % 3 == 1
     late = F.when(third, 40_000_000).otherwise(0)
-    truth = v.stays.groupBy("rule_id", "track_key", "first_us").agg(
+    return v.stays.groupBy("rule_id", "track_key", "first_us").agg(
         F.min("camera_id").alias("video"), F.min("zone_id").alias("zone"), F.min("rule_type").alias("event_type"), F.max("us").alias("to_us")
     ).select(F.concat_ws("|", "rule_id", "track_key", "first_us").alias("truth_id"), "video", "zone", "event_type",
              (F.col("first_us") + late).alias("from_us"), (F.col("to_us") + late).alias("to_us"))
+
+
+def matches(v):
     crowd = F.col("rule_type") == "crowd_limit"
     pred = v.beats.where((F.col("heartbeat_index") == 1) & ~crowd).select(
         F.col("source_event_id").alias("pred_id"), F.col("camera_id").alias("video"), F.col("zone_id").alias("zone"),
         F.col("rule_type").alias("event_type"), F.col("us").alias("start_us"))
-    return G.match_ground_truth(pred, truth)
+    return G.match_ground_truth(pred, labels(v))
 
 
 @query("match_ground_truth", sql("outcome", "SELECT * FROM outcome"))
@@ -248,3 +251,41 @@ def _(v):
         F.when(c("event_id") % 6 == 0, 0.0).alias("fps"), c("event_type").alias("encoding"))
     _, bad = validate_frames(df)
     return bad.select("event_id", F.array_join("reasons", ",").alias("reasons"), "encoding")
+
+
+def written(v, df, form: str, **options) -> str:
+    """``df`` as files below the shared folder; the path."""
+    import uuid
+
+    from zonewatch.session import checkpoint_dir
+
+    where = f"{checkpoint_dir(v.spark)}/sources/{uuid.uuid4().hex}"
+    df.write.options(**options).format(form).save(where)
+    return where
+
+
+@query("read_frame_results", sql("frame det", """
+SELECT f.camera_id, f.frame_id, f.us, coalesce(d.n, 0) AS objects, d.sure
+FROM frame f LEFT JOIN (SELECT camera_id, us, count(*) AS n, max(confidence) AS sure FROM det GROUP BY ALL) d ON d.camera_id = f.camera_id AND d.us = f.us"""))
+def _(v):
+    """All frames as JSON lines, read as a result source gives them."""
+    from zonewatch.functions.clock import iso_millis_us
+    from zonewatch.sources.frames import read_frame_results
+
+    lines = v.packed_frames.select(
+        "camera_id", "location_id", keys.frame_id(F.col("camera_id"), F.col("seq")).alias("frame_id"), F.col("seq").alias("sequence_number"),
+        iso_millis_us(F.col("us")).alias("captured_at"), F.col("frame_w").alias("frame_width"), F.col("frame_h").alias("frame_height"), "detections")
+    got = read_frame_results(v.spark, written(v, lines, "json"))
+    return got.select("camera_id", "frame_id", "us", F.size("detections").cast("bigint").alias("objects"),
+                      F.array_max(F.transform("detections", lambda d: d["confidence"])).alias("sure"))
+
+
+@query("read_ground_truth", sql("truth", f"""
+SELECT truth_id AS note, video, zone, event_type, (from_us - {BASE_US}) / 1000000e0 AS start_s, (to_us - {BASE_US}) / 1000000e0 AS end_s FROM truth"""))
+def _(v):
+    """The labels as CSV, read as they are kept."""
+    from zonewatch.sources.messages import read_ground_truth
+
+    seconds = lambda c: ((F.col(c) - BASE_US) / F.lit(1e6))
+    rows = labels(v).select("video", "zone", "event_type", seconds("from_us").alias("start_s"), seconds("to_us").alias("end_s"), F.col("truth_id").alias("note"))
+    return read_ground_truth(v.spark, written(v, rows, "csv", header="true"))
