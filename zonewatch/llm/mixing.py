@@ -40,7 +40,8 @@ class Mix:
     shard_slots: int = 1 << 16
     most: int = 3
     weights: tuple[int, ...] = (1, 2, 3)
-    bucket_rows: int = 1 << 15
+    bucket_rows: int = 1 << 13
+    task_slots: int = 1 << 19
     seed: int = 11
 
 
@@ -115,6 +116,8 @@ def slots(spark, sources: list, mix: Mix = Mix()) -> DataFrame:
     drawn = spark.range(shards if used else 0).mapInArrow(draw, "shard long, sid int, count long")
     before = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     ranges = drawn.withColumn("first", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    # A range is one row and many slots, so the number of tasks follows the slots.
+    ranges = ranges.repartition(max(1, -(-total // mix.task_slots)), "shard", "sid")
 
     def fill(batches):
         for batch in batches:
