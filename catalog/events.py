@@ -74,29 +74,55 @@ def _(v):
     return A.search_alerts(alert_rows(v), "resolved", "high", BASE_US, NOW).select("alert_id")
 
 
-@query("present_alerts", sql("alert", """
-SELECT alert_id AS id, rule_type, active_source_count,
+def iso(us: str) -> str:
+    """An instant as text with milliseconds, in SQL."""
+    return f"strftime(make_timestamp({us}), '%Y-%m-%dT%H:%M:%S.') || lpad(CAST({us} % 1000000 // 1000 AS VARCHAR), 3, '0') || 'Z'"
+
+
+NONE = "CAST(NULL AS VARCHAR)"
+
+
+@query("present_alerts", sql("alert", f"""
+SELECT alert_id AS id, dedup_key, camera_id, zone_id, rule_config_id, rule_type, object_type,
   CASE WHEN rule_type IN ('person_intrusion', 'vehicle_intrusion') THEN 'high' WHEN rule_type = 'crowd_limit' THEN 'medium' ELSE 'low' END AS risk_level,
-  strftime(make_timestamp(last_seen_us), '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(last_seen_us % 1000000 // 1000 AS VARCHAR), 3, '0') || 'Z' AS last_seen_at
-FROM alert"""))
+  CASE WHEN ended_us IS NULL THEN 'active' ELSE 'resolved' END AS lifecycle_status, active_source_count, first_seq AS first_sequence_number,
+  last_seq AS last_sequence_number, {iso("started_us")} AS started_at, {iso("last_seen_us")} AS last_seen_at, {iso("ended_us")} AS ended_at,
+  {NONE} AS payload, {iso("opened")} AS created_at, {iso("last_seen_us")} AS updated_at
+FROM alert JOIN (SELECT alert_id AS k, arg_min(rule_id, (us, seq, source_event_id)) AS rule_config_id FROM linked GROUP BY alert_id) ON k = alert_id"""))
 def _(v):
-    return TS.present_alert(alert_rows(v)).select("id", "rule_type", "active_source_count", "risk_level", "last_seen_at")
+    rows = alert_rows(v).withColumns({"created_us": F.col("alert_us"), "updated_us": F.col("last_seen_us")})
+    return TS.present_alert(rows)
 
 
-@query("present_events", sql("aievent", """
-SELECT id, camera_id, zone_id, rule_config_id, event_type, first_seq AS first_sequence_number, last_seq AS last_sequence_number,
-  strftime(make_timestamp(started_us), '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(started_us % 1000000 // 1000 AS VARCHAR), 3, '0') || 'Z' AS started_at
-FROM aievent"""))
+@query("present_events", sql("aievent", f"""
+SELECT id, alert_id, id AS source_event_id, camera_id, zone_id, rule_config_id, event_type, object_type, track_id, confidence, 'active' AS lifecycle_status,
+  first_seq AS first_sequence_number, last_seq AS last_sequence_number, {iso("started_us")} AS started_at, {iso("last_seen_us")} AS last_seen_at,
+  {NONE} AS ended_at, {NONE} AS payload, {iso("started_us")} AS created_at, {iso("last_seen_us")} AS updated_at FROM aievent"""))
 def _(v):
-    return TS.present_event(v.ai_events).select(
-        "id", "camera_id", "zone_id", "rule_config_id", "event_type", "first_sequence_number", "last_sequence_number", "started_at"
-    )
+    return TS.present_event(v.ai_events.withColumn("updated_us", F.col("last_seen_us")))
+
+
+@query("present_evidence", sql("evidence", f"""
+SELECT id, alert_id, ai_event_id, camera_id, evidence_type, id || '.jpg' AS storage_key, 'image/jpeg' AS mime_type, CAST(NULL AS BIGINT) AS file_size, frame_id,
+  CAST(NULL AS BIGINT) AS sequence_number, {iso("captured_us")} AS captured_at, {NONE} AS started_at, {NONE} AS ended_at, 10e0 AS duration_seconds,
+  {NONE} AS codec, 2e0 AS fps, 640 AS frame_width, 360 AS frame_height, status, {iso("created_us")} AS created_at,
+  '/api/evidence/' || id || '/media' AS media_url FROM evidence"""))
+def _(v):
+    e = v.evidence.withColumns({
+        "storage_key": F.concat("id", F.lit(".jpg")), "mime_type": F.lit("image/jpeg"), "duration_seconds": F.lit(10.0), "fps": F.lit(2.0),
+        "frame_width": F.lit(640), "frame_height": F.lit(360)})
+    return TS.present_evidence(e)
 
 
-@query("present_evidence", sql("evidence", "SELECT id, ai_event_id, '/api/evidence/' || id || '/media' AS media_url FROM evidence"))
+@query("present_reference_frames", sql("frame", f"""
+SELECT frame_id AS id, camera_id, frame_id || '.jpg' AS storage_key, 'image/jpeg' AS mime_type, 640 AS frame_width, 360 AS frame_height,
+  {iso("us")} AS captured_at, {iso("us")} AS created_at, '/frames/' || frame_id || '.jpg' AS image_url FROM frame WHERE seq = 1"""))
 def _(v):
-    e = v.evidence.withColumn("storage_key", F.lit("x"))
-    return TS.present_evidence(e).select("id", "ai_event_id", "media_url")
+    """The first frame of each camera."""
+    first = v.frames.groupBy("camera_id").agg(F.min_by(F.struct("frame_id", "us", "frame_w", "frame_h"), F.col("seq")).alias("f")).select(
+        F.col("f.frame_id").alias("id"), "camera_id", F.concat("f.frame_id", F.lit(".jpg")).alias("storage_key"), F.lit("image/jpeg").alias("mime_type"),
+        F.col("f.frame_w").alias("frame_width"), F.col("f.frame_h").alias("frame_height"), F.col("f.us").alias("captured_us"), F.col("f.us").alias("created_us"))
+    return TS.present_reference_frame(first, F.concat(F.lit("/frames/"), "storage_key"))
 
 
 @query("event_payload", sql("hb", """

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from zonewatch.operators import risk as R
 from zonewatch.operators import sensors as N
 from zonewatch.session import ROCKSDB, checkpoint_dir
+from zonewatch.sources import config
+from zonewatch.sources.config import refreshing_dimension
 from zonewatch.streaming import sinks as K
 from zonewatch.streaming import stateful as ST
 
@@ -119,3 +121,23 @@ def _(v):
         return v.spark.read.parquet(f"{where}/out").drop("batch")
 
     return v.staged("publish_events", build)
+
+
+@query("pair_streams", sql("frame result", """
+SELECT f.camera_id, f.frame_id, f.us, r.objects FROM frame f JOIN result r ON r.camera_id = f.camera_id AND r.frame_id = f.frame_id"""))
+def _(v):
+    frames, results = v.frames.select("camera_id", "frame_id", "us"), v.results.select("camera_id", "frame_id", "us", "objects")
+    return finished(v, "pair_streams", lambda: K.pair_streams(played(v, frames, "us"), played(v, results, "us")))
+
+
+@query("stream_hits", sql("hb", "SELECT camera_id, rule_id, track_key, us, heartbeat_index, source_event_id FROM hb"))
+def _(v):
+    """Hits batch by batch with the configuration asked for anew, then their events."""
+    def stream():
+        where = folder(v)
+        zones = refreshing_dimension(lambda: config.parse_zones(v.raw_zones))
+        rules = refreshing_dimension(lambda: config.clean_rules(v.raw_rules))
+        ST.write_hits(played(v, v.packed_frames, "us"), zones, rules, f"{where}/hits", f"{where}/state").awaitTermination()
+        return ST.stream_hits(v.spark, f"{where}/hits", ST.RuleSettings(reattach=None))
+
+    return finished(v, "stream_hits", stream).select("camera_id", "rule_id", "track_key", "us", "heartbeat_index", "source_event_id")

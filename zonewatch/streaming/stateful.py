@@ -10,13 +10,13 @@ memory together, so bound batches at the source (``maxFilesPerTrigger`` and the
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import groupby
 from math import atan2, degrees, hypot
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -154,17 +154,50 @@ def _hits_with_frames(frames: DataFrame, zones, rules, tz: float) -> DataFrame:
     return row.unionByName(frames.select("camera_id", "us", "seq", *blank))
 
 
+HIT_SCHEMA = (
+    "camera_id string, us bigint, seq bigint, det_index double, zone_id string, rule_id string, rule_type string, track_key string, "
+    "class_name string, rule_object_type string, confidence double, people_threshold double, duration_threshold double, fx double, fy double, area double"
+)
+
+
+def write_hits(frames: DataFrame, zones: Callable[[], DataFrame], rules: Callable[[], DataFrame], folder: str, checkpoint: str, tz: float = 7.0, **trigger):
+    """Rule hits of a stream of frames as files, each batch under the configuration of its time.
+
+    ``zones`` and ``rules`` are asked once a batch (``config.refreshing_dimension`` keeps what they give for some seconds), so a
+    changed zone or rule holds from the next batch on, which a join fixed when the stream starts can't do. ``stream_hits``
+    goes on from the files. A batch is written under its number, so one that is repeated replaces itself.
+    """
+    names = [c.split(" ")[0] for c in HIT_SCHEMA.split(", ")]
+
+    def step(batch: DataFrame, number: int) -> None:
+        hits = _hits_with_frames(batch, Z.prepare_zones(zones()), Z.prepare_rules(rules()), tz)
+        typed = hits.select(*[F.col(c.split(" ")[0]).cast(c.split(" ")[1]) for c in HIT_SCHEMA.split(", ")])
+        typed.select(*names).write.mode("overwrite").parquet(f"{folder}/batch={number:012d}")
+
+    return frames.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def stream_hits(spark: SparkSession, folder: str, settings: RuleSettings = RuleSettings(), files_per_batch: int = 64) -> DataFrame:
+    """Published events of the hits that ``write_hits`` wrote, as a stream."""
+    rows = spark.readStream.schema(HIT_SCHEMA).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", True).parquet(folder)
+    return _events_of(rows, settings)
+
+
+def _events_of(rows: DataFrame, settings: RuleSettings) -> DataFrame:
+    return rows.groupBy("camera_id").transformWithStateInPandas(
+        RuleProcessor(settings), EVENT_SCHEMA, outputMode="Append", timeMode="None"
+    )
+
+
 def stream_rules(
     frames: DataFrame, zones, rules, settings: RuleSettings = RuleSettings()
 ) -> DataFrame:
     """Published events of a stream of frames (with ``detections``), as ``heartbeat_events`` gives them.
 
-    Zones and rules are joined without state; then one step per camera keeps its open stays.
+    Zones and rules are those at the start (``write_hits`` asks for them anew) and joined without state; then one step
+    per camera keeps its open stays.
     """
-    rows = _hits_with_frames(frames, zones, rules, settings.tz_offset_hours)
-    return rows.groupBy("camera_id").transformWithStateInPandas(
-        RuleProcessor(settings), EVENT_SCHEMA, outputMode="Append", timeMode="None"
-    )
+    return _events_of(_hits_with_frames(frames, zones, rules, settings.tz_offset_hours), settings)
 
 
 class TrackProcessor(_Blob):
