@@ -65,33 +65,27 @@ def runs(batches: Iterable[pa.RecordBatch], key: str, least: int = 1) -> Iterato
 
     Several groups come together until they make up ``least`` rows.
     """
-    held: list[pa.RecordBatch] = []
-    rows = 0
+    done: list[pa.RecordBatch] = []
+    tail: list[pa.RecordBatch] = []  # the last group so far
+    rows, of = 0, None
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        held.append(batch)
-        rows += batch.num_rows
-        if rows < least:
-            continue
         keys = batch.column(key).to_numpy(zero_copy_only=False)
-        cut = int(np.flatnonzero(keys == keys[-1])[0])
-        if cut == 0 and len(held) == 1:
-            continue
-        if cut == 0:
-            earlier = pa.Table.from_batches(held).combine_chunks()
-            keys = earlier.column(key).to_numpy()
-            cut = int(np.searchsorted(np.cumsum(np.r_[False, keys[1:] != keys[:-1]]), np.cumsum(keys[1:] != keys[:-1])[-1]))
-            if cut == 0:
-                continue
-            yield earlier.slice(0, cut)
-            held = earlier.slice(cut).combine_chunks().to_batches()
-        else:
-            yield pa.Table.from_batches([*held[:-1], batch.slice(0, cut)])
-            held = [batch.slice(cut)]
-        rows = sum(b.num_rows for b in held)
-    if held:
-        yield pa.Table.from_batches(held)
+        cut = int(np.argmax(keys == keys[-1]))
+        if cut or (tail and of != keys[-1]):
+            done += tail
+            tail = []
+        if cut:
+            done.append(batch.slice(0, cut))
+        tail.append(batch.slice(cut))
+        of = keys[-1]
+        rows = sum(b.num_rows for b in done)
+        if rows >= least:
+            yield pa.Table.from_batches(done)
+            done = []
+    if done or tail:
+        yield pa.Table.from_batches([*done, *tail])
 
 
 def starts(keys: np.ndarray) -> np.ndarray:
