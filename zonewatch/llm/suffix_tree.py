@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from zonewatch.llm.text import mixed, narrow, runs, starts, utf8, wide
+from zonewatch.llm.text import mixed, narrow, starts, utf8, wide
 from zonewatch.session import stage
 
 DISCOUNT = 0.5
@@ -386,15 +386,9 @@ def scored(documents: DataFrame, tree: Tree = Tree(), key: str = "doc_id", text:
             pa.array(np.full(len(firsts), root.tokens)), pa.array(np.add.reduceat(base, firsts)), pa.array(np.add.reduceat(own, firsts)),
         ], names=schema.names)
 
-    def run(batches):
-        for table in runs(batches, "chunk"):
-            cuts = starts(table["chunk"].to_numpy())
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                yield score(table["body"][int(lo)], table["at"][lo + 1 : hi].to_numpy(), table["c"][lo + 1 : hi].to_numpy())
-
-    # A chunk and its words' counts meet as one chunk row followed by its counts, so a task holds one chunk at a time.
-    body = F.struct("docs", "held", "lengths", "ids", "words")
-    whole = chunks.select("chunk", F.lit(-1).alias("at"), F.lit(0).cast("long").alias("c"), body.alias("body"))
-    rows = counts.select("chunk", "at", "c", F.lit(None).cast(whole.schema["body"].dataType).alias("body"))
-    met = whole.unionByName(rows).repartition("chunk").sortWithinPartitions("chunk", "at")
-    return met.mapInArrow(run, schema)
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        (row,) = _chunks(left.to_batches())
+        return pa.Table.from_batches([score(row, right["at"].to_numpy(), right["c"].to_numpy())])
+
+    # A chunk meets the counts of its words, at most one for each word it holds.
+    return chunks.groupBy("chunk").cogroup(counts.select("chunk", "at", "c").groupBy("chunk")).applyInArrow(run, schema)
