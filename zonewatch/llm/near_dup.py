@@ -45,7 +45,7 @@ class Similarity:
     bits: int = 512
     #: Nodes in a block of one band value, and shingles in a block of one cluster: what a task holds is twice that.
     block_nodes: int = 1024
-    block_shingles: int = 1 << 16
+    block_shingles: int = 1 << 18
 
     @property
     def rows(self) -> int:
