@@ -105,14 +105,14 @@ def scratch(spark: SparkSession):
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as a Parquet table below the shared checkpoint folder and read it back.
 
     The ordered operators read their input twice, once only its key and time columns; from a table
-    that second read is narrow, and the work that made the rows is done once.
+    that second read is narrow, and the work that made the rows is done once. ``options`` are the writer's.
     """
     folder = f"{checkpoint_dir(df.sparkSession)}/stages/{name}-{uuid.uuid4().hex}"
     if _OPEN:
         _OPEN[-1].append(folder)
-    df.write.parquet(folder)
+    df.write.options(**options).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
