@@ -112,7 +112,7 @@ class Chunk:
         self.docs, self.held = row["docs"].values, row["held"].values.to_numpy(zero_copy_only=False)
         self.lengths = row["lengths"].values.to_numpy()
         self.ids = wide(zstandard.ZstdDecompressor().decompress(row["ids"].as_py()))
-        self.words = row["words"].values.field("word").to_pylist()
+        self.words = row["words"].values.to_pylist()
         h = np.array([word_hash(w) for w in self.words], dtype=np.uint64)
         self.hash = h[self.ids]
         self._grams = [self.hash]
@@ -141,6 +141,11 @@ def gram(parts: list[np.ndarray]) -> np.ndarray:
     return h
 
 
+def _narrow(chunks: DataFrame) -> DataFrame:
+    """What ``Chunk`` needs of the chunks: not the counts beside the words."""
+    return chunks.select("chunk", "docs", "held", "lengths", "ids", F.col("words.word").alias("words"))
+
+
 def _chunks(batches):
     for batch in batches:
         for k in range(batch.num_rows):
@@ -163,6 +168,7 @@ def _counters(chunks: DataFrame, tree: Tree) -> list[np.ndarray]:
     size, parts = 1 << tree.counter_bits, 16
 
     def add(batches):
+        pack = zstandard.ZstdCompressor(level=1)
         sums = np.zeros((tree.depth, size), dtype=np.int64)
         for row in _chunks(batches):
             c = Chunk(row)
@@ -171,14 +177,16 @@ def _counters(chunks: DataFrame, tree: Tree) -> list[np.ndarray]:
                 sums[d] += np.bincount((h[whole & c.train] >> np.uint64(64 - tree.counter_bits)).astype(np.int64), minlength=size)
         rows = [(d, k, part) for d in range(tree.depth) for k, part in enumerate(np.split(sums[d], parts)) if part.any()]
         yield pa.RecordBatch.from_arrays([
-            pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2].tobytes() for r in rows], pa.binary()),
+            pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()),
+            pa.array([pack.compress(narrow(r[2])) for r in rows], pa.binary()),
         ], names=["d", "k", "sums"])
 
     def merge(batches):
+        unpack = zstandard.ZstdDecompressor()
         held: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             for d, k, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                part = np.frombuffer(data, dtype=np.int64)
+                part = wide(unpack.decompress(data)).astype(np.int64)
                 held[d, k] = held[d, k] + part if (d, k) in held else part
         yield pa.RecordBatch.from_arrays([
             pa.array([d for d, _ in held], pa.int32()), pa.array([k for _, k in held], pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary()),
@@ -186,7 +194,7 @@ def _counters(chunks: DataFrame, tree: Tree) -> list[np.ndarray]:
 
     kind = "d int, k int, sums binary"
     out = [np.zeros(size, dtype=np.int64) for _ in range(tree.depth)]
-    for row in chunks.select("docs", "held", "lengths", "ids", "words").mapInArrow(add, kind).repartition("d", "k").mapInArrow(merge, kind).toLocalIterator():
+    for row in _narrow(chunks).mapInArrow(add, kind).repartition("d", "k").mapInArrow(merge, kind).toLocalIterator():
         width = size // parts
         out[row.d][row.k * width : (row.k + 1) * width] += np.frombuffer(row.sums, dtype=np.int64)
     return out
@@ -220,7 +228,7 @@ def _frequent(chunks: DataFrame, passes: list[np.ndarray], least: int, tree: Tre
                     [pa.array(np.full(len(at), n, dtype=np.int32)), *[pa.array(x.view(np.int64)) for x in cols], pa.array(found.astype(np.int64))], names=[*names, "c"])
 
     kind = "n int, key long, context long, suffix long, shorter long, c long"
-    counted = chunks.select("docs", "held", "lengths", "ids", "words").mapInArrow(count, kind)
+    counted = _narrow(chunks).mapInArrow(count, kind)
     return counted.groupBy(*names).agg(F.sum("c").alias("c")).where(F.col("c") >= least)
 
 
@@ -363,8 +371,8 @@ def fitted(chunks: DataFrame, tree: Tree, counts: DataFrame | None = None) -> Fi
 
 def scored(documents: DataFrame, tree: Tree = Tree(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row: ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``."""
-    chunks = stage(encoded(documents, tree, key, text), "tree-chunks")
-    counts = stage(word_counts(chunks, tree.least_count), "tree-words")
+    chunks = stage(encoded(documents, tree, key, text), "tree-chunks", compression="zstd")
+    counts = stage(word_counts(chunks, tree.least_count), "tree-words", compression="zstd")
     share = documents.sparkSession.sparkContext.broadcast(fitted(chunks, tree, counts))
     kind = documents.schema[key].dataType
     schema = T.StructType([
@@ -391,4 +399,4 @@ def scored(documents: DataFrame, tree: Tree = Tree(), key: str = "doc_id", text:
         return pa.Table.from_batches([score(row, right["at"].to_numpy(), right["c"].to_numpy())])
 
     # A chunk meets the counts of its words, at most one for each word it holds.
-    return chunks.groupBy("chunk").cogroup(counts.select("chunk", "at", "c").groupBy("chunk")).applyInArrow(run, schema)
+    return _narrow(chunks).groupBy("chunk").cogroup(counts.select("chunk", "at", "c").groupBy("chunk")).applyInArrow(run, schema)
