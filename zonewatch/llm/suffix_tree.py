@@ -2,14 +2,14 @@
 
 Counting. Texts are dictionary-encoded once, in chunks of whole documents, as a written table. The exact count of
 every word comes from all chunks' words in one shuffle, which also carries it back to the chunks. Word sequences of two
-to ``depth + 1`` words are counted if they make up ``least_share`` of all training tokens: first every chunk adds all its
-sequences to a fixed number of hashed counters, whose sums bound each sequence's count from above; then only
-sequences whose counter reaches the bound are counted exactly. Nothing that reaches it is missed.
+to ``depth + 1`` words are kept if training rows hold them ``least_count`` times, whatever the size of the corpus. They are counted
+exactly, length by length: a chunk hands on its sequences whose first and whose last words are both kept sequences, dealt by hash to
+buckets whose number grows with the tokens, and a bucket gives each chunk the kept ones of what it handed on.
 
 The tree. A context (up to ``depth`` words) is a node if the words that follow it diverge from what follows its suffix:
-a G-test of its frequent next words, and all others together, beyond ``sigmas`` standard deviations of the chance value.
-Suffixes of nodes are nodes too. At most ``1 / least_share`` sequences of each length can reach the share, so the tree has a size
-bound that no corpus exceeds, and is handed to the tasks whole.
+a G-test of its kept next words, and all others together, beyond ``sigmas`` standard deviations of the chance value.
+Suffixes of nodes are nodes too. Sequences and nodes are written tables keyed by hash, which grow with the corpus. None of
+them comes to the driver or is broadcast: a chunk is joined to the sequences and nodes it contains.
 
 Smoothing. The root gives unknown words, as one type, the share of words seen once (Good and Turing), taken evenly from all
 known words. A node takes ``DISCOUNT`` from each count and hands the rest, and all it knows nothing about, to its suffix.
@@ -24,6 +24,7 @@ in an empty table, all counts are 0 and scores are those of no knowledge, 0 for
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,12 +45,23 @@ END = b""
 
 @dataclass(frozen=True)
 class Tree:
+    """``least_share``, if a caller wants it, also asks of a sequence that share of all training tokens."""
+
     depth: int = 3
-    least_share: float = 2e-5
+    least_share: float = 0.0
     least_count: int = 3
     sigmas: float = 4.0
+    #: At least ``2 ** (counter_bits - 14)`` buckets count sequences; no result depends on it.
     counter_bits: int = 20
     chunk_bytes: int = 4 << 20
+    #: Tokens of the training rows for each bucket.
+    bucket_tokens: int = 2_000_000
+
+    def least(self, tokens: int) -> int:
+        return max(self.least_count, int(np.ceil(self.least_share * tokens)))
+
+    def buckets(self, tokens: int) -> int:
+        return max(1 << max(self.counter_bits - 14, 0), -(-tokens // self.bucket_tokens))
 
 
 def held_out(key):
@@ -106,15 +118,14 @@ def encoded(documents: DataFrame, tree: Tree, key: str, text: str) -> DataFrame:
 
 
 class Chunk:
-    """One row of ``encoded``, with the hashes of its word sequences."""
+    """One row of ``counted``, with the hashes of its word sequences."""
 
     def __init__(self, row):
         self.docs, self.held = row["docs"].values, row["held"].values.to_numpy(zero_copy_only=False)
         self.lengths = row["lengths"].values.to_numpy()
         self.ids = wide(zstandard.ZstdDecompressor().decompress(row["ids"].as_py()))
-        self.words = row["words"].values.to_pylist()
-        h = np.array([word_hash(w) for w in self.words], dtype=np.uint64)
-        self.hash = h[self.ids]
+        self.words, self.counts = unpacked(row["hash"].as_py(), np.uint64), unpacked(row["counts"].as_py(), np.int64)
+        self.hash = self.words[self.ids]
         self._grams = [self.hash]
         starts = np.cumsum(self.lengths) - self.lengths
         self.place = np.arange(len(self.ids)) - np.repeat(starts, self.lengths)
@@ -141,9 +152,14 @@ def gram(parts: list[np.ndarray]) -> np.ndarray:
     return h
 
 
-def _narrow(chunks: DataFrame) -> DataFrame:
-    """What ``Chunk`` needs of the chunks: not the counts beside the words."""
-    return chunks.select("chunk", "docs", "held", "lengths", "ids", F.col("words.word").alias("words"))
+def packed(values: np.ndarray) -> bytes:
+    """64-bit values as bytes that compress well: all first bytes, then all second ones, and so on."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def unpacked(data: bytes, kind) -> np.ndarray:
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    return np.ascontiguousarray(flat.reshape(8, -1).T).view(kind).reshape(-1)
 
 
 def _chunks(batches):
@@ -152,84 +168,228 @@ def _chunks(batches):
             yield {name: batch.column(name)[k] for name in batch.schema.names}
 
 
-def word_counts(chunks: DataFrame, least: int) -> DataFrame:
-    """``chunk``, ``at`` (the word's id there), ``c`` (its count in all training rows), ``first`` (once a word).
-
-    ``word`` is the word itself once, if it counts ``least`` or more: it is needed for no other row, and the rows are many.
-    """
+def word_counts(chunks: DataFrame) -> DataFrame:
+    """``chunk``, ``at`` (the word's id there), ``c`` (its count in all training rows), ``first`` (once a word)."""
     entries = chunks.select("chunk", F.posexplode("words").alias("at", "w")).select("chunk", "at", "w.word", "w.train")
     every = Window.partitionBy("word")
     counted = entries.withColumn("c", F.sum("train").over(every)).withColumn("first", F.row_number().over(every.orderBy("chunk")) == 1)
-    return counted.select("chunk", F.col("at").cast("int").alias("at"), "c", "first", F.when(F.col("first") & (F.col("c") >= least), F.col("word")).alias("word"))
+    return counted.select("chunk", F.col("at").cast("int").alias("at"), "c", "first")
 
 
-def _counters(chunks: DataFrame, tree: Tree) -> list[np.ndarray]:
-    """For sequences of each length from two words: hashed counters over all training rows."""
-    size, parts = 1 << tree.counter_bits, 16
+def counted(chunks: DataFrame, counts: DataFrame) -> DataFrame:
+    """The chunks with the hashes of their words and the words' counts; a chunk meets at most one count for each word it holds."""
+    schema = T.StructType([*chunks.drop("words").schema, T.StructField("hash", T.BinaryType()), T.StructField("counts", T.BinaryType())])
 
-    def add(batches):
-        pack = zstandard.ZstdCompressor(level=1)
-        sums = np.zeros((tree.depth, size), dtype=np.int64)
-        for row in _chunks(batches):
-            c = Chunk(row)
-            for d in range(tree.depth):
-                h, whole = c.grams(d + 2)
-                sums[d] += np.bincount((h[whole & c.train] >> np.uint64(64 - tree.counter_bits)).astype(np.int64), minlength=size)
-        rows = [(d, k, part) for d in range(tree.depth) for k, part in enumerate(np.split(sums[d], parts)) if part.any()]
-        yield pa.RecordBatch.from_arrays([
-            pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()),
-            pa.array([pack.compress(narrow(r[2])) for r in rows], pa.binary()),
-        ], names=["d", "k", "sums"])
-
-    def merge(batches):
-        unpack = zstandard.ZstdDecompressor()
-        held: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            for d, k, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                part = wide(unpack.decompress(data)).astype(np.int64)
-                held[d, k] = held[d, k] + part if (d, k) in held else part
-        yield pa.RecordBatch.from_arrays([
-            pa.array([d for d, _ in held], pa.int32()), pa.array([k for _, k in held], pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary()),
-        ], names=["d", "k", "sums"])
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        words = [w for part in left["words"].chunks for w in part.values.to_pylist()]
+        c = np.zeros(len(words), dtype=np.int64)
+        c[right["at"].to_numpy()] = right["c"].to_numpy()
+        out = left.drop_columns(["words"])
+        h = np.array([word_hash(w) for w in words], dtype=np.uint64)
+        return out.append_column("hash", pa.array([packed(h)], pa.binary())).append_column("counts", pa.array([packed(c)], pa.binary()))
+
+    narrow_chunks = chunks.select("chunk", "docs", "held", "lengths", "ids", F.col("words.word").alias("words"))
+    return narrow_chunks.groupBy("chunk").cogroup(counts.select("chunk", "at", "c").groupBy("chunk")).applyInArrow(run, schema)
+
+
+# Sequences of ``n`` words that a chunk holds: sorted ``keys``, with their counts (``c``) and which of them this chunk stands for (``first``).
+_HELD = "bucket int, chunk long, n int, keys binary, c binary, first binary"
+# What a chunk is joined to: counts of its kept sequences of ``n`` words (kind c), shares that its nodes hand on (kind left).
+_MEETS = "chunk long, kind string, n int, keys binary, vals binary, first binary"
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _dealt(chunk: int, n: int, keys: np.ndarray, train: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Sorted keys of a chunk as one row for each bucket."""
+    of = _bucket(keys, buckets)
+    order = np.argsort(of, kind="stable")
+    of, keys, train = of[order], keys[order], train[order]
+    cuts = starts(of)
+    parts = list(zip(cuts[:-1], cuts[1:], strict=True))
+    return pa.RecordBatch.from_arrays([
+        pa.array(of[cuts[:-1]], pa.int32()), pa.array(np.full(len(parts), chunk), pa.int64()), pa.array(np.full(len(parts), n), pa.int32()),
+        pa.array([packed(keys[lo:hi]) for lo, hi in parts], pa.binary()), pa.array([packed(train[lo:hi]) for lo, hi in parts], pa.binary()),
+        pa.nulls(len(parts), pa.binary()),
+    ], names=["bucket", "chunk", "n", "keys", "c", "first"])
+
+
+class Met:
+    """What a chunk was joined to: for each kind and length, sorted keys and their values."""
+
+    def __init__(self, table: pa.Table):
+        gathered: dict[tuple[str, int], list] = {}
+        for r in table.to_pylist():
+            kind = np.float64 if r["kind"] == "left" else np.int64
+            first = np.unpackbits(np.frombuffer(r["first"], dtype=np.uint8)) if r["first"] is not None else np.zeros(0, np.uint8)
+            keys = unpacked(r["keys"], np.uint64)
+            gathered.setdefault((r["kind"], r["n"]), []).append((keys, unpacked(r["vals"], kind), first[: len(keys)].astype(bool)))
+        self.of = {}
+        for at, parts in gathered.items():
+            keys, values, first = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(keys)
+            self.of[at] = keys[order], values[order], first[order] if len(first) else first
+
+    def get(self, kind: str, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.of.get((kind, n), (np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, bool)))
+
+    def counts(self, chunk: Chunk, n: int) -> np.ndarray:
+        """At each place, the count of the ``n`` words that end there, 0 if they aren't kept."""
+        if n == 1:
+            return chunk.counts[chunk.ids]
+        keys, c, _ = self.get("c", n)
+        h, whole = chunk.grams(n)
+        at, known = find(keys, h)
+        out = np.zeros(len(h), dtype=np.int64)
+        known &= whole
+        out[known] = c[at[known]]
+        return out
+
+
+def _meeting(held: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionAll, [h.select("chunk", F.lit("c").alias("kind"), "n", "keys", F.col("c").alias("vals"), "first") for h in held])
+
+
+def _joined(chunks: DataFrame, meets: DataFrame, fn, schema) -> DataFrame:
+    """``fn(chunk id, Chunk, Met)`` of each chunk and the rows of ``meets`` that are for it."""
 
-    kind = "d int, k int, sums binary"
-    out = [np.zeros(size, dtype=np.int64) for _ in range(tree.depth)]
-    for row in _narrow(chunks).mapInArrow(add, kind).repartition("d", "k").mapInArrow(merge, kind).toLocalIterator():
-        width = size // parts
-        out[row.d][row.k * width : (row.k + 1) * width] += np.frombuffer(row.sums, dtype=np.int64)
-    return out
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        (row,) = _chunks(left.to_batches())
+        return pa.Table.from_batches([fn(row["chunk"].as_py(), Chunk(row), Met(right))])
+
+    return chunks.groupBy("chunk").cogroup(meets.groupBy("chunk")).applyInArrow(run, schema)
 
 
-def _frequent(chunks: DataFrame, passes: list[np.ndarray], least: int, tree: Tree) -> DataFrame:
-    """Exact counts of the sequences that make up the share: ``n`` words, ``key``, ``context``, ``suffix`` and ``shorter`` (the suffix's sequence)."""
-    names = ["n", "key", "context", "suffix", "shorter"]
+def _kept(chunks: DataFrame, n: int, shorter: DataFrame | None, least: int, buckets: int) -> DataFrame:
+    """The sequences of ``n`` words that training rows hold ``least`` times, as ``_HELD``; ``shorter`` are those of one word less."""
 
-    share = chunks.sparkSession.sparkContext.broadcast([np.packbits(p) for p in passes])
+    def gathered(name: int, c: Chunk, met: Met) -> pa.RecordBatch:
+        h, ok = c.grams(n)
+        often = met.counts(c, n - 1) >= least
+        ok = ok & often
+        ok[1:] &= often[:-1]
+        keys, which = np.unique(h[ok], return_inverse=True)
+        train = np.bincount(which, weights=c.train[ok], minlength=len(keys)).astype(np.int64)
+        return _dealt(name, n, keys, train, buckets)
 
-    def count(batches):
-        allowed = [np.unpackbits(p).astype(bool) for p in share.value]
+    def alone(batches):
+        for row in _chunks(batches):
+            yield gathered(row["chunk"].as_py(), Chunk(row), Met(pa.table({"kind": []})))
+
+    def summed(rows: pa.Table) -> pa.Table:
+        parts = [unpacked(k, np.uint64) for k in rows["keys"].to_pylist()]
+        flat = np.concatenate(parts)
+        keys, first, which = np.unique(flat, return_index=True, return_inverse=True)
+        c = np.bincount(which, weights=np.concatenate([unpacked(t, np.int64) for t in rows["c"].to_pylist()])).astype(np.int64)[which]
+        stands = np.zeros(len(flat), dtype=bool)
+        stands[first] = True
+        ends = np.cumsum([len(p) for p in parts])
+        own = [slice(e - len(p), e) for p, e in zip(parts, ends, strict=True)]
+        good = c >= least
+        return pa.Table.from_arrays([
+            rows["bucket"], rows["chunk"], rows["n"], pa.array([packed(flat[o][good[o]]) for o in own], pa.binary()),
+            pa.array([packed(c[o][good[o]]) for o in own], pa.binary()), pa.array([np.packbits(stands[o][good[o]]).tobytes() for o in own], pa.binary()),
+        ], names=["bucket", "chunk", "n", "keys", "c", "first"])
+
+    found = chunks.mapInArrow(alone, _HELD) if shorter is None else _joined(chunks, _meeting([shorter]), gathered, _HELD)
+    return stage(found.groupBy("bucket").applyInArrow(summed, _HELD), f"tree-sequences-{n}")
+
+
+def _words(chunks: DataFrame, least: int, buckets: int) -> DataFrame:
+    """Each chunk's words that may be contexts, as ``_HELD``."""
+
+    def run(batches):
         for row in _chunks(batches):
             c = Chunk(row)
-            grams = [c.grams(n) for n in range(1, tree.depth + 2)]
-            ok = c.train.copy()
-            for n in range(2, tree.depth + 2):
-                h, whole = grams[n - 1]
-                inner = np.r_[False, ok[:-1]] if n > 2 else np.ones(len(ok), dtype=bool)
-                ok = ok & inner & whole & allowed[n - 2][(h >> np.uint64(64 - tree.counter_bits)).astype(np.int64)]
-                at = np.flatnonzero(ok)
-                if len(at) == 0:
-                    break
-                key, first, found = np.unique(h[at], return_index=True, return_counts=True)
-                at = at[first]
-                context = grams[n - 2][0][at - 1]
-                suffix = grams[n - 3][0][at - 1] if n > 2 else np.zeros(len(at), dtype=np.uint64)
-                cols = [key, context, suffix, grams[n - 2][0][at]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), n, dtype=np.int32)), *[pa.array(x.view(np.int64)) for x in cols], pa.array(found.astype(np.int64))], names=[*names, "c"])
-
-    kind = "n int, key long, context long, suffix long, shorter long, c long"
-    counted = _narrow(chunks).mapInArrow(count, kind)
-    return counted.groupBy(*names).agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+            often = c.counts >= least
+            order = np.argsort(c.words[often])
+            yield _dealt(row["chunk"].as_py(), 1, c.words[often][order], c.counts[often][order], buckets)
+
+    return chunks.mapInArrow(run, _HELD)
+
+
+def _sequences(chunks: DataFrame, held: list[DataFrame], root: Root, depth: int) -> DataFrame:
+    """Each kept sequence once: ``n`` words, ``key``, ``context``, ``suffix`` (of the context), ``shorter`` (the suffix's sequence),
+    ``c``, ``total`` (of the context) and, where that is the root's, the probability of ``shorter`` (``below``)."""
+
+    def run(_, chunk: Chunk, met: Met) -> pa.RecordBatch:
+        out = []
+        for n in range(2, depth + 2):
+            keys, c, first = met.get("c", n)
+            keys, c = keys[first], c[first]
+            h, whole = chunk.grams(n)
+            own, known = find(keys, h)
+            at = np.flatnonzero(known & whole)
+            _, one = np.unique(own[at], return_index=True)
+            at = at[one]
+            before = [chunk.grams(k)[0][at - 1] for k in (n - 1, n - 2) if k]
+            suffix = before[1] if n > 2 else np.zeros(len(at), dtype=np.uint64)
+            total = met.counts(chunk, n - 1)[at - 1]
+            below = root.p(chunk.counts[chunk.ids[at]]) if n == 2 else np.full(len(at), np.nan)
+            cols = [x.view(np.int64) for x in (h[at], before[0], suffix, chunk.grams(n - 1)[0][at])]
+            out.append([np.full(len(at), n, dtype=np.int32), *cols, c[own[at]].astype(np.int64), total, below])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)],
+                                          names=["n", "key", "context", "suffix", "shorter", "c", "total", "below"])
+
+    kind = "n int, key long, context long, suffix long, shorter long, c long, total long, below double"
+    return stage(_joined(chunks, _meeting(held), run, kind), "tree-sequences")
+
+
+def _nodes(sequences: DataFrame, tree: Tree) -> list[DataFrame]:
+    """For contexts of one word, two and so on: the retained ones (``context``) and what they hand on to their suffix (``left``)."""
+    tried: list[DataFrame] = []
+    below = None
+    for n in range(2, tree.depth + 2):
+        rows = sequences.where(F.col("n") == n)
+        if below is not None:
+            rows = rows.drop("below").join(below, "shorter")
+        # A context with its kept next words, tested against what its suffix says of them (``below``).
+        sums = rows.groupBy("context").agg(
+            F.max("suffix").alias("suffix"), F.max("total").alias("total"), F.count(F.lit(1)).alias("m"), F.sum("c").alias("seen"),
+            F.sum(F.expr("c * ln(c / (total * below))")).alias("own"), F.sum("below").alias("said"))
+        rest = sums.withColumn("rest", F.expr("total - seen")).withColumn("other", F.expr("greatest(1 - said, 1e-12D)"))
+        tested = rest.select(
+            "context", "suffix", F.expr(f"(rest + {DISCOUNT}D * m) / total").alias("left"),
+            F.expr(f"2 * (own + if(rest > 0, rest * ln(rest / (total * other)), 0D)) > m + {tree.sigmas}D * sqrt(2 * m)").alias("diverges"))
+        level = stage(tested, f"tree-tested-{n}")
+        tried.append(level)
+        if n <= tree.depth:
+            p = rows.join(level.select("context", "left"), "context").select(
+                F.col("key").alias("shorter"), F.expr(f"(c - {DISCOUNT}D) / total + `left` * below").alias("below"))
+            below = stage(p, f"tree-below-{n}")
+    kept: list[DataFrame] = []
+    for level in reversed(tried):
+        if kept:
+            need = kept[0].select(F.col("suffix").alias("context")).distinct().withColumn("need", F.lit(True))
+            level = level.join(need, "context", "left").where("diverges or need")
+        else:
+            level = level.where("diverges")
+        kept.insert(0, stage(level.select("context", "suffix", "left"), "tree-nodes"))
+    return [k.select("context", "left") for k in kept]
+
+
+def _handed(held: DataFrame, nodes: DataFrame, n: int, buckets: int) -> DataFrame:
+    """For each chunk, the nodes of ``n - 1`` words among the sequences it holds, as ``_MEETS``."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        contexts = right["context"].to_numpy().view(np.uint64)
+        order = np.argsort(contexts)
+        contexts, share = contexts[order], right["left"].to_numpy()[order]
+        chunk, keys, vals = [], [], []
+        for name, data in zip(left["chunk"].to_pylist(), left["keys"].to_pylist(), strict=True):
+            own = unpacked(data, np.uint64)
+            at, known = find(contexts, own)
+            if known.any():
+                chunk.append(name), keys.append(packed(own[known])), vals.append(packed(share[at[known]]))
+        return pa.Table.from_arrays([
+            pa.array(chunk, pa.int64()), pa.array(["left"] * len(chunk), pa.string()), pa.array([n] * len(chunk), pa.int32()),
+            pa.array(keys, pa.binary()), pa.array(vals, pa.binary()), pa.nulls(len(chunk), pa.binary()),
+        ], names=["chunk", "kind", "n", "keys", "vals", "first"])
+
+    placed = nodes.withColumn("bucket", F.expr(f"cast(shiftrightunsigned(context, 32) % {buckets} as int)"))
+    return held.select("bucket", "chunk", "keys").groupBy("bucket").cogroup(placed.groupBy("bucket")).applyInArrow(run, _MEETS)
 
 
 class Root:
@@ -245,64 +405,17 @@ class Root:
         return np.where(c > 0, c - self.discount, self.discount * self.types) / self.tokens
 
 
-@dataclass
-class Node:
-    suffix: int
-    #: What the context hands on to its suffix.
-    left: float
-    #: Hashes of the context with each frequent next word, and the discounted shares of those.
-    keys: np.ndarray
-    shares: np.ndarray
-    diverges: bool
-
-
 class Nodes:
-    """Retained contexts with their next words, by number of words in the context; sorted arrays.
-
-    ``rows`` are the frequent sequences with their exact counts, ``of_word`` the counts of frequent words by hash.
-    """
-
-    def __init__(self, rows: dict[str, np.ndarray], of_word: dict[int, int], root: Root, tree: Tree):
-        count_of = dict(of_word)
-        p_of = {h: float(root.p(np.array([c]))[0]) for h, c in of_word.items()}
-        tried: list[dict[int, Node]] = []
-        for n in range(2, tree.depth + 2):
-            own = np.flatnonzero(rows["n"] == n)
-            own = own[np.argsort(rows["context"][own], kind="stable")]
-            cuts, level = starts(rows["context"][own]), {}
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                at = own[lo:hi]
-                below = np.array([p_of[int(k)] for k in rows["shorter"][at]])
-                context = int(rows["context"][at[0]])
-                node = level[context] = self._node(rows, at, count_of[context], below, tree)
-                p_of.update(zip(rows["key"][at].tolist(), (node.shares + node.left * below).tolist(), strict=True))
-            count_of.update(zip(rows["key"][own].tolist(), rows["c"][own].tolist(), strict=True))
-            tried.append(level)
-        need: set[int] = set()
+    """Retained contexts with their next words, by number of words in the context; sorted arrays, for looking into a small tree."""
+
+    def __init__(self, sequences: DataFrame, nodes: list[DataFrame]):
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        for level in reversed(tried):
-            kept = {c: node for c, node in level.items() if node.diverges or c in need}
-            need = {node.suffix for node in kept.values()}
-            self.levels.insert(0, self._arrays(kept))
-
-    @staticmethod
-    def _node(rows, at: np.ndarray, total: int, below: np.ndarray, tree: Tree) -> Node:
-        """A context with its frequent next words, tested against what its suffix says of them (``below``)."""
-        c = rows["c"][at].astype(float)
-        rest, rest_p = total - c.sum(), max(1 - below.sum(), 1e-12)
-        g = 2 * ((c * np.log(c / (total * below))).sum() + (rest * np.log(rest / (total * rest_p)) if rest > 0 else 0.0))
-        chance = len(at) + tree.sigmas * np.sqrt(2 * len(at))
-        left = (rest + DISCOUNT * len(at)) / total
-        return Node(int(rows["suffix"][at[0]]), left, rows["key"][at], (c - DISCOUNT) / total, bool(g > chance))
-
-    @staticmethod
-    def _arrays(level: dict[int, Node]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        contexts = np.array(list(level), dtype=np.int64).view(np.uint64)
-        left = np.array([node.left for node in level.values()])
-        keys = np.concatenate([np.zeros(0, np.int64), *[node.keys for node in level.values()]]).view(np.uint64)
-        shares = np.concatenate([np.zeros(0), *[node.shares for node in level.values()]])
-        a, b = np.argsort(contexts), np.argsort(keys)
-        return contexts[a], left[a], keys[b], shares[b]
+        for n, level in enumerate(nodes, start=2):
+            own = level.toArrow()
+            rows = sequences.where(F.col("n") == n).join(level, "context", "left_semi").select("key", F.expr(f"(c - {DISCOUNT}D) / total").alias("share")).toArrow()
+            contexts, keys = (t.to_numpy().view(np.uint64) for t in (own["context"], rows["key"]))
+            a, b = np.argsort(contexts), np.argsort(keys)
+            self.levels.append((contexts[a], own["left"].to_numpy()[a], keys[b], rows["share"].to_numpy()[b]))
 
 
 def find(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -313,22 +426,23 @@ def find(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, known[at] == keys
 
 
-def probabilities(chunk: Chunk, counts: np.ndarray, root: Root, nodes: Nodes) -> np.ndarray:
+def probabilities(chunk: Chunk, root: Root, met: Met, depth: int) -> np.ndarray:
     """Each token's probability under its longest state."""
-    p = root.p(counts[chunk.ids])
+    total = met.counts(chunk, 1)
+    p = root.p(total)
     inside = np.ones(len(p), dtype=bool)
-    for n, (contexts, left, keys, shares) in enumerate(nodes.levels, start=2):
-        h, whole = chunk.grams(n - 1)
+    for n in range(2, depth + 2):
+        contexts, left, _ = met.get("left", n)
         at = np.flatnonzero(inside & (chunk.place >= n - 1))
-        if len(at) == 0 or len(contexts) == 0:
-            break
-        k, hit = find(contexts, h[at - 1])
+        k, hit = find(contexts, chunk.grams(n - 1)[0][at - 1])
         inside[:] = False
         at, k = at[hit], k[hit]
         inside[at] = True
+        count = met.counts(chunk, n)
         p[at] *= left[k]
-        own, known = find(keys, chunk.grams(n)[0][at])
-        p[at[known]] += shares[own[known]]
+        known = at[count[at] > 0]
+        p[known] += (count[known] - DISCOUNT) / total[known - 1]
+        total = count
     return p
 
 
@@ -348,55 +462,70 @@ def next_words(context: list[int], words: np.ndarray, counts: np.ndarray, root:
     return p
 
 
+@dataclass
+class Learnt:
+    """The model as written tables: chunks with their words' counts, kept sequences by chunk and once each, and nodes."""
+
+    root: Root
+    chunks: DataFrame
+    held: list[DataFrame]
+    sequences: DataFrame
+    nodes: list[DataFrame]
+    buckets: int
+    least: int
+
+    def meets(self) -> DataFrame:
+        """What each chunk needs to be scored."""
+        words = _words(self.chunks, self.least, self.buckets)
+        handed = [_handed(h, k, n, self.buckets) for n, (h, k) in enumerate(zip([words, *self.held], self.nodes, strict=False), start=2)]
+        return reduce(DataFrame.unionAll, handed, _meeting(self.held))
+
+
+def learnt(chunks: DataFrame, tree: Tree) -> Learnt:
+    """The tree of all training rows in ``chunks``, a written table."""
+    counts = stage(word_counts(chunks), "tree-words", compression="zstd")
+    root = Root(*counts.where("first and c > 0").agg(
+        F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count(F.when(F.col("c") == 1, 1))).first())
+    least, buckets = tree.least(root.tokens), tree.buckets(root.tokens)
+    own = stage(counted(chunks, counts), "tree-counted")
+    held: list[DataFrame] = []
+    for n in range(2, tree.depth + 2):
+        held.append(_kept(own, n, held[-1] if held else None, least, buckets))
+    sequences = _sequences(own, held, root, tree.depth)
+    return Learnt(root, own, held, sequences, _nodes(sequences, tree), buckets, least)
+
+
 @dataclass
 class Fitted:
     root: Root
     nodes: Nodes
 
 
-def fitted(chunks: DataFrame, tree: Tree, counts: DataFrame | None = None) -> Fitted:
-    """The tree of all training rows in ``chunks``, a written table."""
-    counts = counts if counts is not None else word_counts(chunks, tree.least_count)
-    total = counts.where("first and c > 0").agg(
-        F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count(F.when(F.col("c") == 1, 1))).first()
-    root = Root(*total)
-    least = max(tree.least_count, int(np.ceil(tree.least_share * root.tokens)))
-    passes = [s >= least for s in _counters(chunks, tree)]
-    # At most 1 / least_share rows of each length reach the driver.
-    found = _frequent(chunks, passes, least, tree).toArrow()
-    words = counts.where("word is not null").where(F.col("c") >= least).select("word", "c").toArrow()
-    of_word = {int(np.uint64(word_hash(w)).view(np.int64)): c for w, c in zip(words["word"].to_pylist(), words["c"].to_pylist(), strict=True)}
-    return Fitted(root, Nodes({c: found[c].to_numpy() for c in found.column_names}, of_word, root, tree))
+def fitted(chunks: DataFrame, tree: Tree) -> Fitted:
+    """The tree of ``chunks`` in memory, for looking into a small one; scoring doesn't use it."""
+    model = learnt(chunks, tree)
+    return Fitted(model.root, Nodes(model.sequences, model.nodes))
 
 
 def scored(documents: DataFrame, tree: Tree = Tree(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row: ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``."""
-    chunks = stage(encoded(documents, tree, key, text), "tree-chunks", compression="zstd")
-    counts = stage(word_counts(chunks, tree.least_count), "tree-words", compression="zstd")
-    share = documents.sparkSession.sparkContext.broadcast(fitted(chunks, tree, counts))
+    model = learnt(stage(encoded(documents, tree, key, text), "tree-chunks", compression="zstd"), tree)
+    root, depth = model.root, tree.depth
     kind = documents.schema[key].dataType
     schema = T.StructType([
         T.StructField("doc_id", kind), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
         T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()),
     ])
 
-    def score(row, at: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-        root, nodes = share.value.root, share.value.nodes
-        chunk = Chunk(row)
-        count = np.zeros(len(chunk.words), dtype=np.int64)
-        count[at] = c
+    def score(_, chunk: Chunk, met: Met) -> pa.RecordBatch:
         firsts = np.cumsum(chunk.lengths) - chunk.lengths
-        base = np.log10((count + 1) / (root.tokens + root.types + 1))[chunk.ids]
-        known = (count > 0).astype(np.int64)[chunk.ids]
-        own = np.log10(probabilities(chunk, count, root, nodes))
+        base = np.log10((chunk.counts + 1) / (root.tokens + root.types + 1))[chunk.ids]
+        known = (chunk.counts > 0).astype(np.int64)[chunk.ids]
+        own = np.log10(probabilities(chunk, root, met, depth))
         return pa.RecordBatch.from_arrays([
             chunk.docs, pa.array(chunk.held.astype(bool)), pa.array(chunk.lengths), pa.array(np.add.reduceat(known, firsts)),
             pa.array(np.full(len(firsts), root.tokens)), pa.array(np.add.reduceat(base, firsts)), pa.array(np.add.reduceat(own, firsts)),
         ], names=schema.names)
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        (row,) = _chunks(left.to_batches())
-        return pa.Table.from_batches([score(row, right["at"].to_numpy(), right["c"].to_numpy())])
-
-    # A chunk meets the counts of its words, at most one for each word it holds.
-    return _narrow(chunks).groupBy("chunk").cogroup(counts.select("chunk", "at", "c").groupBy("chunk")).applyInArrow(run, schema)
+    # A chunk meets the sequences and nodes it contains.
+    return _joined(model.chunks, model.meets(), score, schema)
