@@ -72,6 +72,24 @@ def test_html_host_template(spark):
     assert got == {k: f"{t} Same on all." for k, t in enumerate(prose(12, 3, 30, 40))}
 
 
+def test_html_template_inside_main(spark):
+    """The host's template decides on every page: what repeats or stands beside the article goes, whatever its class is called."""
+    texts = prose(24, 4, 30, 40)
+    page = (
+        '<body><main><div class="row1">Read {k} more</div><article><h1>Head {k}</h1><div class="x1">Tell your friends</div><p>{t}</p>'
+        '<div class="text"><p>End {k}.</p><p>Same on all.</p></div></article><div class="col2"><p>Always here</p></div></main></body>'
+    )
+    bare = '<body><main><p>{t}</p><div class="x1"><ul><li>Tell</li><li>Friends</li></ul></div><section><h2>Part {k}</h2></section></main></body>'
+    rows = [(k, f"https://{'a' if k < 12 else 'b'}.org/", (page if k < 12 else bare).format(k=k, t=t)) for k, t in enumerate(texts)]
+    rows += [(100, "https://one.org/", page.format(k=1, t="Alone")), *[(k, "https://copies.org/", page.format(k=1, t="Copied")) for k in range(101, 108)]]
+    got = {r.page_id: r.text for r in H.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[k] for k in range(12)] == [f"Head {k} {texts[k]} End {k}. Same on all." for k in range(12)]
+    assert [got[k] for k in range(12, 24)] == [f"{texts[k]} Part {k}" for k in range(12, 24)]
+    # One page, or copies alone, don't tell what is template: the article is taken whole.
+    assert got[100] == "Head 1 Tell your friends Alone End 1. Same on all."
+    assert {got[k] for k in range(101, 108)} == {"Head 1 Tell your friends Copied End 1. Same on all."}
+
+
 def plain_base(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     found = [(i, L.BASE[p]) for i in range(len(w)) for p in L.BASE if w[i : i + len(p.split())] == p.split()]

@@ -8,11 +8,12 @@ class. A class is valid if it is on at least ``share`` of the host's pages and h
 in a valid one: its containers' parents are in a valid class. Valid classes make the template; the places between
 its tokens are the slots.
 
-Per host, the slot that holds the article is the article or main container of the template, else the container with the most words
-that aren't template text. From each page the whole text of that slot is taken, and of any article or main container
-of its own, without slots that are boilerplate by kind (navigation, header, footer, adverts, forms, scripts, reader comments and
-the like). A page without that slot gives its own article, else all that isn't boilerplate. Nothing else is dropped: a text that
-repeats on all pages stays, if it is in the article.
+Per host, the slot that holds the article is the article container of the template, or the main container if that holds more than twice
+the words; else the container with the most words that aren't template text. From each page the text of that slot is taken and nothing
+outside it, without slots that are boilerplate by kind (navigation, header, footer, adverts, forms, scripts, reader comments and
+the like), and without containers in it that are template alone: on ``pages`` pages at least, with no text but such as has the
+container's own occurrence vector. Text that repeats beside the article's own in one container stays. A page without that slot, as on a
+host without a template, gives its own article or main containers, else all that isn't boilerplate.
 
 Skew: sums over ``(host, token)`` are partial in each task, and the template is one row a host, joined to its
 pages; a host with a third of all pages is a skewed join that Spark splits, never one group in one task.
@@ -29,7 +30,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +41,7 @@ from zonewatch.session import stage
 class Template:
     share: float = 0.5
     tokens: int = 3
+    pages: int = 5
 
 
 # Kinds of elements of the HTML standard, and the words by which pages name their parts.
@@ -89,10 +91,11 @@ def _kind(tag: str, attributes: str) -> tuple[str, bool, bool]:
     return name, tag in BOILERPLATE or role in BOILERPLATE_ROLES or bool(words & BOILERPLATE_WORDS), role == "main"
 
 
-def blocks(page: str) -> tuple[list[Block], dict[str, int]]:
-    """A page's blocks of text in order, and how often each container path opens."""
+def blocks(page: str) -> tuple[list[Block], dict[str, int], dict[str, int]]:
+    """A page's blocks of text in order, how often each container path opens, and the rank of article (3) and main (2) containers."""
     out: list[Block] = []
     paths: dict[str, int] = {}
+    mains: dict[str, int] = {}
     held: list[str] = []
     # Open elements: tag, path, inside a main container, dropped.
     stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
@@ -154,22 +157,22 @@ def blocks(page: str) -> tuple[list[Block], dict[str, int]]:
             path = f"{path}>{name}"
             paths[path] = paths.get(path, 0) + 1
             main, dropped = main or is_main, dropped or boilerplate
+            if is_main and not dropped:
+                mains[path] = 3 if tag == "article" else 2
             stack.append((tag, path, main, dropped))
         elif tag in ("p", "li"):
             stack.append((tag, path, main, dropped))
     flush()
-    return out, paths
+    return out, paths, mains
 
 
-def chosen(page: str, main_path: str | None) -> str:
-    """The page's text: the host's slot if it is there, with the page's own article or main containers, else all that isn't boilerplate."""
-    found, paths = blocks(page)
+def chosen(page: str, main_path: str | None, fixed: list[str] | None = None) -> str:
+    """The page's text: the host's slot without its ``fixed`` containers, else the page's own article, else all that isn't boilerplate."""
+    found, _, _ = blocks(page)
     left = [b for b in found if not b.dropped]
-    own = [b for b in left if b.main]
-    if main_path and main_path in paths:
-        # In a main container the slot is among the page's own ones; a plain one serves pages without any.
-        own = own or [b for b in left if b.path == main_path or b.path.startswith(main_path + ">")]
-    return " ".join(b.text for b in own or left)
+    slot = [b for b in left if b.path == main_path or b.path.startswith(main_path + ">")] if main_path else []
+    slot = [b for b in slot if b.path not in fixed] if fixed else slot
+    return " ".join(b.text for b in slot or [b for b in left if b.main] or left)
 
 
 def host(url):
@@ -192,11 +195,10 @@ def _hash(text: str) -> int:
 
 def page_tokens(page: str, mark: int) -> list[tuple]:
     """A page's tokens as rows of ``_TOKENS`` without the host; ``mark`` stands for the page."""
-    found, paths = blocks(page)
-    semantic = {b.path for b in found if b.main and not b.dropped}
+    found, paths, mains = blocks(page)
     plain = {b.path for b in found if not b.dropped}
     out = [
-        (_hash(path), _hash(path.rpartition(">")[0]), path, _hash(f"{mark} {c}"), 1, 0, 2 if path in semantic else int(path in plain))
+        (_hash(path), _hash(path.rpartition(">")[0]), path, _hash(f"{mark} {c}"), 1, 0, mains.get(path, int(path in plain)))
         for path, c in paths.items()
     ]
     texts: dict[tuple[str, str], int] = {}
@@ -225,7 +227,7 @@ def _tokens(batches):
 
 
 def templates(pages: DataFrame, template: Template = Template()) -> DataFrame:
-    """One row for each host with a template: ``host`` (hashed) and ``main_path``, the container of its article slot."""
+    """One row for each host with a template: ``host`` (hashed), ``main_path``, the container of its article slot, and ``fixed``, containers in that which are template alone."""
     keyed = pages.select(F.xxhash64(host(F.col("url"))).alias("host"), F.xxhash64("page_id", "url", F.xxhash64("html")).alias("page"), "html")
     sums = [F.max("path").alias("path"), F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages"), F.sum("words").alias("words"), F.max("rank").alias("rank")]
     tokens = keyed.mapInArrow(_tokens, _TOKENS).groupBy("host", "token", "parent").agg(*sums)
@@ -238,25 +240,36 @@ def templates(pages: DataFrame, template: Template = Template()) -> DataFrame:
     classes = common.groupBy("host", "vector", "pages").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= template.tokens)
     containers = common.where("path is not null").join(classes, ["host", "vector", "pages"], "left").withColumn("valid", F.col("size").isNotNull())
     parents = containers.where("valid").select("host", F.col("token").alias("parent"), F.lit(True).alias("nests"))
-    nested = containers.join(parents, ["host", "parent"], "left").where("valid or nests").select("host", "token", "path", "rank")
+    nested = containers.join(parents, ["host", "parent"], "left").where("valid or nests").select("host", "token", "path", "rank", "vector", "pages")
     # Words of a container that aren't template text, in it (own) and in it or below it (words).
     free = tokens.where("path is null").join(sizes, "host").where(~often).groupBy("host", F.col("parent").alias("token")).agg(F.sum("words").alias("own"))
     placed = free.join(tokens.where("path is not null").select("host", "token", "path"), ["host", "token"])
     steps = F.expr("transform(sequence(1, size(split(path, '>')) - 1), k -> concat_ws('>', slice(split(path, '>'), 1, k + 1)))")
     below = placed.select("host", F.explode(steps).alias("path"), "own").groupBy("host", "path").agg(F.sum("own").alias("words"))
     scored = nested.where("rank > 0").join(free, ["host", "token"], "left").join(below, ["host", "path"], "left")
-    best = F.max_by("path", F.struct("rank", F.coalesce("own", F.lit(0)), F.coalesce("words", F.lit(0)), "path"))
-    return scored.groupBy("host").agg(best.alias("main_path"))
+    # An article or main container with less than half the words of another one isn't the slot.
+    top = F.max(F.when(F.col("rank") > 1, F.coalesce("words", F.lit(0)))).over(Window.partitionBy("host"))
+    scored = scored.withColumn("top", top).where("rank = 1 or 2 * coalesce(words, 0) >= top")
+    told = F.when(F.col("rank") == 1, F.coalesce("own", F.lit(0))).otherwise(F.coalesce("words", F.lit(0)))
+    best = F.max_by(F.struct("path", F.coalesce("words", F.lit(0)).alias("words")), F.struct("rank", told, F.coalesce("words", F.lit(0)), "path"))
+    slots = scored.groupBy("host").agg(best.alias("slot")).select("host", F.col("slot.path").alias("main_path"), F.col("slot.words").alias("varying"))
+    # Containers all of whose own texts are in their class, in a slot whose words vary (not that of a host of copies).
+    inner = nested.join(slots.where("varying > 0"), "host").where(F.col("pages") >= template.pages).where("startswith(path, main_path || '>')")
+    inner = inner.select("host", F.col("token").alias("parent"), "path", F.col("vector").alias("whole"), F.col("pages").alias("on"))
+    texts = tokens.where("path is null").select("host", "parent", "token", "vector", "pages").join(inner, ["host", "parent"])
+    alike = F.bool_and(F.coalesce(F.expr("token is not null and vector = whole and pages = on"), F.lit(False)))
+    fixed = texts.groupBy("host", "path").agg(alike.alias("alike")).where("alike").groupBy("host").agg(F.collect_list("path").alias("fixed"))
+    return slots.select("host", "main_path").join(fixed, "host", "left")
 
 
 @F.arrow_udf(T.StringType())
-def _extracted(pages: pa.Array, mains: pa.Array) -> pa.Array:
-    return pa.array([chosen(p, m) if p else "" for p, m in zip(pages.to_pylist(), mains.to_pylist(), strict=True)], pa.string())
+def _extracted(pages: pa.Array, mains: pa.Array, fixed: pa.Array) -> pa.Array:
+    return pa.array([chosen(p, m, f) if p else "" for p, m, f in zip(pages.to_pylist(), mains.to_pylist(), fixed.to_pylist(), strict=True)], pa.string())
 
 
 def extracted(pages: DataFrame, template: Template = Template()) -> DataFrame:
     """``page_id``, ``url``, ``text``, ``n_chars`` and the host's ``main_path`` for each row of ``pages``."""
-    found = stage(templates(pages, template).select(F.col("host").alias("host__"), "main_path"), "templates")
+    found = stage(templates(pages, template).select(F.col("host").alias("host__"), "main_path", "fixed"), "templates")
     rows = pages.select("page_id", "url", "html").withColumn("host__", F.xxhash64(host(F.col("url")))).join(found, "host__", "left")
-    texts = rows.select("page_id", "url", "main_path", _extracted("html", "main_path").alias("text"))
+    texts = rows.select("page_id", "url", "main_path", _extracted("html", "main_path", "fixed").alias("text"))
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "main_path")
