@@ -90,6 +90,31 @@ def test_html_template_inside_main(spark):
     assert {got[k] for k in range(101, 108)} == {"Head 1 Tell your friends Copied End 1. Same on all."}
 
 
+@pytest.mark.parametrize("wrapper", [
+    'class="site no-sidebar"', 'id="page-with-header"', 'class="layout-sidebar"', 'class="post social-share"', 'data-id="comments-3"', 'title="a class=ad b"', "class='sidebar'",
+])
+@pytest.mark.parametrize("inner", ["article", "main", 'div role="main"', 'article class="post comments-open"'])
+def test_html_wrapped_article(wrapper, inner):
+    """An article is found whatever the names around it hold; what is named as boilerplate in or beside it goes."""
+    page = f'<div {wrapper}><nav>Menu</nav><{inner}><p>Words</p><div class="x cookie-banner">Eat</div></{inner.split()[0]}></div><div class="comments">Nice</div>'
+    assert H.chosen(page, None) == "Words"
+
+
+def test_html_never_empty():
+    assert H.chosen('<article class="comment"><p>Only this.</p></article>', None) == "Only this."
+    assert H.chosen('<div class="data-list"><p>Plain</p></div><aside><article>Teaser</article></aside>', None) == "Plain"
+    assert H.chosen('<div data-class="ad" class="no-ads"><p>Plain text</p></div>', None) == "Plain text"
+
+
+def test_html_wrapped_article_on_a_host(spark):
+    rows = [
+        (k, "https://h.org/", f'<body><div class="sidebar"><article><p>{t}</p></article></div><div class="foot">About us {k}</div></body>')
+        for k, t in enumerate(prose(12, 5, 30, 40))
+    ]
+    got = {r.page_id: r.text for r in H.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == dict(enumerate(prose(12, 5, 30, 40)))
+
+
 def plain_base(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     found = [(i, L.BASE[p]) for i in range(len(w)) for p in L.BASE if w[i : i + len(p.split())] == p.split()]

@@ -15,6 +15,10 @@ the like), and without containers in it that are template alone: on ``pages`` pa
 container's own occurrence vector. Text that repeats beside the article's own in one container stays. A page without that slot, as on a
 host without a template, gives its own article or main containers, else all that isn't boilerplate.
 
+A container is boilerplate by name only if all words of a whole class token or id are on the list (``cookie-banner``, not ``no-sidebar``). An
+article or main container counts whatever it stands in; one inside a boilerplate container competes by its words with what isn't
+boilerplate. No page with words in an article or main container gives an empty text.
+
 Skew: sums over ``(host, token)`` are partial in each task, and the template is one row a host, joined to its
 pages; a host with a third of all pages is a skewed join that Spark splits, never one group in one task.
 
@@ -55,13 +59,15 @@ BOILERPLATE_WORDS = frozenset(
     " header masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted related replies reply"
     " share sharing sidebar social sponsor sponsored subscribe widget widgets".split()
 )
+REPLY_WORDS = frozenset("comment comments reply replies".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 ENDS_P = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 pre hr address".split())
 HEAD_ONLY = frozenset("base link meta script style title noscript template".split())
 
 _TAG = re.compile(
     r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)([^>]*+)(?:>|\Z))", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+# Whole attributes, so that neither the end of a name nor a word in a value is taken for one.
+_ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NAME = re.compile(r"[A-Za-z]+")
 
 
@@ -70,25 +76,28 @@ class Block:
     path: str
     main: bool
     dropped: bool
+    #: In an article or main container that stands in boilerplate.
+    rescued: bool
     text: str
 
 
 def _kind(tag: str, attributes: str) -> tuple[str, bool, bool]:
     """A container's name in paths, whether it is boilerplate, and whether it is a main container."""
-    name, words, role = tag, set(), ""
+    name, tokens, role = tag, [], ""
     for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
-        value = (m[2] or m[3] or m[4] or "").lower()
-        if m[1].lower() == "role":
+        kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if kind == "role":
             role = value.strip()
-        else:
-            words |= set(_NAME.findall(value))
-            if m[1].lower() == "class":
+        elif kind in ("class", "id"):
+            tokens += [set(_NAME.findall(token)) for token in value.split()]
+            if kind == "class":
                 name = f"{tag}.{'.'.join(value.split())}"
     if tag in ("html", "body", "main"):
         return name, False, tag == "main"
     if tag == "article":
-        return name, bool(words & {"comment", "comments", "reply", "replies"}), True
-    return name, tag in BOILERPLATE or role in BOILERPLATE_ROLES or bool(words & BOILERPLATE_WORDS), role == "main"
+        return name, any(words and words <= REPLY_WORDS for words in tokens), True
+    named = any(words and words <= BOILERPLATE_WORDS for words in tokens)
+    return name, role != "main" and (tag in BOILERPLATE or role in BOILERPLATE_ROLES or named), role == "main"
 
 
 def blocks(page: str) -> tuple[list[Block], dict[str, int], dict[str, int]]:
@@ -97,16 +106,16 @@ def blocks(page: str) -> tuple[list[Block], dict[str, int], dict[str, int]]:
     paths: dict[str, int] = {}
     mains: dict[str, int] = {}
     held: list[str] = []
-    # Open elements: tag, path, inside a main container, dropped.
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+    # Open elements: tag, path, inside a main container, dropped, rescued.
+    stack: list[tuple[str, str, bool, bool, bool]] = [("", "", False, False, False)]
 
     def flush():
         if held:
             text = " ".join(html_lib.unescape("".join(held)).split())
             held.clear()
             if text:
-                _, path, main, dropped = stack[-1]
-                out.append(Block(path, main, dropped, text))
+                _, path, main, dropped, rescued = stack[-1]
+                out.append(Block(path, main, dropped, rescued, text))
 
     def close(tag: str):
         for k in range(len(stack) - 1, 0, -1):
@@ -151,17 +160,20 @@ def blocks(page: str) -> tuple[list[Block], dict[str, int], dict[str, int]]:
             stack.pop()
         if tag == "body":
             close("head")
-        _, path, main, dropped = stack[-1]
+        _, path, main, dropped, rescued = stack[-1]
         if tag in CONTAINERS or tag in BOILERPLATE:
             name, boilerplate, is_main = _kind(tag, attributes)
             path = f"{path}>{name}"
             paths[path] = paths.get(path, 0) + 1
+            # Replies inside an article stay dropped, as do teasers inside its boilerplate.
+            if is_main and dropped and not boilerplate and not main:
+                dropped, rescued = False, True
             main, dropped = main or is_main, dropped or boilerplate
             if is_main and not dropped:
-                mains[path] = 3 if tag == "article" else 2
-            stack.append((tag, path, main, dropped))
+                mains[path] = 1 if rescued else 3 if tag == "article" else 2
+            stack.append((tag, path, main, dropped, rescued))
         elif tag in ("p", "li"):
-            stack.append((tag, path, main, dropped))
+            stack.append((tag, path, main, dropped, rescued))
     flush()
     return out, paths, mains
 
@@ -172,7 +184,10 @@ def chosen(page: str, main_path: str | None, fixed: list[str] | None = None) ->
     left = [b for b in found if not b.dropped]
     slot = [b for b in left if b.path == main_path or b.path.startswith(main_path + ">")] if main_path else []
     slot = [b for b in slot if b.path not in fixed] if fixed else slot
-    return " ".join(b.text for b in slot or [b for b in left if b.main] or left)
+    plain, rescued = [b for b in left if not b.rescued], [b for b in left if b.rescued]
+    if not slot and not (slot := [b for b in plain if b.main]):
+        slot = max(plain, rescued, key=lambda part: sum(len(b.text.split()) for b in part)) or [b for b in found if b.main]
+    return " ".join(b.text for b in slot)
 
 
 def host(url):
