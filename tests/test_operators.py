@@ -230,3 +230,17 @@ def test_small_table_joins_agree(spark, monkeypatch):
     assert hits() == want
     monkeypatch.setattr(geometry, "MAX_UNROLLED_EDGES", 0)
     assert hits() == want
+
+
+@pytest.mark.parametrize("sort", ["at", "-at"])
+def test_pages_reach_ties_and_nulls(spark, sort):
+    values = [3, None, 1, 3, None, 2, 3, None, 1, None, None]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "id int, at int")
+    sign = -1 if sort.startswith("-") else 1
+    want = sorted(range(len(values)), key=lambda k: (values[k] is None, sign * (values[k] or 0), k))
+    for size in (1, 2, 3, 20):
+        seen, after = [], None
+        while rows := L.page_after(df, sort, after, size).collect():
+            seen += [r.id for r in rows]
+            after = rows[-1]["at"], rows[-1].id
+        assert seen == want

@@ -71,14 +71,17 @@ def page_after(df: DataFrame, sort: str, after: tuple | None = None, size: int =
     """The rows that follow ``after``, the last row's sort value and ``tie`` of the page before (none: the first page).
 
     A deep page costs what the first one does: the range is a filter, and each task hands on ``size`` rows. Rows with a
-    null sort value come last, in either direction, and aren't reached by a range.
+    null sort value come last, in either direction, ordered by ``tie``; ``after`` holds None where the last row's value is null.
     """
     size = clamp(size, 100)
     column, down = F.col(sort.lstrip("+-")), sort.startswith("-")
     if after is not None:
         value, ident = after
-        beyond = column < value if down else column > value
-        df = df.where(beyond | ((column == value) & (F.col(tie) > ident)))
+        if value is None:
+            df = df.where(column.isNull() & (F.col(tie) > ident))
+        else:
+            beyond = column < value if down else column > value
+            df = df.where(beyond | ((column == value) & (F.col(tie) > ident)) | column.isNull())
     return df.orderBy(column.desc_nulls_last() if down else column.asc_nulls_last(), tie).limit(size)
 
 
