@@ -35,7 +35,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed(docs, packing.public_packing())
+    return packing.packed(docs, packing.contract_packing())
 
 
 def _shipped(fn: Callable) -> Callable:

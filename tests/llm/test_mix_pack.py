@@ -108,3 +108,18 @@ def test_round_trip(spark, length):
             at += n
         assert at == whole and (at == length or at & (at - 1) == 0)
     assert P.packed(df.where("false"), packing).count() == 0
+
+
+def test_added_tokens_in_texts(spark):
+    """A literal added token gets its own id, as the contract's call gives it, in the fast library's texts and the others."""
+    from tokenizers import Tokenizer
+
+    packing = P.contract_packing()
+    plain = Tokenizer.from_file(packing.json)
+    texts = ["see <|endoftext|> here", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", "Привет <|endoftext|> 世界", "<|endoftext| >", *prose(5), None]
+    encode = P.Encoder(packing)
+    for t in texts:
+        assert encode(t) == plain.encode(t or "", add_special_tokens=False).ids
+    assert encode(texts[0]) == [3826, 220, 50256, 994]
+    got = {r.doc_id: r.doc_tokens for r in P.packed(documents(spark, texts), packing).collect()}
+    assert got == {k: len(encode(t)) + 1 for k, t in enumerate(texts)}

@@ -18,9 +18,10 @@ table gives no pieces.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 import numpy as np
@@ -37,7 +38,10 @@ from zonewatch.session import stage
 
 @dataclass(frozen=True)
 class Packing:
-    """``json`` is a tokenizers file; ``ranks``, if given, the same vocabulary for the faster library."""
+    """``json`` is a tokenizers file; ``ranks``, if given, the same vocabulary for the faster library.
+
+    With ``added_tokens`` a text that holds an added token of the file literally gets that token's id, as the library's plain call does.
+    """
 
     json: str
     ranks: str | None = None
@@ -47,6 +51,7 @@ class Packing:
     features: int = 256
     dimensions: int = 3
     grid_bits: int = 10
+    added_tokens: bool = False
 
 
 def public_packing() -> Packing:
@@ -55,9 +60,14 @@ def public_packing() -> Packing:
     return Packing(P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
 
 
+def contract_packing() -> Packing:
+    """The public vocabulary as the contract calls it."""
+    return replace(public_packing(), added_tokens=True)
+
+
 class Encoder:
     """Token ids of texts. Both libraries give the same ids; the fast one takes the texts whose characters
-    can't be classed differently by the Unicode tables the two were built with."""
+    can't be classed differently by the Unicode tables the two were built with, and that hold no added token that counts."""
 
     _PLAIN = re.compile("[^\x00-ɏ‐-‧€]")
 
@@ -69,9 +79,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(self.packing.json)
-        t.encode_special_tokens = True
+        t.encode_special_tokens = not self.packing.added_tokens
         return t
 
+    @cached_property
+    def added(self):
+        with open(self.packing.json, encoding="utf-8") as f:
+            contents = [t["content"] for t in json.load(f).get("added_tokens") or []]
+        return re.compile("|".join(map(re.escape, contents)) if contents and self.packing.added_tokens else r"(?!)")
+
     @cached_property
     def fast(self):
         import tiktoken
@@ -83,7 +99,7 @@ class Encoder:
     def __call__(self, text: str | None) -> list[int]:
         if not text:
             return []
-        if self.packing.ranks and not self._PLAIN.search(text):
+        if self.packing.ranks and not self._PLAIN.search(text) and not self.added.search(text):
             return self.fast.encode_ordinary(text)
         return self.exact.encode(text, add_special_tokens=False).ids
 

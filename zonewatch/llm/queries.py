@@ -109,7 +109,7 @@ def op9(spark, folder):
 
 @query("op8_packing")
 def op8(spark, folder):
-    return packing.packed(table(spark, folder, "documents"), packing.public_packing())
+    return packing.packed(table(spark, folder, "documents"), packing.contract_packing())
 
 
 @query("op6_suffix_tree")
