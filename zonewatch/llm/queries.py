@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonewatch.llm import (
-    dimension_scan, html_text, kneser_ney, licences, mixing, near_dup, packing, quality_rules, suffix_tree, token_rollup,
+    dimension_scan, filter_audit, html_text, kneser_ney, licences, mixing, near_dup, packing, quality_rules, suffix_tree, token_rollup,
 )
 from zonewatch.session import checkpoint_dir, ship, stage
 
@@ -173,3 +173,32 @@ def op5(spark, folder):
 @query("op7_dimension_scan")
 def op7(spark, folder):
     return dimension_scan.nearest(spark, table(spark, folder, "embeddings"), F.col("id") % 50 == 0)
+
+
+_AUDIT_STEPS = ", ".join(
+    f"('{o}', {s + 1}, {1 << filter_audit.FILTERS.index(f)}, {sum(1 << filter_audit.FILTERS.index(x) for x in o[:s])})"
+    for o in filter_audit.ORDERS for s, f in enumerate(o))
+
+
+@query("op13_filter_audit", f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '{_WORD}') AS words FROM d),
+f AS (SELECT text, min(doc_id) AS least FROM d GROUP BY text),
+m AS (SELECT part, (CASE WHEN len(words) < 200 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END)
+    + (CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 4 ELSE 0 END)
+    + (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END) + (CASE WHEN doc_id > least THEN 16 ELSE 0 END) AS mask,
+    doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS toxic
+  FROM w JOIN f USING (text)),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY ALL),
+s(filter_order, step, own, earlier) AS (VALUES {_AUDIT_STEPS})
+SELECT part, filter_order, step::INTEGER AS step,
+  coalesce(sum(n) FILTER (mask & (own | earlier) = 0), 0)::BIGINT AS kept,
+  coalesce(sum(n) FILTER (mask & own != 0 AND mask & earlier = 0), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (mask & own != 0 AND mask & earlier != 0), 0)::BIGINT AS redundant,
+  coalesce(sum(n) FILTER (mask = own), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (mask & own != 0 AND mask & earlier = 0), 0)::BIGINT AS good_lost,
+  coalesce(sum(toxic) FILTER (mask & own != 0 AND mask & earlier = 0), 0)::BIGINT AS toxic_lost,
+  coalesce(sum(n * (120 // bit_count(mask))) FILTER (mask & own != 0), 0)::BIGINT AS shapley
+FROM c, s GROUP BY part, filter_order, step""")
+def op13(spark, folder):
+    return filter_audit.audited(table(spark, folder, "documents"), table(spark, folder, "labels"))
