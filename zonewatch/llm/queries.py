@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonewatch.llm import (
-    dimension_scan, filter_audit, html_text, kneser_ney, licences, mixing, near_dup, packing, quality_rules, suffix_tree, token_rollup,
+    alignment, dimension_scan, filter_audit, html_text, kneser_ney, licences, mixing, near_dup, packing, quality_rules, suffix_tree, token_rollup,
 )
 from zonewatch.session import checkpoint_dir, ship, stage
 
@@ -198,7 +198,12 @@ SELECT part, filter_order, step::INTEGER AS step,
   coalesce(sum(n) FILTER (mask = own), 0)::BIGINT AS unique_fails,
   coalesce(sum(good) FILTER (mask & own != 0 AND mask & earlier = 0), 0)::BIGINT AS good_lost,
   coalesce(sum(toxic) FILTER (mask & own != 0 AND mask & earlier = 0), 0)::BIGINT AS toxic_lost,
-  coalesce(sum(n * (120 // bit_count(mask))) FILTER (mask & own != 0), 0)::BIGINT AS shapley
+  coalesce(sum(n * (120 // greatest(bit_count(mask), 1))) FILTER (mask & own != 0), 0)::BIGINT AS shapley
 FROM c, s GROUP BY part, filter_order, step""")
 def op13(spark, folder):
     return filter_audit.audited(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op12_alignment")
+def op12(spark, folder):
+    return alignment.aligned(table(spark, folder, "documents"))
