@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonewatch.llm import (
-    alignment, dimension_scan, filter_audit, html_text, kneser_ney, licences, mixing, near_dup, packing, quality_rules, suffix_tree, token_rollup,
+    alignment, dimension_scan, filter_audit, html_text, kneser_ney, licences, mixing, near_dup, packing, pii, quality_rules, suffix_tree, token_rollup,
 )
 from zonewatch.session import checkpoint_dir, ship, stage
 
@@ -204,6 +204,11 @@ def op13(spark, folder):
     return filter_audit.audited(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query("op11_pii")
+def op11(spark, folder):
+    return pii.found(table(spark, folder, "documents"))
+
+
 @query("op12_alignment")
 def op12(spark, folder):
     return alignment.aligned(table(spark, folder, "documents"))
