@@ -151,7 +151,7 @@ def test_decode_is_the_best_path():
     assert np.allclose(sure[0], want, atol=1e-3)
 
 
-def test_held_out_spans():
+def test_held_out_spans(FAST=P.Reader()):
     """Trained on some texts, the model finds the spans of others."""
     windows = lambda seed: sorted({t[at : at + FAST.width] for t in texts_with_data(400, seed) for at in P.places(t, FAST)})
     learn, held = windows(11), windows(12)
@@ -162,9 +162,11 @@ def test_held_out_spans():
     right = wrong = missed = 0
     for w, spans in zip(held, P.decoded(model, held, FAST), strict=True):
         if not P.shapes(w)[1]:
-            gold, got = set(P.shapes(w)[0]), {s[:3] for s in spans if s[3] >= 0.5}
+            # What touches an edge may be cut; the overlapping window has it whole.
+            inside = lambda s: s[0] > 0 and s[1] < len(w)  # noqa: B023, E731
+            gold, got = set(filter(inside, P.shapes(w)[0])), {s[:3] for s in spans if inside(s)}
             right, wrong, missed = right + len(gold & got), wrong + len(got - gold), missed + len(gold - got)
-    assert right > 300 and 2 * right / (2 * right + wrong + missed) > 0.9
+    assert right > 300 and 2 * right / (2 * right + wrong + missed) > 0.9, (right, wrong, missed)
 
 
 @settings(max_examples=200, deadline=None)

@@ -405,7 +405,8 @@ def decoded(model: Model, windows: list[str], reader: Reader) -> list[list[tuple
             found = []
             if path.any():
                 path = path[: len(w)]
-                edge = np.flatnonzero(np.r_[True, (path[1:] != path[:-1] + 1) & ((path[1:] != path[:-1]) | (path[1:] % 2 == 1)), True])
+                goes_on = (path[1:] > 0) & (path[1:] % 2 == 0) & ((path[:-1] == path[1:]) | (path[:-1] == path[1:] - 1))
+                edge = np.flatnonzero(np.r_[True, ~goes_on, True])
                 found = [(int(a), int(z), int(path[a] - 1) // 2, float(sure[a:z].min())) for a, z in zip(edge[:-1], edge[1:]) if path[a]]
             out.append(found)
     return out
