@@ -56,3 +56,29 @@ def test_empty_table(spark):
     df = documents(spark, [None]).where("false")
     assert near_duplicates(df).count() == 0
     assert keep_first(df).columns == df.columns
+
+
+def test_one_id_with_several_texts(spark):
+    """A near duplicate goes even if its id also has another text; rows of one group that share an id leave one."""
+    a, b = prose(2, 31, 80, 80)
+    near = a + " and more"
+    rows = [(1, a, "x"), (5, near, "x"), (5, b, "x"), (7, b + " too", "y"), (5, b + " also", "z"), (8, "", "e"), (8, " ", "e"), (8, "", "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, keep__ string")
+    kept = sorted(map(tuple, keep_first(df).collect()), key=repr)
+    assert [r for r in kept if r[0] != 5] == sorted([(1, a, "x"), (8, "", "e"), (8, " ", "e")], key=repr)
+    assert [r[0] for r in kept].count(5) == 1 and all(r[1].startswith(b) for r in kept if r[0] == 5)
+
+
+def test_clashing_names(spark):
+    names = ["id__", "salt__", "turn__", "keep__", "own", "id", "mark", "group", "least", "turn", "component", "name", "row"]
+    df = spark.createDataFrame([(1, "some words are here", *names), (2, "some words are here", *names)], ["doc_id", "text", *names])
+    assert [tuple(r) for r in keep_first(df).collect()] == [(1, "some words are here", *names)]
+
+
+def test_long_near_copies(spark):
+    """Sets larger than a block are paired one by one, and no set is copied more often than there are sets."""
+    base = prose(1, 41, 60_000, 60_000)[0].split()
+    texts = [" ".join(base[:k] + ["changed"] + base[k:]) for k in range(0, 60_000, 12_000)] + prose(3, 42, 50_000, 50_000)
+    near = Similarity(block_shingles=1000)
+    rows = {r.doc_id: r.component_id for r in near_duplicates(documents(spark, texts), near).collect()}
+    assert [rows[k] for k in range(8)] == [0] * 5 + [5, 6, 7]

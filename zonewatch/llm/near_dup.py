@@ -13,7 +13,9 @@ Nothing is capped: every pair that shares a band is compared. A pair at exactly
 a probability of at most ``MISS``, and passes the bitmap test but for ``SIGMAS`` standard deviations.
 
 Edge cases: a text without words (null, empty, white space) has an empty set, and a row without an id can't be
-named: both are linked with nothing. Repeated rows are equal texts. Other columns are not looked at.
+named: both are linked with nothing. Repeated rows are equal texts. An id that stands with several texts is judged for each of
+them; ``keep_first`` leaves one row of a group, also where its rows share an id. A very long text is one set; a pair of such sets is what
+a task holds. Other columns are not looked at and may have any name.
 """
 
 from __future__ import annotations
@@ -43,9 +45,10 @@ class Similarity:
     percent: int = 80
     bands: int = 36
     bits: int = 512
-    #: Nodes in a block of one band value, and shingles in a block of one cluster: what a task holds is twice that.
+    #: Nodes in a block of one band value or cluster, and shingles in a block of one cluster: what a task holds is twice that,
+    #: or two sets where sets are larger.
     block_nodes: int = 1024
-    block_shingles: int = 1 << 18
+    block_shingles: int = 1 << 20
 
     @property
     def rows(self) -> int:
@@ -112,12 +115,17 @@ class Family:
         return np.packbits(np.bincount(place.ravel(), minlength=n * bits).reshape(n, bits).astype(np.uint8) & 1, axis=1)
 
 
+def _mark(text: str):
+    """Tells the texts of one id apart."""
+    return F.xxhash64(F.col(f"`{text}`"))
+
+
 def sketched(documents: DataFrame, near: Similarity, key: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row of ``documents``: a row number, the key, the set's size and name, band hashes and bitmap."""
     kind = documents.schema[key].dataType
     schema = T.StructType([
         T.StructField("row", T.LongType()), T.StructField("doc_id", kind), T.StructField("n", T.LongType()), T.StructField("name", T.BinaryType()),
-        T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("odd", T.BinaryType()),
+        T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("odd", T.BinaryType()), T.StructField("mark", T.LongType()),
     ])
 
     def run(batches):
@@ -135,10 +143,11 @@ def sketched(documents: DataFrame, near: Similarity, key: str = "doc_id", text:
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([set_name(s) if len(s) else None for s in sets], pa.binary()),
-                    pa.array(bands, pa.list_(pa.int64())), pa.array(odd, pa.binary()),
+                    pa.array(bands, pa.list_(pa.int64())), pa.array(odd, pa.binary()), part.column(3),
                 ], names=schema.names)
 
-    rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    rows = documents.select(
+        F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), _mark(text).alias("mark"))
     return rows.mapInArrow(run, schema)
 
 
@@ -234,6 +243,12 @@ def _grouped(rows: DataFrame) -> DataFrame:
 
 def near_duplicates(documents: DataFrame, near: Similarity = Similarity(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row: ``doc_id``, ``n_shingles``, ``component_id`` (the smallest key linked to it, in any number of steps), ``kept``."""
+    found = _grouped_rows(documents, near, key, text).select("doc_id", "n_shingles", "component_id")
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _grouped_rows(documents: DataFrame, near: Similarity, key: str, text: str) -> DataFrame:
+    """Each row's id, mark, set size, the number of its group (null for an empty set) and the group's smallest id."""
     rows = stage(sketched(documents, near, key, text), "near-sketched")
     nodes = stage(
         rows.where("n > 0 and doc_id is not null").groupBy("name").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id")), "near-nodes"
@@ -249,18 +264,20 @@ def near_duplicates(documents: DataFrame, near: Similarity = Similarity(), key:
     inside = stage(
         alike.join(rows.select(F.col("row").alias("node"), "doc_id", "n", "odd", "name"), "node"), "near-inside"
     )
-    sizes = inside.groupBy("component").agg(F.ceil(F.sum("n") / near.block_shingles).alias("blocks"))
+    # Never more blocks than nodes: with one node a block, each pair of sets is looked at on its own.
+    wanted = F.greatest(F.ceil(F.sum("n") / near.block_shingles), F.ceil(F.count(F.lit(1)) / near.block_nodes))
+    sizes = inside.groupBy("component").agg(F.least(wanted, F.count(F.lit(1))).alias("blocks"))
     inside = inside.join(sizes, "component")
     sets = _with_sets(inside, documents.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), near)
     linked = components(_grouped(_in_blocks(sets, "component", "blocks")).select("g", "node", "n", "odd", "hashes").mapInArrow(_by_sets(near), _EDGES), "near-linked")
 
     named = nodes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of_name = named.join(least, "component").select("name", "component_id")
-    found = rows.select("doc_id", F.col("n").alias("n_shingles"), "name").join(of_name, "name", "left")
+    of_name = named.join(least, "component").select("name", "component", "component_id")
+    found = rows.select("doc_id", "mark", F.col("n").alias("n_shingles"), "name").join(of_name, "name", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
-    return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return found.select("doc_id", "mark", "n_shingles", "component", component.alias("component_id"))
 
 
 def _with_sets(inside: DataFrame, texts: DataFrame, near: Similarity) -> DataFrame:
@@ -285,12 +302,11 @@ def _with_sets(inside: DataFrame, texts: DataFrame, near: Similarity) -> DataFra
 
 def keep_first(documents: DataFrame, near: Similarity = Similarity(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """``documents`` with one document of each group of near duplicates, and one row of rows that are the same."""
-    verdict = near_duplicates(documents, near, key, text).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("keep__"))
-    verdict = verdict.select(F.col("doc_id").alias("id__"), F.lit(0).cast("long").alias("salt__"), "keep__")
-    # Rows without an id have no verdict; the salt keeps them from meeting in one task.
-    salted = documents.withColumn("salt__", F.when(F.col(f"`{key}`").isNull(), F.xxhash64(F.col(f"`{text}`"))).otherwise(F.lit(0).cast("long")))
-    joined = salted.join(verdict, (salted[key] == F.col("id__")) & (salted["salt__"] == verdict["salt__"]), "left").drop(verdict["salt__"])
-    joined = joined.where(F.coalesce("keep__", F.lit(True)))
-    turn = F.row_number().over(Window.partitionBy(F.col(f"`{key}`"), "salt__", F.xxhash64(F.col(f"`{text}`"))).orderBy(F.lit(0)))
-    one = joined.withColumn("turn__", turn).where(F.col(f"`{key}`").isNull() | (F.col("turn__") == 1))
-    return one.select(*[f"`{c}`" for c in documents.columns])
+    judged = _grouped_rows(documents, near, key, text).where("doc_id is not null")
+    verdict = judged.groupBy(F.col("doc_id").alias("id"), "mark").agg(F.first("component").alias("group"), F.first("component_id").alias("least"))
+    # The row stays packed, so that none of its names can clash.
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("own"), F.col(f"`{key}`").alias("id"), _mark(text).alias("mark"))
+    joined = rows.join(verdict, ["id", "mark"], "left").where("id is null or id <=> least")
+    # Rows of one group that share its smallest id, and of texts without words those that are the same.
+    turn = F.row_number().over(Window.partitionBy("id", F.coalesce("group", "mark"), F.isnull("group")).orderBy("mark"))
+    return joined.withColumn("turn", turn).where("id is null or turn = 1").select("own.*")
