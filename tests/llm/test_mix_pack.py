@@ -123,3 +123,12 @@ def test_added_tokens_in_texts(spark):
     assert encode(texts[0]) == [3826, 220, 50256, 994]
     got = {r.doc_id: r.doc_tokens for r in P.packed(documents(spark, texts), packing).collect()}
     assert got == {k: len(encode(t)) + 1 for k, t in enumerate(texts)}
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    names = ["row__", "hash__", "size__", "own", "copy__", "pieces__", "times__", "cut__", "sid"]
+    rows = [(k, t, "s", *[f"{n}{k}" for n in names]) for k, t in enumerate(prose(5))]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    out = M.mixed_documents(df)
+    assert out.columns == df.columns
+    assert all(r[n] == f"{n}{r.doc_id}" for r in out.collect() for n in names)

@@ -16,7 +16,7 @@ row for each) comes to the driver, as the mixture's configuration.
 
 Edge cases: a null or empty text has size 0, gets 0 and takes part in no block. A draw beyond ``most`` whole epochs of a
 source, possible by the rounding of a shard's draw, leaves its slot empty. Repeated rows have positions of their own. An empty table gives an
-empty mix. The same rows give the same mix, whatever the partitions.
+empty mix. Other columns may have any name, those used here included. The same rows give the same mix, whatever the partitions.
 """
 
 from __future__ import annotations
@@ -51,9 +51,12 @@ def _word_count(texts: pa.Array) -> pa.Array:
 
 
 def sized(documents: DataFrame, text: str = "text") -> DataFrame:
-    """``documents`` with the columns ``row__`` (a number of its own for each row), ``hash__`` and ``size__`` (words), as a written table."""
-    return documents.withColumn("row__", F.monotonically_increasing_id()).withColumn(
-        "hash__", F.xxhash64(F.col("`doc_id`"), F.xxhash64(F.col(f"`{text}`")), F.lit(3))).withColumn("size__", _word_count(F.col(f"`{text}`")))
+    """Each row of ``documents`` packed as ``own``, so that none of its names can clash, with ``row__`` (a number of its own), ``doc_id``,
+    ``source``, ``hash__`` and ``size__`` (words)."""
+    return documents.select(
+        F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("own"), F.monotonically_increasing_id().alias("row__"),
+        F.col("`doc_id`").alias("doc_id"), F.col("`source`").alias("source"),
+        F.xxhash64(F.col("`doc_id`"), F.xxhash64(F.col(f"`{text}`")), F.lit(3)).alias("hash__"), _word_count(F.col(f"`{text}`")).alias("size__"))
 
 
 def targets(rows: DataFrame, mix: Mix = Mix()) -> DataFrame:
@@ -211,7 +214,8 @@ def mixed_documents(documents: DataFrame, mix: Mix = Mix(), text: str = "text")
     pieces, _ = taken_pieces(rows, mix)
     lists = pieces.groupBy("row__").agg(F.collect_list(F.struct("low", "high", "times")).alias("pieces__"), F.max("times").alias("times__"))
     copies = rows.join(lists, "row__").withColumn("copy__", F.explode(F.sequence(F.lit(1).cast("long"), "times__")))
-    out = copies.withColumn(text, _cut(F.col(f"`{text}`"), "pieces__", "copy__"))
+    cut = copies.withColumn("cut__", _cut(F.col("own")[text], "pieces__", "copy__"))
+    new = {text: F.col("cut__")}
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.length(F.col(f"`{text}`")).cast(documents.schema["n_chars"].dataType))
-    return out.select(*[f"`{c}`" for c in documents.columns])
+        new["n_chars"] = F.length("cut__").cast(documents.schema["n_chars"].dataType)
+    return cut.select(*[new.get(c, F.col("own")[c]).alias(c) for c in documents.columns])
