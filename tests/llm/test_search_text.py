@@ -138,3 +138,28 @@ def test_licences(spark):
     assert [r.labels for r in got[k:]] == ["mit", "mit", "apache,gpl", "mit", "cc-by-nc", "", "", "", "bsd"]
     assert got[k].score == pytest.approx(1.0)
     assert L.scanned(documents(spark, [None]).where("false")).count() == 0
+
+
+def test_html_formulas_stay():
+    from zonewatch.llm.html_text import chosen
+
+    page = "<body><article><p>Formula <math><mi>x</mi></math> and <svg><text>label</text></svg> drawn</p></article></body>"
+    assert chosen(page, None) == "Formula x and label drawn"
+
+
+def test_html_tables_without_end_tags():
+    """End tags that may be left out are implied, so that long tables stay flat; and nesting has an end."""
+    import tracemalloc
+
+    from zonewatch.llm.html_text import blocks
+
+    flat, paths, _ = blocks("<table><thead><tr><th>h<th>i<tbody><tr><td>a<td>b<table><tr><td>in</table><tr><td>c</table>end")
+    assert [b.text for b in flat] == ["h", "i", "a", "b", "in", "c", "end"]
+    assert paths[">table>tbody>tr"] == 2 and paths[">table>tbody>tr>td"] == 3 and flat[-1].path == ""
+    tracemalloc.start()
+    found, paths, _ = blocks("<article><table>" + "<tr><td>x" * 100_000 + "</table></article>")
+    assert len(found) == 100_000 and len(paths) == 4
+    found, paths, _ = blocks("<div>x" * 50_000)
+    assert len(found) == 50_000 and len(paths) < 600
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()

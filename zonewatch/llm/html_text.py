@@ -23,7 +23,10 @@ Skew: sums over ``(host, token)`` are partial in each task, and the template is
 pages; a host with a third of all pages is a skewed join that Spark splits, never one group in one task.
 
 Edge cases: a null html is empty and gives an empty text; a null or odd url has the host '' shared with its like;
-unclosed, unopened and cut-off tags, and cut-off character references, are read as browsers do; a repeated row is a page of its own.
+unclosed, unopened and cut-off tags, cells and rows of tables without end tags, and cut-off character references, are read as browsers do;
+formulas and drawings are inline text; a repeated row is a page of its own. A very long page takes time and memory in proportion to its length:
+equal paths are one text, elements are nested ``DEEPEST`` deep at most, and long class names stand in paths by their hash. Other columns are
+passed on as they are.
 """
 
 from __future__ import annotations
@@ -50,7 +53,7 @@ class Template:
 
 # Kinds of elements of the HTML standard, and the words by which pages name their parts.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math object canvas select".split())
+RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes select".split())
 CONTAINERS = frozenset("html body main article section div nav header footer aside form ul ol dl table tbody thead tfoot tr td th figure details blockquote dialog menu fieldset".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre hr address figcaption summary legend caption option br head title".split())
 BOILERPLATE = frozenset("head nav header footer aside form menu dialog button fieldset label".split())
@@ -62,6 +65,15 @@ BOILERPLATE_WORDS = frozenset(
 REPLY_WORDS = frozenset("comment comments reply replies".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 ENDS_P = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 pre hr address".split())
+#: Start tags that end open elements before them, and the containers beyond which they don't reach.
+ENDS = {
+    **dict.fromkeys(("td", "th"), (frozenset(("td", "th")), frozenset(("tr", "table")))),
+    "tr": (frozenset(("td", "th", "tr")), frozenset(("table", "thead", "tbody", "tfoot"))),
+    **dict.fromkeys(("thead", "tbody", "tfoot"), (frozenset(("td", "th", "tr", "thead", "tbody", "tfoot")), frozenset(("table",)))),
+}
+LONGEST_NAME = 128
+#: Elements are nested no deeper by browsers either; what is opened below stands beside.
+DEEPEST = 512
 HEAD_ONLY = frozenset("base link meta script style title noscript template".split())
 
 _TAG = re.compile(
@@ -92,6 +104,7 @@ def _kind(tag: str, attributes: str) -> tuple[str, bool, bool]:
             tokens += [set(_NAME.findall(token)) for token in value.split()]
             if kind == "class":
                 name = f"{tag}.{'.'.join(value.split())}"
+                name = name if len(name) <= LONGEST_NAME else f"{tag}.{xxhash.xxh3_128_hexdigest(name)}"
     if tag in ("html", "body", "main"):
         return name, False, tag == "main"
     if tag == "article":
@@ -105,6 +118,7 @@ def blocks(page: str) -> tuple[list[Block], dict[str, int], dict[str, int]]:
     out: list[Block] = []
     paths: dict[str, int] = {}
     mains: dict[str, int] = {}
+    known: dict[str, str] = {}  # one text for equal paths
     held: list[str] = []
     # Open elements: tag, path, inside a main container, dropped, rescued.
     stack: list[tuple[str, str, bool, bool, bool]] = [("", "", False, False, False)]
@@ -117,6 +131,15 @@ def blocks(page: str) -> tuple[list[Block], dict[str, int], dict[str, int]]:
                 _, path, main, dropped, rescued = stack[-1]
                 out.append(Block(path, main, dropped, rescued, text))
 
+    def end_implied(ended: frozenset, inside: frozenset):
+        cut = len(stack)
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k][0] in inside:
+                break
+            if stack[k][0] in ended:
+                cut = k
+        del stack[cut:]
+
     def close(tag: str):
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] == tag:
@@ -148,8 +171,6 @@ def blocks(page: str) -> tuple[list[Block], dict[str, int], dict[str, int]]:
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, at)
-            if attributes.rstrip().endswith("/") and tag in ("svg", "math"):
-                continue
             at = end.start() if end else n
             continue
         if tag in VOID:
@@ -160,10 +181,15 @@ def blocks(page: str) -> tuple[list[Block], dict[str, int], dict[str, int]]:
             stack.pop()
         if tag == "body":
             close("head")
+        if tag in ENDS:
+            end_implied(*ENDS[tag])
+        if len(stack) >= DEEPEST and (tag in CONTAINERS or tag in BOILERPLATE or tag in ("p", "li")):
+            stack.pop()
         _, path, main, dropped, rescued = stack[-1]
         if tag in CONTAINERS or tag in BOILERPLATE:
             name, boilerplate, is_main = _kind(tag, attributes)
             path = f"{path}>{name}"
+            path = known.setdefault(path, path)
             paths[path] = paths.get(path, 0) + 1
             # Replies inside an article stay dropped, as do teasers inside its boilerplate.
             if is_main and dropped and not boilerplate and not main:
