@@ -45,10 +45,9 @@ END = b""
 
 @dataclass(frozen=True)
 class Tree:
-    """``least_share``, if a caller wants it, also asks of a sequence that share of all training tokens."""
+    """A sequence of words enters the model if training rows hold it ``least_count`` times, at every size."""
 
     depth: int = 3
-    least_share: float = 0.0
     least_count: int = 3
     sigmas: float = 4.0
     #: At least ``2 ** (counter_bits - 14)`` buckets count sequences; no result depends on it.
@@ -57,9 +56,6 @@ class Tree:
     #: Tokens of the training rows for each bucket.
     bucket_tokens: int = 2_000_000
 
-    def least(self, tokens: int) -> int:
-        return max(self.least_count, int(np.ceil(self.least_share * tokens)))
-
     def buckets(self, tokens: int) -> int:
         return max(1 << max(self.counter_bits - 14, 0), -(-tokens // self.bucket_tokens))
 
@@ -486,7 +482,7 @@ def learnt(chunks: DataFrame, tree: Tree) -> Learnt:
     counts = stage(word_counts(chunks), "tree-words", compression="zstd")
     root = Root(*counts.where("first and c > 0").agg(
         F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count(F.when(F.col("c") == 1, 1))).first())
-    least, buckets = tree.least(root.tokens), tree.buckets(root.tokens)
+    least, buckets = tree.least_count, tree.buckets(root.tokens)
     own = stage(counted(chunks, counts), "tree-counted")
     held: list[DataFrame] = []
     for n in range(2, tree.depth + 2):
