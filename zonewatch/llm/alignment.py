@@ -25,6 +25,7 @@ import hashlib
 import json
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -95,26 +96,32 @@ class Pair:
         return tuple(np.fromiter(map(len, b), dtype=np.int64, count=len(b)) for b in (self.first_bytes, self.second_bytes))
 
     @cached_property
-    def written(self) -> list[bytes]:
-        """Each id as it stands inside a group and at the end of a list: four runs of one table."""
-        return [str(k).encode() + s for b, s in (
-            (self.first_bytes, b","), (self.first_bytes, b"|"), (self.second_bytes, b","), (self.second_bytes, b";")) for k in range(len(b))]
+    def written(self) -> np.ndarray:
+        """Each id as it stands inside a group and at the end of a list: four runs of one table, padded with zero bytes."""
+        return np.array([str(k).encode() + s for b, s in (
+            (self.first_bytes, b","), (self.first_bytes, b"|"), (self.second_bytes, b","), (self.second_bytes, b";")) for k in range(len(b))])
 
     def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids by both, or None where one of them does not give the text back."""
         if not text:
             return None
         whole = (" " + text).encode()
-        a, b = self.encode_first(" " + text), self.pieces.encode(text)
-        if b"".join(map(self.first_bytes.__getitem__, a)) != whole or b"".join(map(self.second_bytes.__getitem__, b)) != whole:
+        b = self.pieces.encode(text)
+        if b"".join(map(self.second_bytes.__getitem__, b)) != whole:
             return None
-        return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+        a = self.encode_first(" " + text)
+        a = np.fromiter(a, dtype=np.int64, count=len(a))
+        # Byte-level tokens are stretches of the text in order, so they give it back if none of it is missing.
+        if int(self.lengths[0][a].sum()) != len(whole):
+            return None
+        return a, np.fromiter(b, dtype=np.int64, count=len(b))
 
 
 def cuts(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where groups end: indexes into both lists, one past each group's last token."""
-    index_a, index_b = dict(zip(ends_a.tolist(), range(1, len(ends_a) + 1))), dict(zip(ends_b.tolist(), range(1, len(ends_b) + 1)))
-    common = sorted(index_a.keys() & index_b.keys())
+    list_a, list_b = ends_a.tolist(), ends_b.tolist()
+    index_a, index_b = dict(zip(list_a, count(1))), dict(zip(list_b, count(1)))
+    common = sorted(index_a.keys() & list_b)
     to = lambda index: np.fromiter(map(index.__getitem__, common), dtype=np.int64, count=len(common))
     return to(index_a), to(index_b)
 
@@ -137,7 +144,7 @@ def digest(pair: Pair, a: np.ndarray, b: np.ndarray, cut_a: np.ndarray, cut_b: n
     codes = np.empty(len(a) + len(b), dtype=np.int64)
     codes[np.arange(len(a)) + np.repeat(cut_b - size_b, size_a)] = code_a
     codes[np.arange(len(b)) + np.repeat(cut_a, size_b)] = code_b
-    return hashlib.sha256(b"".join(map(pair.written.__getitem__, codes.tolist()))[:-1]).hexdigest()
+    return hashlib.sha256(pair.written[codes].tobytes().translate(None, b"\0")[:-1]).hexdigest()
 
 
 COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
