@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame
@@ -16,10 +17,12 @@ from zonewatch.streaming import sinks as K
 from zonewatch.streaming import stateful as ST
 
 from . import query
-from .sqlviews import sql
+from .sqlviews import ORDER, add, sql
 from .views import BASE_US
 
 PARTS = 6
+#: Files of each part, written and read in parallel.
+FILES = 4
 #: A time after all data, to move the watermark past everything that is open.
 FAR = BASE_US + 86_000_000_000
 
@@ -29,14 +32,16 @@ def folder(v) -> str:
 
 
 def played(v, df: DataFrame, order: str, end: DataFrame | None = None) -> DataFrame:
-    """``df`` as a stream of one file a batch, cut along ``order``; then a file with ``end``."""
+    """``df`` as a stream of ``FILES`` files a batch, cut along ``order``; then ``end``, in a batch of its own."""
     where = folder(v)
     low, high = df.agg(F.min(order), F.max(order)).first()
     step = (high - low) // PARTS + 1
     parts = [df.where(F.col(order).between(low + k * step, low + (k + 1) * step - 1)) for k in range(PARTS)]
     for k, part in enumerate([*parts, *([end] if end is not None else [])]):
-        part.select(*df.columns).coalesce(1).write.parquet(f"{where}/{k}")
-    return v.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(where)
+        # Each value of ``f`` is in one task and becomes one file.
+        spread = part.select(*df.columns).withColumn("f", F.pmod(F.monotonically_increasing_id(), F.lit(FILES)))
+        spread.repartition(FILES, "f").write.partitionBy("f").parquet(f"{where}/{k}")
+    return v.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES).option("recursiveFileLookup", True).parquet(where)
 
 
 def finished(v, name: str, stream) -> DataFrame:
@@ -141,3 +146,110 @@ def _(v):
         return ST.stream_hits(v.spark, f"{where}/hits", ST.RuleSettings(reattach=None))
 
     return finished(v, "stream_hits", stream).select("camera_id", "rule_id", "track_key", "us", "heartbeat_index", "source_event_id")
+
+
+# Cameras that restart after a third and two thirds of the time: first the sequence begins anew and the clock runs on, then the
+# sequence runs on and the clock falls back by half the time, as when a video begins again.
+add("rbase", "(SELECT fold * 5 // 3 AS q, fold * 500000 AS fall FROM base)", ["base"])
+add("rdet", """(
+  SELECT d.* REPLACE (seq - least(e, 1) * q AS seq, us - CASE WHEN e = 2 THEN fall ELSE 0 END AS us), e AS epoch, us AS plain_us
+  FROM (SELECT *, CASE WHEN seq > 2 * q THEN 2 WHEN seq > q THEN 1 ELSE 0 END AS e FROM det, rbase) d)""", ["det", "rbase"])
+
+
+def restarted(v, df: DataFrame) -> DataFrame:
+    """``df`` with the sequences and clocks of cameras that restart twice; ``plain_us`` tells when rows come."""
+    fold = max(60, v.source.count() * 6 // 100)
+    q, fall = fold * 5 // 3, fold * 500_000
+    epoch = F.when(F.col("seq") > 2 * q, 2).when(F.col("seq") > q, 1).otherwise(0)
+    return df.withColumns({"plain_us": F.col("us"), "us": F.col("us") - F.when(epoch == 2, fall).otherwise(0), "seq": F.col("seq") - F.when(epoch > 0, q).otherwise(0)})
+
+
+def rewritten(names: str, text: str) -> str:
+    """A view's text with views renamed to those of restarted cameras."""
+    return re.sub(rf"(?<!')\b({names})\b(?!')", r"r\1", text)
+
+
+add("rtbox", rewritten("det", dict(ORDER)["tbox"].split(" AS ", 1)[1]).replace(
+    "camera_id || '|' || class_name AS grp", "camera_id || '|' || epoch || '|' || class_name AS grp").replace(
+    "PARTITION BY camera_id, class_name", "PARTITION BY camera_id, epoch, class_name"), ["rdet"])
+add("rtwalk", rewritten("tbox|twalk", dict(ORDER)["twalk"].split(" AS ", 1)[1]), ["rtbox"])
+add("rtnamed", rewritten("tbox|twalk", dict(ORDER)["tnamed"].split(" AS ", 1)[1]).replace("PARTITION BY camera_id", "PARTITION BY camera_id, epoch"), ["rtwalk", "rtbox"])
+
+
+@query("stream_track_restarts", sql("rtwalk rtbox rtnamed", """
+SELECT camera_id, CAST(epoch AS INTEGER) AS epoch, seq, CAST(event_id AS INTEGER) AS det_index, class_name, track_id
+FROM rtwalk JOIN rtbox USING (grp, rn) JOIN rtnamed USING (grp, n)"""))
+def _(v):
+    rows = restarted(v, v.detections.drop("track_id"))
+    done = finished(v, "stream_track_restarts", lambda: ST.stream_track(played(v, rows, "plain_us")))
+    return done.select("camera_id", "epoch", "seq", "det_index", "class_name", "track_id")
+
+
+@query("stream_motion_restarts", sql("rdet", """
+SELECT camera_id, CAST(epoch AS INTEGER) AS epoch, seq, track_key, CASE WHEN t1 - t0 >= 500000 THEN dx END AS dx, CASE WHEN t1 - t0 >= 500000 THEN dy END AS dy,
+       CASE WHEN t1 - t0 >= 500000 THEN (t1 - t0) // 1000 END AS span_ms
+FROM (SELECT camera_id, epoch, seq, track_key, us AS t1, first_value(us) OVER w AS t0, fx - first_value(fx) OVER w AS dx, fy - first_value(fy) OVER w AS dy
+      FROM rdet WINDOW w AS (PARTITION BY camera_id, epoch, track_key ORDER BY us RANGE BETWEEN 1000000 PRECEDING AND CURRENT ROW))"""))
+def _(v):
+    rows = restarted(v, v.keyed.select("camera_id", "track_key", "us", "seq", "frame_w", "bbox"))
+    done = finished(v, "stream_motion_restarts", lambda: ST.stream_motion(played(v, rows, "plain_us")))
+    return done.select("camera_id", "epoch", "seq", "track_key", "dx", "dy", F.round(F.col("window_s") * 1000).cast("bigint").alias("span_ms"))
+
+
+# Stays and crowds that end with their epoch; all rules of the restarted cameras as above, times of day included.
+add("rframe", """(
+  SELECT camera_id, seq - least(e, 1) * q AS seq, us - CASE WHEN e = 2 THEN fall ELSE 0 END AS us, e AS epoch
+  FROM (SELECT *, CASE WHEN seq > 2 * q THEN 2 WHEN seq > q THEN 1 ELSE 0 END AS e FROM frame, rbase))""", ["frame", "rbase"])
+add("rprevf", "(SELECT camera_id, epoch, us, lag(us) OVER (PARTITION BY camera_id, epoch ORDER BY us) AS prev_us FROM rframe)", ["rframe"])
+_CHAIN = "det|zhit|rhit|stay|crowd|crowdrun|viol|violnext|beat|prevf"
+
+
+def _of_restarts(name: str, needs: list[str]) -> None:
+    text = rewritten(_CHAIN, dict(ORDER)[name].split(" AS ", 1)[1]).replace("USING (camera_id, us)", "USING (camera_id, epoch, us)")
+    text = text.replace("PARTITION BY rule_id", "PARTITION BY rule_id, epoch").replace("SELECT camera_id, seq, us, zone_id", "SELECT camera_id, epoch, seq, us, zone_id")
+    text = text.replace("|| first_us AS sid", "|| first_us || '|' || epoch AS sid").replace("|| '|' || first_us, camera_id", "|| '|' || first_us || '|' || epoch, camera_id")
+    text = text.replace("us, seq, first_us,", "us, seq, first_us, epoch,").replace("/*recursive*/ ", "")
+    add("r" + name, ("/*recursive*/ " if name == "beat" else "") + text, needs)
+
+
+for _name, _needs in (("zhit", ["rdet"]), ("rhit", ["rzhit", "rule"]), ("stay", ["rrhit", "rprevf"]), ("crowd", ["rrhit"]), ("crowdrun", ["rcrowd", "rprevf"]),
+                      ("viol", ["rstay", "rcrowdrun"]), ("violnext", ["rviol"]), ("beat", ["rviol", "rviolnext"])):
+    _of_restarts(_name, _needs)
+add("rhb", """(
+  SELECT v.*, b.heartbeat_index, f.seq AS first_seq, v.camera_id || '|' || v.zone_id || '|' || v.rule_id || '|' || who || '|' || f.seq AS source_event_id
+  FROM rbeat b JOIN rviol v ON v.sid = b.sid AND v.rn = b.rn JOIN rframe f ON f.camera_id = v.camera_id AND f.epoch = v.epoch AND f.us = v.first_us)""",
+    ["rbeat", "rviol", "rframe"])
+
+
+@query("stream_events_restarts", sql("rhb", """
+SELECT camera_id, CAST(epoch AS INTEGER) AS epoch, rule_id, track_key, us, seq, first_seq, heartbeat_index, source_event_id, object_type, confidence FROM rhb"""))
+def _(v):
+    """Events of cameras that restart twice: the frames of each epoch are stays of their own."""
+    rows = restarted(v, v.packed_frames)
+    done = finished(v, "stream_events_restarts", lambda: ST.stream_rules(played(v, rows, "plain_us"), v.zones, v.rules, ST.RuleSettings(reattach=None)))
+    return done.select("camera_id", "epoch", "rule_id", "track_key", "us", "seq", "first_seq", "heartbeat_index", "source_event_id", "object_type", "confidence")
+
+
+@query("late_rows", "SELECT event_id FROM events WHERE event_id % 7 = 3 AND epoch_us(ts) < (SELECT max(epoch_us(ts)) FROM events)")
+def _(v):
+    """Every seventh event is delivered once more after all others; only those copies are late."""
+    rows = v.source.select("event_id", "us", F.lit("all").alias("key"), F.col("us").alias("turn"))
+    last = rows.agg(F.max("us")).first()[0]
+    again = rows.where(f"event_id % 7 = 3 AND us < {last}").withColumn("turn", F.lit(last + 1))
+    first = rows.where(f"us < {last}").unionByName(rows.where(f"us = {last}"))
+    stream = lambda: ST.late_rows(played(v, first, "us", again), ["key"])
+    return finished(v, "late_rows", stream).select("event_id")
+
+
+@query("late_frames", sql("rframe", """
+SELECT camera_id, CAST(2 AS INTEGER) AS epoch, seq, us FROM rframe r WHERE epoch = 2 AND seq % 5 = 1
+  AND seq < (SELECT max(seq) FROM rframe m WHERE m.camera_id = r.camera_id AND m.epoch = 2)"""))
+def _(v):
+    """Of cameras that restart twice, a fifth of the last epoch's frames are delivered once more at the end: late, and no restart."""
+    rows = v.staged("restarted-frames", lambda: restarted(v, v.frames.select("camera_id", "seq", "us")))
+    fold = max(60, v.source.count() * 6 // 100)
+    again = rows.where(F.col("plain_us") >= BASE_US + 2 * (fold * 5 // 3) * 200_000).where("seq % 5 = 1")
+    newest = rows.where(F.col("plain_us") >= BASE_US + 2 * (fold * 5 // 3) * 200_000).groupBy("camera_id").agg(F.max("seq").alias("newest"))
+    again = again.join(newest, "camera_id").where("seq < newest").drop("newest")
+    done = finished(v, "late_frames", lambda: ST.late_frames(played(v, rows, "plain_us", again)))
+    return done.select("camera_id", "epoch", "seq", "us")

@@ -186,6 +186,61 @@ def test_late_rows_change_nothing(spark, tmp_path):
     assert [(r.source_event_id, r.us // S - 1000) for r in spark.table("late").collect()] == [("b", 5)]
 
 
+def test_restarts_and_late_frames(spark, tmp_path):
+    """A sequence that begins anew, a clock that falls back, a long silence; and frames that are only late."""
+    import pandas as pd
+
+    step = ST.OrderProcessor(100.0)
+
+    class Held:
+        row = None
+        exists = lambda self: self.row is not None
+        get = lambda self: self.row
+
+        def update(self, row):
+            self.row = row
+
+    step.state = Held()
+
+    def feed(*frames):
+        batch = pd.DataFrame([(us * S, seq) for us, seq in frames], columns=["us", "seq"])
+        out = pd.concat(step.handleInputRows(("c",), iter([batch.iloc[::-1]]), None))
+        return {(r.us // S, r.seq): (r.epoch, None if pd.isna(r.prev_us) else r.prev_us // S, r.late) for r in out.itertuples()}
+
+    assert feed((1000, 1), (1001, 2), (1002, 3)) == {(1000, 1): (0, None, False), (1001, 2): (0, 1000, False), (1002, 3): (0, 1001, False)}
+    # A late frame, frames that go on, and the sequence's new beginning in one batch.
+    assert feed((1001, 2), (1003, 4), (1004, 1), (1005, 2)) == {
+        (1001, 2): (0, None, True), (1003, 4): (0, 1002, False), (1004, 1): (1, None, False), (1005, 2): (1, 1004, False)}
+    assert feed((1004, 1))[1004, 1][2]
+    # The clock falls back while the sequence goes on; what is watched goes on.
+    got = feed((1006, 3), (990, 4), (991, 5))
+    assert [got[k][0] for k in ((1006, 3), (990, 4), (991, 5))] == [1, 2, 2] and got[990, 4][1] is None
+    assert step.state.row[4] > 16 * S
+    # Silence beyond the horizon, and both behind by more than it.
+    assert feed((1200, 6))[1200, 6] == (3, None, False) and feed((1050, 2))[1050, 2] == (4, None, False)
+    assert feed((1049, 1))[1049, 1] == (4, None, True)
+
+
+def test_silent_camera_leaves_no_state(spark, tmp_path):
+    """Stays are cleared by a timer once the watermark is the horizon past a camera's last frame."""
+    def frame(camera, us, seq):
+        return (camera, us * S, seq, "z", "r", "dwell", "k", "person", None, 0.9, None, 0.0, 0.0, 1.0, 1.0, 10.0)
+
+    names = [c.split(" ")[0] for c in ST.HIT_SCHEMA.split(", ")]
+    rows = [dict(zip(["camera_id", "us", "seq", "zone_id", "rule_id", "rule_type", "track_key", "class_name", "rule_object_type", "confidence",
+                      "people_threshold", "det_index", "duration_threshold", "fx", "fy", "area"], frame(c, u, q))) for c, u, q in
+            (("a", 1000, 1), ("b", 1000, 1), ("b", 3000, 2), ("b", 3001, 3))]
+    df = spark.createDataFrame([tuple(r[n] for n in names) for r in rows], ST.HIT_SCHEMA)
+    (tmp_path / "in").mkdir()
+    stream = files(spark, df, "us", 4, tmp_path / "in")
+    settings = ST.RuleSettings(reattach=None, restart=ST.Restart(100.0), watermark="1 second")
+    run(ST._events_of(stream, settings), tmp_path, "silent")
+    events = sorted((r.camera_id, r.us // S, r.epoch) for r in spark.table("silent").collect())
+    assert events == [("a", 1000, 0), ("b", 1000, 0), ("b", 3000, 1), ("b", 3001, 1)]
+    state = spark.read.format("statestore").option("operatorId", 0).option("stateVarName", "stays").load(str(tmp_path / "ck-silent"))
+    assert {r.key.camera_id for r in state.collect()} == {"b"}
+
+
 def test_stream_risk_equals_batch(spark, tmp_path):
     from zonewatch.operators import risk as R
 

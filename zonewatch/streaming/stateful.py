@@ -1,8 +1,10 @@
-"""Stateful steps on streams of frames, one state per camera (or track, or alert key).
+"""Stateful steps on streams of frames.
 
-Each batch is put in order inside the handler, because Spark hands rows over in any order. A row older
-than what its key has processed in earlier batches is late: it changes nothing, in every processor here, and
-``late_rows`` gives those rows themselves, to be counted or kept. So a stream gives the batch result as long as
+``in_order`` comes first where frames count: it puts each batch of a camera in order (Spark hands rows over in any order), tells a restart
+from a late row, and gives every row its epoch and the instant of the frame before it. The steps behind it are keyed by
+camera and epoch, and by zone, rule and class or by track where they can be, so a restart begins with empty state and what it left is
+cleared by a timer. A row older than what its epoch has processed in earlier batches is late: it changes nothing, in every
+processor here, and ``late_frames`` and ``late_rows`` give those rows themselves, to be counted or kept. So a stream gives the batch result as long as
 batches follow each other in event time; order inside a batch does not matter. A batch's rows of one key are in
 memory together, so bound batches at the source (``maxFilesPerTrigger`` and the like).
 """
@@ -18,6 +20,7 @@ from math import atan2, degrees, hypot
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import geometry, keys
@@ -30,18 +33,28 @@ from ..operators.steps import OpenTracks, Stay, Stays
 from ..sources.frames import explode_detections
 
 
+@dataclass(frozen=True)
+class Restart:
+    """How long a camera may be silent, or a row behind, before it counts as a restart."""
+
+    horizon_s: float = 3600.0
+
+
 @dataclass(frozen=True)
 class RuleSettings:
     expire_s: float = 5.0
     heartbeat_s: float = 1.0
     tz_offset_hours: float = 7.0
     reattach: Reattach | None = field(default_factory=Reattach)
+    restart: Restart = field(default_factory=Restart)
+    #: How far cameras may lie apart in time; rows further behind are dropped.
+    watermark: str = "10 minutes"
 
 
 EVENT_SCHEMA = (
     "camera_id string, zone_id string, rule_id string, rule_type string, track_key string, object_type string, "
     "confidence double, us bigint, seq bigint, first_us bigint, first_seq bigint, heartbeat_index bigint, "
-    "source_event_id string, reattached_from string"
+    "source_event_id string, reattached_from string, epoch int"
 )
 
 
@@ -62,81 +75,159 @@ class _Blob(StatefulProcessor):
         pass
 
 
-class RuleProcessor(_Blob):
-    """Stays, crowds and heartbeats of one camera."""
+ORDER_SCHEMA = "epoch int, prev_us bigint, clock_us bigint, late boolean"
+
+
+class OrderProcessor(StatefulProcessor):
+    """Epoch and newest frame of one camera; that is all that is kept of it.
+
+    A frame goes on if neither its sequence nor its clock is behind the newest one. If one of them is behind and the other
+    ahead, or both are behind by more than the horizon, or nothing came for so long, a new epoch begins. A frame that is behind by
+    both is late, and so is one that was processed in an earlier batch. ``clock_us`` is the instant moved so that it never goes
+    back from epoch to epoch (and a second on, as the first watermark is the year 1970); watermarks and timers behind this step go by it.
+    """
+
+    def __init__(self, horizon_s: float):
+        self.horizon = micros(horizon_s)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("order", "epoch int, us bigint, seq bigint, prev bigint, shift bigint")
+
+    @staticmethod
+    def _frames(batch: pd.DataFrame, newest: int | None, at: int | None) -> list[tuple[int, int]]:
+        """The batch's frames ``(us, seq)`` along the clock, or along the sequence if less goes back that way, seen from the newest frame."""
+        frames = batch[["us", "seq"]].drop_duplicates()
+        first = [] if newest is None else [(newest, at)]
+
+        def back(order: pd.DataFrame) -> int:
+            seen = pd.DataFrame([*first, *order.itertuples(index=False, name=None)]).diff()
+            return int((seen < 0).any(axis=1).sum())
+
+        by_clock, by_seq = frames.sort_values(["us", "seq"]), frames.sort_values(["seq", "us"])
+        order = by_seq if back(by_seq) < back(by_clock) else by_clock
+        return list(order.itertuples(index=False, name=None))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows))
+        epoch, newest, at, prev, shift = self.state.get() if self.state.exists() else (0, None, None, None, SECOND)
+        found = []
+        for us, seq in self._frames(batch, newest, at):
+            us, seq, late = int(us), int(seq), False
+            if newest is not None:
+                ahead = us >= newest and seq > at
+                if ahead and us - newest <= self.horizon:
+                    prev = newest if us > newest else prev
+                elif ahead or us > newest or seq > at or newest - us > self.horizon:
+                    epoch, prev, shift = epoch + 1, None, max(shift, newest + shift - us)
+                else:
+                    late = True
+            if not late:
+                newest, at = us, seq
+            found.append((us, seq, epoch, None if late else prev, us + shift, late))
+        self.state.update((epoch, newest, at, prev, shift))
+        known = pd.DataFrame(found, columns=["us", "seq", "epoch", "prev_us", "clock_us", "late"]).astype({"prev_us": "Int64"})
+        yield batch.merge(known, on=["us", "seq"], how="left")
+
+    def close(self) -> None:
+        pass
+
+
+def in_order(stream: DataFrame, restart: Restart = Restart(), key: str = "camera_id") -> DataFrame:
+    """Rows of a stream (with ``us`` and ``seq``) with ``epoch``, ``prev_us`` (the instant before, in the epoch), ``clock_us`` and ``late``."""
+    schema = T.StructType([*stream.schema.fields, *T._parse_datatype_string(ORDER_SCHEMA).fields])
+    return stream.groupBy(key).transformWithStateInPandas(OrderProcessor(restart.horizon_s), schema, outputMode="Append", timeMode="None")
+
+
+STAY_STATE = (
+    "turn bigint, first_us bigint, first_seq bigint, origin string, last_us bigint, x double, y double, area double, came_from string, "
+    "published_us bigint, published bigint, event_id string"
+)
+_STAY_FIELDS = [c.split(" ")[0] for c in STAY_STATE.split(", ")][1:]
+
+
+class RuleProcessor(StatefulProcessor):
+    """Stays and their heartbeats of one camera, epoch, zone, rule and class; or the crowd of one rule.
+
+    Open stays are entries of a map. They go when their objects were missing for too long, and all of them when the
+    camera has been silent for the horizon, after which a new epoch begins.
+    """
 
     def __init__(self, settings: RuleSettings):
         self.s = settings
 
-    def _stays(self, rows: list) -> Stays:
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.stays = handle.getMapState("stays", "key string", STAY_STATE)
+
+    def close(self) -> None:
+        pass
+
+    def _load(self) -> Stays:
         r = self.s.reattach or Reattach(grace_s=0, distance_px=-1)
         book = Stays(micros(self.s.expire_s), micros(r.grace_s), r.distance_px, r.low_ratio, r.high_ratio)
-        book.open = {row["key"]: Stay(**row) for row in rows}
+        saved = sorted(((tuple(v), k[0]) for k, v in self.stays.iterator()), key=lambda e: e[0][0])
+        book.open = {key: Stay(key, **dict(zip(_STAY_FIELDS, v[1:], strict=True))) for v, key in saved}
         return book
 
+    def _save(self, before: set[str], open_now: dict[str, Stay]) -> None:
+        for key in before - set(open_now):
+            self.stays.removeKey((key,))
+        for turn, (key, stay) in enumerate(open_now.items()):
+            self.stays.updateValue((key,), (turn, *[getattr(stay, f) for f in _STAY_FIELDS]))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         camera = key[0]
-        state = self.load()
-        # The last frame, and the last instant before it: frames of one instant have the same one before them.
-        done, prev, crowds = tuple(state.get("done", ())), state.get("prev"), state.get("crowds", {})
-        books = {k: self._stays(v) for k, v in state.get("stays", {}).items()}
         batch = pd.concat(list(rows)).sort_values(["us", "seq", "det_index"], kind="stable", na_position="first")
+        book = self._load()
+        before = set(book.open)
         out: list[tuple] = []
+        last = clock = None
         for (us, seq), frame in groupby(batch.itertuples(index=False), key=lambda h: (h.us, h.seq)):
-            if done and (us, seq) <= done:
+            hits = list(frame)
+            us, seq, h = int(us), int(seq), hits[0]
+            prev = None if h.prev_us != h.prev_us or h.prev_us is None else int(h.prev_us)
+            last, clock = us, int(h.clock_us)
+            if h.rule_type == CROWD_RULE:
+                self._crowd(out, key, book, hits, us, seq, prev)
                 continue
-            if done and us > done[0]:
-                prev = done[0]
-            done = (int(us), int(seq))
-            members: dict = {}
-            for h in frame:
-                # A missing threshold arrives as NaN, which differs from itself.
-                if h.rule_id is None or h.duration_threshold != h.duration_threshold:
-                    continue
-                if h.rule_type == CROWD_RULE:
-                    if h.people_threshold == h.people_threshold:
-                        members.setdefault(f"{h.zone_id}|{h.rule_id}", []).append(h)
-                else:
-                    group = f"{h.zone_id}|{h.rule_id}|{h.class_name}"
-                    book = books.setdefault(group, self._stays([]))
-                    stay = book.see(h.track_key, us, seq, prev, h.fx, h.fy, h.area)
-                    self._publish(out, camera, h, stay, h.track_key, h.class_name, h.confidence, us, seq)
-            self._crowds(out, camera, crowds, members, us, seq, prev)
-        limit, now = micros(self.s.expire_s), done[0]
-        kept = {g: [vars(s) for s in b.open.values() if now - s.last_us <= limit] for g, b in books.items()}
-        self.save({
-            "done": done, "prev": prev,
-            "stays": {g: v for g, v in kept.items() if v},
-            "crowds": {k: c for k, c in crowds.items() if c["last_us"] == now},
-        })
+            for h in hits:
+                stay = book.see(h.track_key, us, seq, prev, h.fx, h.fy, h.area)
+                self._publish(out, key, h, stay, h.track_key, h.class_name, h.confidence, us, seq)
+        book.open = {k: s for k, s in book.open.items() if last - s.last_us <= micros(self.s.expire_s)}
+        self._save(before, book.open)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer((clock + micros(self.s.restart.horizon_s)) // 1000 + 1)
         names = [c.split(" ")[0] for c in EVENT_SCHEMA.split(", ")]
         yield pd.DataFrame(out, columns=names)
 
-    def _crowds(self, out, camera, crowds, members, us, seq, prev) -> None:
-        for name, rows in members.items():
-            people = len({h.track_key for h in rows})
-            if people < rows[0].people_threshold:
-                continue
-            held = crowds.get(name)
-            if held is None or held["last_us"] not in (prev, us):
-                held = vars(Stay(keys.CROWD, us, seq, name, us))
-            held["last_us"] = us
-            stay = Stay(**held)
-            sure = [h.confidence for h in rows if h.confidence == h.confidence]
-            kind = rows[0].rule_object_type
-            self._publish(out, camera, rows[0], stay, f"{people} objects", kind if isinstance(kind, str) and kind else "person",
-                          min(sure) if sure else None, us, seq)
-            crowds[name] = vars(stay)
-
-    def _publish(self, out, camera, h, stay: Stay, shown, kind, confidence, us, seq) -> None:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.stays.clear()
+        yield pd.DataFrame(columns=[c.split(" ")[0] for c in EVENT_SCHEMA.split(", ")])
+
+    def _crowd(self, out, key, book: Stays, rows: list, us: int, seq: int, prev: int | None) -> None:
+        people = len({h.track_key for h in rows})
+        if people < rows[0].people_threshold:
+            return
+        held = book.open.get(keys.CROWD)
+        if held is None or held.last_us not in (prev, us):
+            held = book.open[keys.CROWD] = Stay(keys.CROWD, us, seq, keys.CROWD, us)
+        held.last_us = us
+        sure = [h.confidence for h in rows if h.confidence == h.confidence and h.confidence is not None]
+        kind = rows[0].rule_object_type
+        self._publish(out, key, rows[0], held, f"{people} objects", kind if isinstance(kind, str) and kind else "person",
+                      min(sure) if sure else None, us, seq)
+
+    def _publish(self, out, key, h, stay: Stay, shown, kind, confidence, us, seq) -> None:
+        camera, epoch, zone, rule = key[:4]
         if us - stay.first_us < h.duration_threshold * SECOND:
             return
         if stay.published_us is not None and us - stay.published_us < micros(self.s.heartbeat_s):
             return
-        stay.event_id = stay.event_id or "|".join([camera, h.zone_id, h.rule_id, stay.key, str(stay.first_seq)])
+        stay.event_id = stay.event_id or "|".join([camera, zone, rule, stay.key, str(stay.first_seq)])
         stay.published_us, stay.published = us, stay.published + 1
-        out.append((camera, h.zone_id, h.rule_id, h.rule_type, shown, kind, confidence, us, seq, stay.first_us,
-                    stay.first_seq, stay.published, stay.event_id, stay.came_from))
+        out.append((camera, zone, rule, h.rule_type, shown, kind, confidence, us, seq, stay.first_us,
+                    stay.first_seq, stay.published, stay.event_id, stay.came_from, epoch))
 
 
 def _hits_with_frames(frames: DataFrame, zones, rules, tz: float) -> DataFrame:
@@ -184,8 +275,12 @@ def stream_hits(spark: SparkSession, folder: str, settings: RuleSettings = RuleS
 
 
 def _events_of(rows: DataFrame, settings: RuleSettings) -> DataFrame:
-    return rows.groupBy("camera_id").transformWithStateInPandas(
-        RuleProcessor(settings), EVENT_SCHEMA, outputMode="Append", timeMode="None"
+    ready = in_order(rows, settings.restart).where("NOT late AND rule_id IS NOT NULL AND duration_threshold IS NOT NULL")
+    crowd = F.col("rule_type") == CROWD_RULE
+    ready = ready.where(~crowd | F.col("people_threshold").isNotNull()).withColumns({
+        "ts": F.timestamp_micros("clock_us"), "of": F.when(crowd, F.lit(keys.CROWD)).otherwise(F.col("class_name"))}).withWatermark("ts", settings.watermark)
+    return ready.groupBy("camera_id", "epoch", "zone_id", "rule_id", "of").transformWithStateInPandas(
+        RuleProcessor(settings), EVENT_SCHEMA, outputMode="Append", timeMode="EventTime"
     )
 
 
@@ -195,32 +290,40 @@ def stream_rules(
     """Published events of a stream of frames (with ``detections``), as ``heartbeat_events`` gives them.
 
     Zones and rules are those at the start (``write_hits`` asks for them anew) and joined without state; then one step
-    per camera keeps its open stays.
+    per camera finds restarts and previous frames, and one per camera, epoch, zone, rule and class keeps its open stays.
     """
     return _events_of(_hits_with_frames(frames, zones, rules, settings.tz_offset_hours), settings)
 
 
-class TrackProcessor(_Blob):
-    """Open tracks of one camera, per class; ids count over all classes."""
+class TrackProcessor(StatefulProcessor):
+    """Open tracks of one camera and epoch, per class; ids count over all classes. All goes when the camera has been silent for the horizon."""
+
+    def __init__(self, min_iou: float, max_missing: int, horizon_s: float):
+        self.min_iou, self.max_missing, self.horizon = min_iou, max_missing, micros(horizon_s)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.made = handle.getValueState("made", "n bigint")
+        self.numbers = handle.getMapState("numbers", "kind string", "n bigint")
+        self.tracks = handle.getMapState("tracks", "id bigint", "kind string, n bigint, x1 double, y1 double, x2 double, y2 double, seq bigint")
 
-    def __init__(self, min_iou: float, max_missing: int):
-        self.min_iou, self.max_missing = min_iou, max_missing
+    def close(self) -> None:
+        pass
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = self.load()
-        made, done = state.get("made", 0), state.get("seq", -1)
-        books, ids = {}, {}
-        for kind, saved in state.get("open", {}).items():
-            book = books[kind] = OpenTracks(self.min_iou, self.max_missing)
-            # Numbers within a class follow the ids, so ties go to the lower one as in a batch.
-            book.open = {int(n): [tuple(b), seq] for n, b, seq, _ in saved}
-            book.made = state["count"][kind]
-            ids.update({(kind, int(n)): i for n, _, _, i in saved})
         batch = pd.concat(list(rows))
-        batch = batch[batch["seq"] > done]
-        if batch.empty:
-            return
         batch = batch.assign(__c=-batch["confidence"].fillna(0.0)).sort_values(["seq", "__c", "det_index"], kind="stable")
+        made = self.made.get()[0] if self.made.exists() else 0
+        books: dict[str, OpenTracks] = {}
+        ids: dict[tuple[str, int], int] = {}
+        # Numbers within a class follow the ids, so ties go to the lower one as in a batch.
+        saved = sorted((k[0], *v) for k, v in self.tracks.iterator())
+        for kind, n in [(k[0], v[0]) for k, v in self.numbers.iterator()]:
+            books[kind] = OpenTracks(self.min_iou, self.max_missing)
+            books[kind].made = n
+        for ident, kind, n, *box, seq in saved:
+            books[kind].open[n] = [tuple(box), seq]
+            ids[kind, n] = ident
         found = []
         for r in batch.itertuples(index=False):
             book = books.setdefault(r.class_name, OpenTracks(self.min_iou, self.max_missing))
@@ -230,64 +333,79 @@ class TrackProcessor(_Blob):
                 ids[(r.class_name, n)] = made
             found.append(ids[(r.class_name, n)])
         last = int(batch["seq"].max())
-        alive = {
-            k: [[n, list(t[0]), t[1], ids[(k, n)]] for n, t in b.open.items() if last - t[1] <= self.max_missing]
-            for k, b in books.items()
-        }
-        self.save({"made": made, "seq": last, "open": alive, "count": {k: b.made for k, b in books.items()}})
+        alive = {ids[kind, n]: (kind, n, *t[0], t[1]) for kind, b in books.items() for n, t in b.open.items() if last - t[1] <= self.max_missing}
+        for ident in {s[0] for s in saved} - set(alive):
+            self.tracks.removeKey((ident,))
+        for ident, row in alive.items():
+            self.tracks.updateValue((ident,), row)
+        for kind, book in books.items():
+            self.numbers.updateValue((kind,), (book.made,))
+        self.made.update((made,))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer((int(batch["clock_us"].max()) + self.horizon) // 1000 + 1)
         out = batch[["seq", "us", "det_index", "class_name", "confidence", "x1", "y1", "x2", "y2"]].copy()
         out.insert(0, "camera_id", key[0])
         out["track_id"] = found
+        out["epoch"] = key[1]
         yield out
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        for state in (self.made, self.numbers, self.tracks):
+            state.clear()
+        yield pd.DataFrame(columns=[c.split(" ")[0] for c in TRACK_SCHEMA.split(", ")])
+
 
 TRACK_SCHEMA = (
     "camera_id string, seq bigint, us bigint, det_index int, class_name string, confidence double, x1 double, y1 double, "
-    "x2 double, y2 double, track_id bigint"
+    "x2 double, y2 double, track_id bigint, epoch int"
 )
 
 
-def stream_track(detections: DataFrame, min_iou: float = 0.3, max_missing: int = 45) -> DataFrame:
-    """Track ids on a stream of detections, as ``tracking.track`` gives them."""
+def stream_track(
+    detections: DataFrame, min_iou: float = 0.3, max_missing: int = 45, restart: Restart = Restart(), watermark: str = "10 minutes"
+) -> DataFrame:
+    """Track ids on a stream of detections, as ``tracking.track`` gives them; each ``epoch`` of a camera counts anew."""
     flat = detections.select(
         "camera_id", "seq", "us", "det_index", F.coalesce("class_name", F.lit("object")).alias("class_name"),
         "confidence", *[F.col("bbox")[c].alias(c) for c in ("x1", "y1", "x2", "y2")],
     )
-    return flat.groupBy("camera_id").transformWithStateInPandas(
-        TrackProcessor(min_iou, max_missing), TRACK_SCHEMA, outputMode="Append", timeMode="None"
+    ready = in_order(flat, restart).where("NOT late").withColumn("ts", F.timestamp_micros("clock_us")).withWatermark("ts", watermark)
+    return ready.groupBy("camera_id", "epoch").transformWithStateInPandas(
+        TrackProcessor(min_iou, max_missing, restart.horizon_s), TRACK_SCHEMA, outputMode="Append", timeMode="EventTime"
     )
 
 
 MOTION_SCHEMA = (
-    "camera_id string, track_key string, us bigint, seq bigint, direction string, angle_deg double, speed_px_s double, "
+    "camera_id string, epoch int, track_key string, us bigint, seq bigint, direction string, angle_deg double, speed_px_s double, "
     "dx double, dy double, window_s double"
 )
 
 
-class MotionProcessor(_Blob):
-    """Last second of one track; forgotten when the track has not been seen for a while."""
+class MotionProcessor(StatefulProcessor):
+    """Last second of one track of an epoch, a list of points; forgotten when the track has not been seen for a while."""
 
     def __init__(self, window_s: float, min_ratio: float, still_ratio: float, forget_s: float):
         self.window_s, self.min_ratio, self.still_ratio, self.forget_s = window_s, min_ratio, still_ratio, forget_s
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.points = handle.getListState("points", "us bigint, x double, y double")
+
+    def close(self) -> None:
+        pass
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = self.load()
-        points, done = state.get("p", []), state.get("seq")
+        points = [tuple(p) for p in self.points.get()] if self.points.exists() else []
         batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        if done is not None:
-            batch = batch[batch["seq"] > done]
         out = []
         for r in batch.itertuples(index=False):
-            if points and r.us < points[-1][0]:
-                points = []  # the clock went back
-            points = [p for p in points if r.us - p[0] <= micros(self.window_s)] + [[int(r.us), r.fx, r.fy]]
+            points = [p for p in points if r.us - p[0] <= micros(self.window_s)] + [(int(r.us), r.fx, r.fy)]
             out.append((*key, int(r.us), int(r.seq), *self._motion(points, r.frame_w or 640)))
-        if not out:
-            return
-        self.save({"p": points, "seq": int(batch["seq"].max())})
+        self.points.put(points)
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(points[-1][0] // 1000 + int(self.forget_s * 1000))
+        self.handle.registerTimer(int(batch["clock_us"].max()) // 1000 + int(self.forget_s * 1000))
         yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in MOTION_SCHEMA.split(", ")])
 
     def _motion(self, points: list, width: float) -> tuple:
@@ -301,21 +419,21 @@ class MotionProcessor(_Blob):
         return (name, round(angle, 1), round(speed, 1), round(dx, 1), round(dy, 1), round(span, 2))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.store.clear()
+        self.points.clear()
         yield pd.DataFrame(columns=[c.split(" ")[0] for c in MOTION_SCHEMA.split(", ")])
 
 
 def stream_motion(
     detections: DataFrame, window_s: float = 1.0, min_ratio: float = 0.5, still_ratio: float = 0.02,
-    forget_s: float = 5.0, watermark: str = "10 seconds",
+    forget_s: float = 5.0, watermark: str = "10 seconds", restart: Restart = Restart(),
 ) -> DataFrame:
-    """Motion per detection on a stream; state is the last second of each track seen lately."""
+    """Motion per detection on a stream; state is the last second of each track seen lately. A restart of the camera begins anew."""
     foot = geometry.foot_point(F.col("bbox"))
     flat = detections.select(
-        "camera_id", "track_key", "us", "seq", "frame_w", foot["x"].alias("fx"), foot["y"].alias("fy"),
-        F.timestamp_micros("us").alias("ts"),
-    ).withWatermark("ts", watermark)
-    return flat.groupBy("camera_id", "track_key").transformWithStateInPandas(
+        "camera_id", "track_key", "us", "seq", F.col("frame_w").cast("double").alias("frame_w"), foot["x"].alias("fx"), foot["y"].alias("fy"),
+    )
+    ready = in_order(flat, restart).where("NOT late").withColumn("ts", F.timestamp_micros("clock_us")).withWatermark("ts", watermark)
+    return ready.groupBy("camera_id", "epoch", "track_key").transformWithStateInPandas(
         MotionProcessor(window_s, min_ratio, still_ratio, forget_s), MOTION_SCHEMA, outputMode="Append", timeMode="EventTime"
     )
 
@@ -520,7 +638,12 @@ class LateProcessor(_Blob):
 
 
 def late_rows(stream: DataFrame, keys_: list[str]) -> DataFrame:
-    """What the processors here leave out: rows of a stream (with ``us``) that come after a newer batch of their key."""
+    """What the processors of events leave out: rows of a stream (with ``us``) that come after a newer batch of their key."""
     packed = stream.select(*keys_, "us", F.to_json(F.struct(*stream.columns)).alias("body"))
     late = packed.groupBy(*keys_).transformWithStateInPandas(LateProcessor(), LATE_SCHEMA, outputMode="Append", timeMode="None")
     return late.select(F.from_json("body", stream.schema).alias("r")).select("r.*")
+
+
+def late_frames(stream: DataFrame, restart: Restart = Restart(), key: str = "camera_id") -> DataFrame:
+    """What the processors of frames leave out: rows of a stream (with ``us`` and ``seq``) behind what their epoch had processed, and which that is."""
+    return in_order(stream, restart, key).where("late").drop("late", "prev_us", "clock_us")
