@@ -302,11 +302,13 @@ def _with_sets(inside: DataFrame, texts: DataFrame, near: Similarity) -> DataFra
 
 def keep_first(documents: DataFrame, near: Similarity = Similarity(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """``documents`` with one document of each group of near duplicates, and one row of rows that are the same."""
-    judged = _grouped_rows(documents, near, key, text).where("doc_id is not null")
-    verdict = judged.groupBy(F.col("doc_id").alias("id"), "mark").agg(F.first("component").alias("group"), F.first("component_id").alias("least"))
+    judged = _grouped_rows(documents, near, key, text).where("doc_id is not null and doc_id <=> component_id")
+    # Of texts of one group that share its smallest id, one; decided on ids and marks alone.
+    winners = judged.groupBy(F.col("doc_id").alias("id"), F.coalesce("component", "mark").alias("group"), F.isnull("component").alias("alone")).agg(
+        F.min("mark").alias("mark")).select("id", "mark", F.lit(True).alias("wins"))
     # The row stays packed, so that none of its names can clash.
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("own"), F.col(f"`{key}`").alias("id"), _mark(text).alias("mark"))
-    joined = rows.join(verdict, ["id", "mark"], "left").where("id is null or id <=> least")
-    # Rows of one group that share its smallest id, and of texts without words those that are the same.
-    turn = F.row_number().over(Window.partitionBy("id", F.coalesce("group", "mark"), F.isnull("group")).orderBy("mark"))
+    joined = rows.join(winners, ["id", "mark"], "left").where("id is null or wins")
+    # Rows that are the same; they lie together since the join.
+    turn = F.row_number().over(Window.partitionBy("id", "mark").orderBy(F.lit(0)))
     return joined.withColumn("turn", turn).where("id is null or turn = 1").select("own.*")
