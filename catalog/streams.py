@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from zonewatch.operators import metrics as G
 from zonewatch.operators import risk as R
 from zonewatch.operators import sensors as N
 from zonewatch.session import ROCKSDB, checkpoint_dir
@@ -44,6 +45,14 @@ def played(v, df: DataFrame, order: str, end: DataFrame | None = None) -> DataFr
     return v.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES).option("recursiveFileLookup", True).parquet(where)
 
 
+def played_all(v, df: DataFrame, order: str, end: DataFrame) -> DataFrame:
+    """``df`` in one batch and ``end`` in the next: for two streams that are joined, whose parts needn't lie alike in time."""
+    where = folder(v)
+    df.withColumn("f", F.pmod(F.monotonically_increasing_id(), F.lit(FILES))).repartition(FILES, "f").write.partitionBy("f").parquet(f"{where}/0")
+    end.select(*df.columns).write.parquet(f"{where}/1")
+    return v.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES).option("recursiveFileLookup", True).parquet(where)
+
+
 def finished(v, name: str, stream) -> DataFrame:
     """What a stream writes until it has read all files."""
     def build():
@@ -253,3 +262,48 @@ def _(v):
     again = again.join(newest, "camera_id").where("seq < newest").drop("newest")
     done = finished(v, "late_frames", lambda: ST.late_frames(played(v, rows, "plain_us", again)))
     return done.select("camera_id", "epoch", "seq", "us")
+
+
+@query("stream_correlate", sql("signal reading", """
+SELECT s.event_id, arg_min(r.reading_id, (abs(s.us - r.us), r.reading_id)) AS sensor_event_id, min(abs(s.us - r.us)) AS apart_us, 'CRITICAL' AS alert_level
+FROM signal s JOIN reading r ON (r.location_id = s.location_id OR r.zone_id = s.zone_id) AND abs(s.us - r.us) <= 10000000
+WHERE s.event_type = 'FORBIDDEN_ZONE_INTRUSION' AND r.sensor_type = 'DOOR' AND r.positive GROUP BY s.event_id"""))
+def _(v):
+    signals = v.signals.select("event_id", "event_type", "location_id", "zone_id", "us")
+    doors = N.sensor_events(v.readings).select(F.col("reading_id").alias("event_id"), "event_type", "location_id", "zone_id", "us")
+    ends = closing(v, signals, event_id=-1, event_type="end", us=FAR), closing(v, doors, event_id=-1, event_type="end", us=FAR)
+    stream = lambda: K.correlate_streams(played_all(v, signals, "us", ends[0]), played_all(v, doors, "us", ends[1]))
+    return finished(v, "stream_correlate", stream).select("event_id", "sensor_event_id", "apart_us", "alert_level")
+
+
+@query("stream_counts", """
+WITH e AS (SELECT event_type, user_id, epoch_us(ts) AS us FROM events),
+s AS (SELECT user_id, us, sum(o) OVER (PARTITION BY user_id ORDER BY us) AS s FROM (
+  SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY us) < 3600000000 THEN 0 ELSE 1 END AS o FROM e)),
+h AS (SELECT event_type, us // 3600000000 * 3600000000 AS start_us, count(*) AS n FROM e GROUP BY ALL)
+SELECT 'tumbling' AS kind, event_type AS of, start_us, n, CAST(NULL AS BIGINT) AS peak FROM h
+UNION ALL SELECT 'sliding', event_type, s, count(*), NULL FROM (
+  SELECT event_type, unnest([us // 1800000000 * 1800000000, us // 1800000000 * 1800000000 - 1800000000]) AS s FROM e) GROUP BY ALL
+UNION ALL SELECT 'session', CAST(user_id AS VARCHAR), min(us), count(*), NULL FROM s GROUP BY user_id, s
+UNION ALL SELECT 'peak', event_type, start_us // 21600000000 * 21600000000, CAST(sum(n) AS BIGINT), max(n) FROM h GROUP BY ALL""")
+def _(v):
+    """Windows under a watermark, each given out once when it is complete; and one aggregate over another."""
+    rows = v.source.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "user_id", "us")
+    last = rows.agg(F.max("us")).scalar() + 10 * 86_400_000_000
+    end = rows.limit(1).select(F.timestamp_micros(F.lit(0).cast("long") + last).alias("ts"), F.lit("end").alias("event_type"), F.lit(-1).cast(rows.schema["user_id"].dataType).alias("user_id"), F.lit(0).cast("long").alias("us") + last)
+    end = end.toDF(*rows.columns)
+    forms = {
+        "tumbling": lambda df: G.windowed_counts(df, ["event_type"], width="1 hour"),
+        "sliding": lambda df: G.windowed_counts(df, ["event_type"], width="1 hour", slide="30 minutes"),
+        "session": lambda df: G.windowed_counts(df, ["user_id"], session_gap="1 hour"),
+        "peak": lambda df: G.peak_counts(df, ["event_type"], width="1 hour", wider="6 hours"),
+    }
+    out = None
+    for kind, form in forms.items():
+        done = finished(v, f"stream-{kind}", lambda form=form: form(played(v, rows, "us", end).withWatermark("ts", "10 minutes")))
+        of = F.col(done.columns[0]).cast("string")
+        part = done.where(of.isin("end", "-1") == F.lit(False)).select(
+            F.lit(kind).alias("kind"), of.alias("of"), F.unix_micros("start").alias("start_us"), "n",
+            (F.col("peak") if "peak" in done.columns else F.lit(None).cast("long")).alias("peak"))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -183,6 +183,13 @@ def windowed_counts(
     )
 
 
+def peak_counts(df: DataFrame, keys: Sequence[str], ts: str = "ts", width: str = "1 hour", wider: str = "6 hours") -> DataFrame:
+    """Of each wider window the rows, and the most in one narrow window of it: one windowed aggregate over another, on streams too."""
+    narrow = df.groupBy(*keys, F.window(ts, width).alias("w")).agg(F.count("*").alias("n"))
+    return narrow.groupBy(*keys, F.window(F.window_time("w"), wider).alias("v")).agg(F.sum("n").alias("n"), F.max("n").alias("peak")).select(
+        *keys, F.col("v.start").alias("start"), F.col("v.end").alias("end"), "n", "peak")
+
+
 def _earliest_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pair each prediction with the open label that ends first; rows come by run, in order of time."""
     heap: list[tuple[int, str, int]] = []
