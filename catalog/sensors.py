@@ -85,11 +85,18 @@ def _(v):
     return N.liveness(v.results, "camera_id", 1.0, now)
 
 
-@query("dedup_offline", sql("gaps", """
-SELECT camera_id, min(last_us) + 1000000 AS at_us FROM gaps WHERE us - last_us > 1000000 GROUP BY camera_id"""))
+# Gaps of a camera, and of them those that come at least 30 s after the last one told.
+add("offl", "(SELECT camera_id, last_us + 1000000 AS at_us FROM gaps WHERE us - last_us > 1000000)", ["gaps"])
+add("offnext", "(SELECT a.camera_id, a.at_us, b.at_us AS nxt FROM offl a ASOF JOIN offl b ON a.camera_id = b.camera_id AND b.at_us >= a.at_us + 30000000)", ["offl"])
+add("offkept", """/*recursive*/ (
+  SELECT camera_id, min(at_us) AS at_us FROM offl GROUP BY camera_id
+  UNION ALL SELECT k.camera_id, n.nxt FROM offkept k JOIN offnext n ON n.camera_id = k.camera_id AND n.at_us = k.at_us)""", ["offl", "offnext"])
+
+
+@query("dedup_offline", sql("offkept", "SELECT camera_id, at_us FROM offkept"))
 def _(v):
-    # Every gap of a camera lies within the window of its first one.
-    return N.dedup_offline(N.liveness(v.results, "camera_id", 1.0), "camera_id", 1e6).select("camera_id", "at_us")
+    """Offline notices of a camera at least 30 s apart."""
+    return N.dedup_offline(N.liveness(v.results, "camera_id", 1.0), "camera_id", 30.0).select("camera_id", "at_us")
 
 
 @query("device_status", sql("reading", f"""
