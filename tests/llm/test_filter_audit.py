@@ -90,6 +90,18 @@ def test_partitions_stay_light(spark):
     assert len({r.p for r in at}) > 10
 
 
+def test_near_copies_take_few_rounds(spark, monkeypatch):
+    """Texts that differ in one character each, anywhere: rounds follow the bits of their length."""
+    base = "near copies differ somewhere " * 60
+    rows = [(k, "en", base[: 4 * k] + "#" + base[4 * k :]) for k in range(400)]
+    audit = A.Audit(node_bytes=20_000)
+    texts = A._folded(table(spark, rows), audit)
+    rounds, beyond = [], A._beyond
+    monkeypatch.setattr(A, "_beyond", lambda cut, step, turn: rounds.append(turn) or beyond(cut, step, turn))
+    split = A.parted(texts, audit).groupBy(F.spark_partition_id()).agg(F.sum(F.octet_length("text")).alias("b")).collect()
+    assert max(rounds) <= 12 and len(split) > 10
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.tuples(st.binary(max_size=6), st.integers(0, 20)), max_size=40))
 def test_trie_holds_least_ids(rows):

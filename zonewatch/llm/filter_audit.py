@@ -7,8 +7,8 @@ tries over whole texts:
 1. every task folds identical texts of its own rows into one with the smallest id, so a text that holds a third of all rows
    leaves each task a few times;
 2. the texts are range-partitioned by adaptive prefixes: a prefix that holds more than ``node_bytes`` becomes a node, whose
-   texts are told apart by the ``step`` characters behind what all of them share, and so on until a prefix is light or holds one
-   text alone;
+   texts are told apart by the ``step`` characters behind what all of them share, and so on, with twice the characters each time, until
+   a prefix is light or holds one text alone; so a large group of near copies takes as many rounds as its texts' length has bits;
 3. each partition inserts its texts into a radix trie with the smallest id at every terminal, and walks it: the rows with that
    id are the text's first, all others are duplicates;
 4. masks are summed by part, and every order and step is a sum over at most 32 masks a part.
@@ -176,8 +176,10 @@ def _folded(documents: DataFrame, audit: Audit) -> DataFrame:
     return rows.select(F.col(f"`{audit.key}`").alias("id"), F.col(f"`{audit.text}`").alias("text")).mapInArrow(run, schema)
 
 
-def _beyond(cut: Column, step: int) -> Column:
-    return F.col("text").substr(cut + 1, F.lit(step))
+def _beyond(cut: Column, step: int, turn: int) -> Column:
+    """The characters that tell texts apart behind ``cut``: ``step`` of them, and from the second turn on a hash of twice as many each turn."""
+    first = F.col("text").substr(cut + 1, F.lit(step))
+    return first if turn == 0 else F.concat(first, F.lit("#"), F.hex(F.xxhash64(F.col("text").substr(cut + 1, F.lit(step << turn)))))
 
 
 def parted(texts: DataFrame, audit: Audit) -> DataFrame:
@@ -186,8 +188,8 @@ def parted(texts: DataFrame, audit: Audit) -> DataFrame:
     size = F.octet_length("text") + 64
     total = texts.agg(F.sum(size)).first()[0] or 0
     limit = max(audit.node_bytes, ceil(total / audit.most_nodes))
-    rows = texts.withColumn("node", F.lit(0)).withColumn("at", _beyond(F.lit(0), audit.step))
-    open_rows, nodes = rows, 1
+    rows = texts.withColumn("node", F.lit(0)).withColumn("at", _beyond(F.lit(0), audit.step, 0))
+    open_rows, nodes, turn = rows, 1, 0
     while total > limit:
         heavy = open_rows.groupBy("node", "at").agg(F.sum(size).alias("bytes")).where(F.col("bytes") > limit)
         found = [tuple(r) for r in heavy.select("node", "at").collect()]  # fewer than most_nodes
@@ -201,11 +203,11 @@ def parted(texts: DataFrame, audit: Audit) -> DataFrame:
             break
         cut_of = dict(cuts)
         split = [(*f, nodes + k, cut_of[nodes + k]) for k, f in enumerate(found) if nodes + k in cut_of]
-        nodes += len(found)
+        nodes, turn = nodes + len(found), turn + 1
         deeper = F.broadcast(spark.createDataFrame(split, "node int, at string, deeper int, cut int"))
         step = lambda df, how: df.join(deeper, ["node", "at"], how).select(
             "id", "text", F.coalesce("deeper", "node").alias("node"),
-            F.when(F.col("deeper").isNull(), F.col("at")).otherwise(_beyond(F.col("cut"), audit.step)).alias("at"))
+            F.when(F.col("deeper").isNull(), F.col("at")).otherwise(_beyond(F.col("cut"), audit.step, turn)).alias("at"))
         rows, open_rows = step(rows, "left"), step(open_rows, "inner")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(total / (2 * audit.node_bytes)))
     return rows.repartitionByRange(parts, "node", "at")
