@@ -51,6 +51,8 @@ MOTION_LABELS = {
 }
 LEVEL_LABELS = {"admin": "Quản trị", "operator": "Vận hành", "viewer": "Chỉ xem"}
 OTHER_ZONE = ("Vùng", "#8c9aad")
+SECONDS, MINUTES = " giây", " phút"
+JUST_NOW, SECONDS_AGO, MINUTES_AGO, HOURS_AGO = "vừa xong", " giây trước", " phút trước", " giờ trước"
 # End of fixed values.
 
 
@@ -107,9 +109,9 @@ def format_duration(seconds: Column) -> Column:
     total = F.greatest(F.lit(0).cast("bigint"), _nearest(F.coalesce(seconds.cast("double"), F.lit(0.0))))
     minutes, rest = F.floor(total / 60).cast("bigint"), total % 60
     return (
-        F.when(total < 60, F.concat(total.cast("string"), F.lit(" giây")))
-        .when(rest == 0, F.concat(minutes.cast("string"), F.lit(" phút")))
-        .otherwise(F.concat(minutes.cast("string"), F.lit(" phút "), rest.cast("string"), F.lit(" giây")))
+        F.when(total < 60, F.concat(total.cast("string"), F.lit(SECONDS)))
+        .when(rest == 0, F.concat(minutes.cast("string"), F.lit(MINUTES)))
+        .otherwise(F.concat(minutes.cast("string"), F.lit(MINUTES + " "), rest.cast("string"), F.lit(SECONDS)))
     )
 
 
@@ -119,9 +121,9 @@ def format_ago(us: Column, now_us: Column) -> Column:
     words = lambda step, unit: F.concat(_nearest(age / float(step)).cast("string"), F.lit(unit))
     return (
         F.when(us.isNull(), "–")
-        .when(age < 5, "vừa xong")
-        .when(age < 60, words(1, " giây trước"))
-        .when(age < 3600, words(60, " phút trước"))
-        .when(age < 86400, words(3600, " giờ trước"))
+        .when(age < 5, JUST_NOW)
+        .when(age < 60, words(1, SECONDS_AGO))
+        .when(age < 3600, words(60, MINUTES_AGO))
+        .when(age < 86400, words(3600, HOURS_AGO))
         .otherwise(F.date_format(F.timestamp_micros(us), "dd/MM HH:mm:ss"))
     )

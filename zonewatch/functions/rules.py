@@ -23,6 +23,8 @@ CLASS_IDS = {"person": 0, "bicycle": 1, "car": 2, "motorcycle": 3, "bus": 5, "tr
 ZONE_TYPE_ALIASES = {"FORBIDDEN": "restricted_area", "RESTRICTED": "controlled_area"}
 EVENT_TYPE_ALIASES = {"RESTRICTED_ZONE_LONG_DWELL": "RESTRICTED_ZONE_LOITERING"}
 ACCESS_LEVELS = {"viewer": 1, "operator": 2, "admin": 3}
+SENSOR_ON = ("TRUE", "1", "OPEN", "OPENED", "ON", "ACTIVE", "DETECTED", "YES")
+SENSOR_OFF = ("FALSE", "0", "CLOSED", "CLOSE", "OFF", "INACTIVE", "CLEAR", "NO")
 # End of fixed values.
 
 
@@ -89,9 +91,7 @@ def parse_class_filter(text: Column) -> Column:
 def sensor_value_to_bool(value: Column) -> Column:
     """Positive, negative or (unreadable) null."""
     text = F.upper(F.trim(value.cast("string")))
-    return F.when(text.isin("TRUE", "1", "OPEN", "OPENED", "ON", "ACTIVE", "DETECTED", "YES"), F.lit(True)).when(
-        text.isin("FALSE", "0", "CLOSED", "CLOSE", "OFF", "INACTIVE", "CLEAR", "NO"), F.lit(False)
-    )
+    return F.when(text.isin(*SENSOR_ON), F.lit(True)).when(text.isin(*SENSOR_OFF), F.lit(False))
 
 
 def sensor_event_type(sensor_type: Column, value: Column, temperature_limit: float = 50.0, gas_limit: float = 300.0) -> Column:
