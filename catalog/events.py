@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from zonewatch.functions import keys, payload
@@ -9,6 +11,7 @@ from zonewatch.operators import alerts as A
 from zonewatch.operators import evidence as E
 from zonewatch.operators import listings as L
 from zonewatch.operators import tables as T
+from zonewatch.session import checkpoint_dir
 from zonewatch.sources import frames as FR
 from zonewatch.sources import tables as TS
 
@@ -288,6 +291,30 @@ def _(v):
     return E.related_evidence(ids, v.ai_events, v.evidence).select("asked_id", "id")
 
 
+@query("evidence_media", sql("evidence", """
+SELECT id, strlen(id || ' ' || camera_id || ' ' || captured_us) AS bytes, md5(id || ' ' || camera_id || ' ' || captured_us) AS content_md5
+FROM evidence WHERE evidence_type = 'snapshot'"""))
+def _(v):
+    """Pictures are stored, clips aren't yet; every row is asked for once by its key and once by one that leads out of the store."""
+    root = f"{checkpoint_dir(v.spark)}/media-{uuid.uuid4().hex}"
+    e = v.evidence.withColumn("storage_key", F.concat_ws("/", "camera_id", F.concat("id", F.lit(".jpg"))))
+    content = F.concat_ws(" ", "id", "camera_id", F.col("captured_us").cast("string")).cast("binary")
+    TS.write_media(v.spark, root, e.where("evidence_type = 'snapshot'").withColumn("content", content))
+    outside = e.withColumn("storage_key", F.concat(F.lit("x/../../"), "storage_key"))
+    return TS.evidence_media(v.spark, root, e.unionByName(outside)).select("id", "bytes", F.md5("content").alias("content_md5"))
+
+
+@query("table_snapshots", sql("aievent", f"""
+SELECT id, camera_id, started_us FROM aievent WHERE started_us >= {BASE_US + 60_000_000}"""))
+def _(v):
+    """A table written twice: the second snapshot holds, read by a predicate, with a folder a camera."""
+    root = f"{checkpoint_dir(v.spark)}/tables-{uuid.uuid4().hex}"
+    rows = v.ai_events.select("id", "camera_id", "started_us")
+    TS.write_table(rows.where(F.col("camera_id") < "cam-2"), root, "ai_event")
+    TS.write_table(rows, root, "ai_event", partition_by=["camera_id"])
+    return TS.read_table(v.spark, root, "ai_event", f"started_us >= {BASE_US + 60_000_000}").select("id", "camera_id", "started_us")
+
+
 @query("attach_alert", sql("evidence aievent", """
 SELECT e.id, coalesce(e.alert_id, a.alert_id) AS alert_id FROM evidence e LEFT JOIN aievent a ON a.id = e.ai_event_id"""))
 def _(v):

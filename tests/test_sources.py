@@ -87,6 +87,23 @@ def test_media_stay_below_the_root(spark, tmp_path):
     ev = spark.createDataFrame([("1", "c/x.jpg"), ("2", "../secret.jpg"), ("3", "/etc/hosts"), ("4", None)], "id string, storage_key string")
     got = TS.evidence_media(spark, str(tmp_path / "media"), ev).collect()
     assert [(r.id, bytes(r.content)) for r in got] == [("1", b"abc")]
+    assert TS.evidence_media(spark, str(tmp_path / "none"), ev).count() == 0
+    assert TS.evidence_media(spark, str(tmp_path / "media"), ev.limit(0)).columns == ["id", "storage_key", "content", "bytes"]
+
+
+def test_media_by_key(spark, tmp_path, monkeypatch):
+    """Ties, missing and empty files, folders, clashing names and keys with blanks; batches smaller than a file."""
+    root = tmp_path / "a store"
+    stored = [(f"c{i % 3}/d %20/{i}.jpg", bytes([i]) * (i * 1000)) for i in range(40)] + [(None, b"x"), ("../y", b"x"), ("null", None)]
+    n = TS.write_media(spark, str(root), spark.createDataFrame(stored, "storage_key string, content binary"))
+    assert n == 40 and not (tmp_path / "y").exists()
+    asked = [(k, k, 7) for k, _ in stored[:30]] + [("again", stored[3][0], 7)] * 5 + [("gone", "c0/none.jpg", 7), ("folder", "c0", 7)]
+    rows = spark.createDataFrame(asked, "id string, storage_key string, bytes int")
+    monkeypatch.setattr(TS, "MEDIA_BYTES", 5000)
+    got = sorted((r.id, r.bytes, bytes(r.content)) for r in TS.evidence_media(spark, str(root), rows, tasks=3).collect())
+    held = dict(stored)
+    want = sorted((i, len(held[k]), held[k]) for i, k, _ in asked if k in held)
+    assert got == want and len(got) == 35
 
 
 def test_detector_hook(spark):
