@@ -62,6 +62,10 @@ class People:
     def active(self):
         return X.active_member(self.users, self.members, self.tenants, self.claims)
 
+    @property
+    def grants(self):
+        return X.grants(self.active, self.v.locations, self.assignments)
+
     @property
     def access(self):
         return X.effective_access(self.active, self.v.locations, self.assignments)
@@ -81,7 +85,7 @@ def _(v):
 SELECT a.member_id, c.id AS camera_id FROM access a JOIN camera c ON c.location_id = a.location_id AND c.tenant_id = a.tenant_id
 WHERE a.level IN ('operator', 'admin')"""))
 def _(v):
-    return X.allowed_cameras(People(v).access, v.cameras, "operator").select("member_id", "camera_id")
+    return X.allowed_cameras(People(v).grants, v.cameras, "operator", v.locations).select("member_id", "camera_id")
 
 
 @query("camera_visibility", sql("member location camera", """
@@ -97,9 +101,12 @@ add("one", "(SELECT * FROM access WHERE member_id = (SELECT min(member_id) FROM
 add("mycams", "(SELECT c.id FROM camera c JOIN one a ON a.location_id = c.location_id AND a.tenant_id = c.tenant_id)", ["one", "camera"])
 
 
-def mine(v):
-    a = People(v).access
-    first = a.where("role = 'operator'").agg(F.min("member_id")).scalar()
+add("boss", "(SELECT * FROM access WHERE member_id = (SELECT min(member_id) FROM access WHERE role = 'owner'))", ["access"])
+
+
+def mine(v, role="operator"):
+    a = People(v).grants
+    first = a.where(F.col("role") == role).agg(F.min("member_id")).scalar()
     return a.where(F.col("member_id") == first)
 
 
@@ -108,6 +115,13 @@ def _(v):
     return X.scope(v.ai_events, mine(v), v.cameras, "operator").select("id", "camera_id")
 
 
+@query("scope_tenant", sql("aievent boss camera", """
+SELECT id, camera_id FROM aievent WHERE camera_id IN (
+  SELECT c.id FROM camera c JOIN boss b ON b.location_id = c.location_id AND b.tenant_id = c.tenant_id)"""))
+def _(v):
+    return X.scope(v.ai_events, mine(v, "owner"), v.cameras, "admin", v.locations).select("id", "camera_id")
+
+
 @query("scope_nothing", sql("aievent", "SELECT id FROM aievent WHERE FALSE"))
 def _(v):
     return X.scope(v.ai_events, mine(v), v.cameras, "admin").select("id")
@@ -134,12 +148,12 @@ def _(v):
     k = F.substring("id", 3, 20).cast("bigint")
     need = F.get(F.array(F.lit("viewer"), F.lit("operator"), F.lit("admin")), (k % 3).cast("int"))
     r = p.members.select(F.col("id").alias("member_id"), "tenant_id", F.concat(F.lit("cam-"), (k % 30).cast("string")).alias("camera_id"), need.alias("min_level"))
-    return X.access_decisions(r, p.access, v.cameras).select("member_id", "camera_id", F.col("min_level").alias("need"), "status")
+    return X.access_decisions(r, p.grants, v.cameras, v.locations).select("member_id", "camera_id", F.col("min_level").alias("need"), "status")
 
 
 @query("my_locations", sql("access location", "SELECT a.member_id, a.location_id, l.name, l.code, a.level FROM access a JOIN location l ON l.id = a.location_id"))
 def _(v):
-    return X.my_locations(People(v).access, v.locations)
+    return X.my_locations(People(v).grants, v.locations)
 
 
 @query("camera_catalog", """

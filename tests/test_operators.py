@@ -155,6 +155,31 @@ def test_access(spark):
     assert X.scope(data, access.limit(0), cameras).count() == 0
 
 
+def test_grants_say_what_their_rows_written_out_say(spark):
+    """Members, roles, locations and cameras at random, some cameras without a location or at another tenant's."""
+    import random
+
+    r = random.Random(5)
+    places = spark.createDataFrame([(f"l{i}", f"t{i % 3}", f"n{i}", f"c{i}") for i in range(9)], "id string, tenant_id string, name string, code string")
+    people = [(f"m{i}", f"u{i}", f"t{r.randrange(4)}", r.choice(["owner", "admin", "operator", "viewer"])) for i in range(24)]
+    members = spark.createDataFrame(people, "member_id string, user_id string, tenant_id string, role string")
+    pairs = {(f"m{r.randrange(24)}", f"l{r.randrange(10)}") for _ in range(60)}
+    given = spark.createDataFrame([(*p, r.choice(["viewer", "operator", "admin"])) for p in sorted(pairs)], "tenant_member_id string, location_id string, permission_level string")
+    where = [(f"c{i}", r.choice([None, "l99"] + [f"l{k}" for k in range(9)]), f"t{r.randrange(3)}") for i in range(60)]
+    cameras = spark.createDataFrame(where, "id string, location_id string, tenant_id string")
+    short, full = X.grants(members, places, given), X.effective_access(members, places, given)
+    assert short.where("location_id IS NULL").count() == sum(p[3] in X.TENANT_WIDE for p in people)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    asks = members.select("member_id", "tenant_id").crossJoin(cameras.select(F.col("id").alias("camera_id"))).crossJoin(
+        spark.createDataFrame([("viewer",), ("operator",), ("admin",)], "min_level string"))
+    assert rows(X.access_decisions(asks, short, cameras, places)) == rows(X.access_decisions(asks, full, cameras))
+    assert rows(X.my_locations(short, places)) == rows(X.my_locations(full, places))
+    data = cameras.select(F.col("id").alias("camera_id"))
+    for level in ("viewer", "operator", "admin"):
+        assert rows(X.allowed_cameras(short, cameras, level, places)) == rows(X.allowed_cameras(full, cameras, level))
+        assert rows(X.scope(data, short, cameras, level, places)) == rows(X.scope(data, full, cameras, level))
+
+
 NOON, NIGHT = 12 * 3600, 22 * 3600
 
 
